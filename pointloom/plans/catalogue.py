@@ -1,2 +1,353 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of the point-cloud and project operators over the driver's tables, with SQL that says the same.
+
+The tables hold no clouds or projects, so other columns stand in: embeddings for arrays of
+points, orders for projects, parts for files, events for progress messages.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.functions import text, vectors
+from pointloom.operators import config, files, points, progress, projects
+from pointloom.shared import shared_dir
+from pointloom.sinks import gltf
+from pointloom.sources import samples
+from pointloom.streaming import progress as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.reshape(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None)
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as projects: O is idle, P processing, F completed; dates keep their type."""
+    status = F.when(F.col("o_orderstatus") == "O", "idle").when(F.col("o_orderstatus") == "P", "processing").when(F.col("o_orderstatus") == "F", "completed")
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("projectId"), F.col("o_orderpriority").alias("projectName"), F.col("o_orderdate").alias("projectDate"),
+        status.alias("projectStatus"), F.col("o_totalprice").alias("projectProgress"), F.to_json(F.struct(F.col("o_totalprice").alias("fx"))).alias("projectConfig"),
+    )
+
+
+#: SQL of the stand-ins.
+_CLOUDS = """(select vec_id as cloud_id, i as idx, embedding[i*6+1]::double as x, embedding[i*6+2]::double as y, embedding[i*6+3]::double as z,
+  embedding[i*6+4]::double as r, embedding[i*6+5]::double as g, embedding[i*6+6]::double as b
+  from (select vec_id, embedding, unnest(range(0, ((len(embedding) + 5) // 6)::bigint)) as i from embeddings where len(embedding) > 0))"""
+_DISTANCES = f"(select *, sqrt((x-0)*(x-0) + (y-0)*(y-0) + (z-5)*(z-5)) as d from {_CLOUDS} where x is not null and y is not null and z is not null)"
+_PROJECTS = """(select o_custkey as user_id, o_orderkey as "projectId", o_orderpriority as "projectName", o_orderdate as "projectDate",
+  case o_orderstatus when 'O' then 'idle' when 'P' then 'processing' when 'F' then 'completed' end as "projectStatus", o_totalprice as "projectProgress" from orders)"""
+_LOCAL = "strftime({}, '%-m/%-d/%Y %-I:%M:%S %p')"
+_CAPITAL = "upper({0}[1]) || {0}[2:]"
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+
+
+@query(f"select * from {_CLOUDS}")
+def point_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clouds(spark, sf_dir)
+
+
+@query(f"select cloud_id, idx, x as px, z as pz, r as cr, b as cb from {_CLOUDS}")
+def point_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.split(_clouds(spark, sf_dir)).select("cloud_id", "idx", F.col("position.x").alias("px"), F.col("position.z").alias("pz"), F.col("colour.r").alias("cr"), F.col("colour.b").alias("cb"))
+
+
+@query("""select l_orderkey as cloud_id, l_linenumber::bigint as idx, (l_extendedprice / 7)::float::double as x, l_quantity::float::double as y, l_discount::float::double as z,
+  (l_discount::float::double = l_discount) as same from lineitem""")
+def float32_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("cloud_id"), F.col("l_linenumber").cast("long").alias("idx"), (F.col("l_extendedprice") / 7).alias("x"), F.col("l_quantity").alias("y"),
+        F.col("l_discount").alias("z"), *(F.lit(0.0).alias(c) for c in "rgb"), F.col("l_discount").alias("wide"),
+    )
+    narrow = points.narrow(own)
+    return narrow.select("cloud_id", "idx", *(F.col(c).cast("double").alias(c) for c in "xyz"), (F.col("z").cast("double") == F.col("wide")).alias("same"))
+
+
+@query(f"select round(d, 6) as d, idx, cloud_id, x, y, z from (select *, row_number() over (order by d, idx, cloud_id) as n from {_DISTANCES}) where n = 1")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(points.nearest(_clouds(spark, sf_dir)), "d")
+
+
+@query(f"select cloud_id, round(d, 6) as d, idx, x, y, z from (select *, row_number() over (partition by cloud_id order by d, idx) as n from {_DISTANCES}) where n = 1")
+def nearest_per_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(points.nearest(_clouds(spark, sf_dir), by=["cloud_id"]), "d")
+
+
+@query(f"""select round(d, 6) as d, idx, cloud_id, x, y, z, round(x + 0.5 * (0 - x) / d, 6) as view_x, round(y + 0.5 * (0 - y) / d, 6) as view_y, round(z + 0.5 * (5 - z) / d, 6) as view_z
+  from (select *, row_number() over (order by d, idx, cloud_id) as n from {_DISTANCES}) where n = 1""")
+def camera_standoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(points.viewpoint(points.nearest(_clouds(spark, sf_dir))), "d", "view_x", "view_y", "view_z")
+
+
+@query(f"select cloud_id, {', '.join(f'{f}({c})::float::double as {f}_{c}' for c in 'xyz' for f in ('min', 'max'))}, count(*) as n_points from {_CLOUDS} group by cloud_id")
+def cloud_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = points.bounds(_clouds(spark, sf_dir), ["cloud_id"])
+    return found.withColumns({c: F.col(c).cast("double") for c, kind in found.dtypes if kind == "float"})
+
+
+@query("select p_partkey, round(p_size / p_retailprice, 9) as aspect, 200.0 - p_size as depth_min, p_size * 10.0 as focal, case when p_size = 1 then p_retailprice / 2 else p_size end::double as cx from part")
+def camera_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    unset = F.when(size == 1, -1.0).otherwise(size)
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(vectors.aspect(size, price), 9).alias("aspect"), vectors.nearest_depth(F.lit(200.0), size).alias("depth_min"), vectors.focal_from_mm(size).alias("focal"), vectors.centre(unset, price).alias("cx")
+    )
+
+
+@query(f'select "projectId", case "projectStatus" when \'idle\' then 1 when \'processing\' then 3 when \'completed\' then 4 else 0 end as stage from {_PROJECTS}')
+def status_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projects(spark, sf_dir).select("projectId", projects.stage(F.col("projectStatus")).alias("stage"))
+
+
+@query(f"select event_id, {_CAPITAL.format('event_type')} as status from events")
+def capitalise_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", text.capitalised(F.col("event_type")).alias("status"))
+
+
+_STATUS = _CAPITAL.format('"projectStatus"')
+_DATE = _LOCAL.format('"projectDate"')
+
+
+@query(f'select "projectId", "projectName", {_DATE} as date, {_STATUS} as status from {_PROJECTS}')
+def list_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.list_rows(_projects(spark, sf_dir))
+
+
+@query(f'select "projectName", {_DATE} as date, "projectStatus"[1:3] || \'%\' as progress, {_STATUS} as status from {_PROJECTS}')
+def detail_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.detail_rows(_projects(spark, sf_dir).withColumn("projectProgress", F.substring("projectStatus", 1, 3)))
+
+
+@query("select page_id, list_extract(string_split(url, '/'), -1) as name from pages where url is not null")
+def path_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").where("url is not null").select("page_id", text.basename(F.col("url")).alias("name"))
+
+
+#: Parts as files: the extension follows from the key, every seventh has none.
+_FILES = "(select p_partkey, case when p_partkey % 7 = 0 then p_name else p_name || '.v' || p_size || ['.PNG', '.jpg', '.gif', '.jpeg'][p_partkey % 4 + 1] end as name from part)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, (".PNG", ".jpg", ".gif", ".jpeg")))
+    full = F.concat("p_name", F.lit(".v"), F.col("p_size").cast("string"), F.get(kinds, (F.col("p_partkey") % 4).cast("int")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(full).alias("name"))
+
+
+@query(f"select p_partkey, name from {_FILES} where lower(list_extract(string_split(name, '.'), -1)) in ('jpg', 'jpeg', 'png')")
+def ext_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.only_images(_files(spark, sf_dir))
+
+
+@query(f"select p_partkey, name from {_FILES} where lower(list_extract(string_split(name, '.'), -1)) not in ('jpg', 'jpeg', 'png')")
+def ext_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.rejected_images(_files(spark, sf_dir))
+
+
+@query("select p_partkey, p_type as kind from part where p_type = 'SMALL'")
+def kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type") == "SMALL", "file").otherwise(F.col("p_type")).alias("kind"))
+    return files.only_files(own).withColumn("kind", F.lit("SMALL"))
+
+
+#: Names of parts with a number: every other key has its number 1, every fourth also 2.
+_OLD = """(select distinct name from (select p_name || '.png' as name from part union all select p_name || '_1.png' from part where p_partkey % 2 = 0 and p_size < 40
+  union all select p_name || '_2.png' from part where p_partkey % 4 = 0 and p_size < 30 union all select p_name || '_4.png' from part where p_size > 45))"""
+
+
+@query(f"""select p_partkey, p_name || '.png' as name, p_name || '_' || (select min(k) from range(1, 7) as t(k) where not exists (select 1 from {_OLD} o where o.name = p_name || '_' || k || '.png')) || '.png' as new_name from part
+  union all select p_partkey, p_name || '.webp', p_name || '.webp' from part""")
+def collision_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    of = lambda rows, end: rows.select(F.concat("p_name", F.lit(end)).alias("name"))
+    old = of(part, ".png").union(of(part.where("p_partkey % 2 = 0 and p_size < 40"), "_1.png")).union(of(part.where("p_partkey % 4 = 0 and p_size < 30"), "_2.png")).union(of(part.where("p_size > 45"), "_4.png"))
+    new = part.select("p_partkey", F.explode(F.array(*(F.concat("p_name", F.lit(e)) for e in (".png", ".webp")))).alias("name"))
+    return files.rename_collisions(new, old)
+
+
+@query("select p_partkey, replace(p_name, ' ', '_') || '_result.npy' as npy, replace(p_name, ' ', '_') || '_result.gltf' as gltf from part")
+def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", text.result_file(F.col("p_name"), "npy").alias("npy"), text.result_file(F.col("p_name"), "gltf").alias("gltf"))
+
+
+@query("select conv_id, row_number() over (partition by conv_id order by turn) - 1 as turn, role from conversations where turn <> 1")
+def remove_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.remove_at(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 1, "turn")
+
+
+@query("""select conv_id, turn, role from conversations union all
+  select c.conv_id, c.turn + n.n, 'again' from conversations c join (select conv_id, count(*) as n from conversations group by conv_id) n using (conv_id) where c.turn < 2""")
+def append_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return files.append(own, own.where("turn < 2").withColumn("role", F.lit("again")), "conv_id", "turn")
+
+
+@query("select url as key, page_id from pages where starts_with(url, 'http://blog') order by url, page_id limit 1000")
+def prefix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.listing(_table(spark, sf_dir, "pages").select(F.col("url").alias("key"), "page_id"), "http://blog", files.PAGE)
+
+
+@query("select page_id, list_extract(string_split(url, '/'), -1) as name, 'image/jpeg' as mime from pages where starts_with(url, 'https://')")
+def prefix_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "pages").select(F.col("url").alias("key"), "page_id")
+    return files.named(files.listing(own, "https://")).select("page_id", "name", "mime")
+
+
+@query("select conv_id, count(*) as n_images, count(*) >= 8 as enough from conversations group by conv_id")
+def enough_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.has_enough(_table(spark, sf_dir, "conversations"), "conv_id", 8)
+
+
+@query('select "projectId", "projectName", "projectStatus" from ' + _PROJECTS + " where user_id = 7")
+def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projects.of_user(_projects(spark, sf_dir), 7).select("projectId", "projectName", "projectStatus")
+
+
+@query(f'select \'status\' as mode, "projectStatus" as value from {_PROJECTS} where user_id = 899 and "projectId" = 0 union all select \'full\', "projectName" from {_PROJECTS} where user_id = 899 and "projectId" = 0')
+def detail_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _projects(spark, sf_dir)
+    one = projects.detail(own, 899, 0, "status").select(F.lit("status").alias("mode"), F.col("projectStatus").alias("value"))
+    return one.union(projects.detail(own, 899, 0, "full").select(F.lit("full"), "projectName"))
+
+
+@query(f'select c_custkey as user_id, k as "projectId", "projectStatus" from (select c_custkey, unnest([c_custkey, c_custkey + 1]) as k from customer) left join {_PROJECTS} p on p.user_id = c_custkey and p."projectId" = k')
+def batch_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.explode(F.array(F.col("c_custkey"), F.col("c_custkey") + 1)).alias("projectId"))
+    return projects.details_of(keys, _projects(spark, sf_dir), "status").select("user_id", "projectId", "projectStatus")
+
+
+@query(f"""select user_id, "projectId", case when "projectId" % 11 = 0 then 'new name' else "projectName" end as "projectName",
+  case when "projectId" % 7 = 0 then 'processing' when "projectId" % 5 = 0 then 'config' else "projectStatus" end as "projectStatus",
+  case when "projectId" % 7 = 0 then 0.0 else "projectProgress" end as "projectProgress" from {_PROJECTS} where "projectId" % 3 <> 0
+  union all select c_custkey, c_custkey, c_name, 'idle', null from customer where c_custkey % 2 = 0""")
+def project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("projectId")
+    own = projects.deleted(_projects(spark, sf_dir).drop("projectConfig", "projectDate").withColumn("projectDate", F.lit(None).cast("timestamp")), key % 3 == 0)
+    own = projects.restarted(projects.with_status(projects.renamed(own, key % 11 == 0, "new name"), key % 5 == 0, "config"), key % 7 == 0)
+    own = projects.renamed(own, key % 2 == 0, " \t")  # blank: nothing changes
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("  ")
+    new = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("projectId"), name.alias("projectName"), F.lit(None).cast("timestamp").alias("projectDate"))
+    return projects.created(own, new).drop("projectDate")
+
+
+#: Settings as JSON from events: a number, the same as text, blank and junk in turn.
+_SETTING = """(select event_id, event_id % 4 as how, json_extract_string(props, '$.k') as k from events)"""
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    how = F.col("event_id") % 4
+    fx = F.when(how == 0, k).when(how == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(how == 2, F.lit('" "')).otherwise(F.concat(F.lit('"'), k, F.lit('d"')))
+    return _table(spark, sf_dir, "events").select("event_id", config.parse(F.concat(F.lit('{"cx": -1, "fx": '), fx, F.lit("}"))).alias("settings"))
+
+
+@query(f"select event_id, case how when 0 then k::double when 1 then k::double when 2 then 0 end as fx, -1.0::double as cx from {_SETTING}")
+def config_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settings(spark, sf_dir).select("event_id", config.coerced(F.col("settings")).alias("s")).select("event_id", "s.fx", "s.cx")
+
+
+@query(f"select event_id, k as fx, k::double as fx_number, '-1' as cx from {_SETTING} where how = 0")
+def config_set_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _settings(spark, sf_dir).where("event_id % 4 = 0")
+    edited = own.select("event_id", config.with_field(F.col("settings"), "fx", F.col("settings.fx")).alias("s"))
+    return edited.select("event_id", "s.fx", config.coerced(F.col("s"))["fx"].alias("fx_number"), "s.cx")
+
+
+@query(f"""select event_id, '{{"depthMin":null,"depthMax":null,"fx":' || (case how when 2 then '0.0' when 3 then 'null' else k || '.0' end) || ',"fy":null,"cx":-1.0,"cy":null,"eps":null,"minPts":null}}' as saved from {_SETTING}""")
+def config_save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settings(spark, sf_dir).select("event_id", config.saved(config.coerced(F.col("settings"))).alias("saved"))
+
+
+def _messages(events: DataFrame) -> DataFrame:
+    said = F.when(F.col("event_type") == "signup", progress.READY).when(F.col("event_type") == "error", progress.CLOSE).otherwise(F.col("event_id").cast("string"))
+    return events.select(F.col("user_id").alias("pid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), said.alias("data"))
+
+
+_FOLD = """with m as (select user_id as pid, ts, event_id, event_type, min(case when event_type = 'error' then ts end) over (partition by user_id) as closed_at from events)
+  select pid, arg_max(event_id::varchar, ts) filter (where event_type not in ('signup', 'error') and (closed_at is null or ts < closed_at)) as progress,
+  coalesce(bool_or(event_type = 'signup' and (closed_at is null or ts < closed_at)), false) as connected, max(closed_at) is not null as closed,
+  max(closed_at) is not null and coalesce(arg_max(event_id::varchar, ts) filter (where event_type not in ('signup', 'error') and (closed_at is null or ts < closed_at)) <> '100', true) as incomplete
+  from m group by pid"""
+
+
+@query(_FOLD)
+def progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.fold(_messages(_table(spark, sf_dir, "events")))
+
+
+@query(_FOLD)
+def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold as a stream over the table's files; the last state of each process counts."""
+    kind = _table(spark, sf_dir, "events").schema
+    place = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    # a stream takes a single file only as a pattern
+    source = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")
+    states = stream.follow(_messages(source))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("number", F.lit(number)).write.mode("append").parquet(f"{place}/states")
+
+    started = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    own = spark.read.parquet(f"{place}/states")
+    last = own.groupBy("pid").agg(F.max(F.struct("number", "progress", "connected", "closed", "incomplete")).alias("s"))
+    return last.select("pid", "s.progress", "s.connected", "s.closed", "s.incomplete")
+
+
+@query("select r_name as name, k::int as label, 'img_' || k || '.png' as file from region, range(1, 19) as t(k) where r_regionkey > 0 and k <= r_regionkey * 6")
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = F.least(F.col("r_regionkey") * 6, F.lit(18))
+    return samples.image_series(_table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit("img_").alias("prefix"), count.cast("int").alias("count"), F.lit(".png").alias("suffix")))
+
+
+@query("select p_partkey, p_name from part where p_partkey % 5 > 1")
+def nonblank_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("p_partkey") % 5 == 0, "\t  ").when(F.col("p_partkey") % 5 == 1, "﻿").otherwise(F.concat(F.lit("\n "), "p_name", F.lit("　")))
+    own = _table(spark, sf_dir, "part").select("p_partkey", named.alias("n"))
+    return own.where(~text.is_blank(F.col("n"))).select("p_partkey", text.trimmed(F.col("n")).alias("p_name"))
+
+
+@query("select p_partkey, case when p_partkey % 3 < 2 then 'overview' else p_type end as tab from part")
+def default_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tab = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 2, F.col("p_type"))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.default_tab(tab).alias("tab"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then p_partkey::varchar end as project_id, case when p_partkey % 4 = 0 then p_type end as tab from part")
+def route_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("/project/"), key, F.lit("/"), "p_type")).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/project/"), key)).otherwise(F.concat(F.lit("/projects/"), key))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.route_params(path).alias("r")).select("p_partkey", "r.project_id", "r.tab")
+
+
+@query("select page_id, url from pages where page_id % 3 = 0")
+def success_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("page_id") % 3 == 0, 200).when(F.col("page_id") % 3 == 1, 404)
+    return projects.succeeded(_table(spark, sf_dir, "pages").withColumn("status", status)).select("page_id", "url")
+
+
+@query()
+def gltf_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gltf.tiles(_clouds(spark, sf_dir))
