@@ -35,7 +35,7 @@ BASE = {
 }
 ADDED = {
     "pem": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 0),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     "vendor": (r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 0),
 }
 KINDS = [*BASE, *ADDED]

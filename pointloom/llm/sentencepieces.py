@@ -62,7 +62,12 @@ class Codec:
         self.model, self.whole = model, rebuild(model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
         self.apart = model.splits_at_marks() and not model.charsmap and model.dummy_prefix
+        # a space marker alone, as behind a text's last space, cannot be given to the libraries as a text
+        ids = {p: i for i, (p, *_) in enumerate(model.pieces)}
+        parts = [MARK] if MARK in ids or not model.byte_fallback else [f"<0x{b:02X}>" for b in MARK.encode()]
+        lone = [ids.get(p, self.reference.unk_id()) for p in parts]
         self.kept: dict[str, tuple[list[int], bool]] = {}
+        self.lone = (lone, self.reference.encode("a") + lone == self.reference.encode("a "))
         special = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else special.get(kind, p.replace(MARK, " ").encode()) for p, _, kind in model.pieces]
 
@@ -77,6 +82,7 @@ class Codec:
             return self._both([t or "" for t in texts])
         if len(self.kept) > MAX_KEPT:
             self.kept.clear()
+        self.kept[""] = self.lone
         words = [pretokens(t, self.model) for t in texts]
         new = list({w for own in words for w in own if w not in self.kept})
         found = dict(zip(new, self._both([w.replace(MARK, " ") for w in new]), strict=True))
