@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.shared import shared_dir
+
 #: A word is a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -16,23 +17,6 @@ GAP = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not named:
-        named = spark.conf.get("pointloom.checkpoint.dir", None)
-        if not named:
-            named = f"file://{tempfile.mkdtemp(prefix='pointloom-')}"
-            spark.conf.set("pointloom.checkpoint.dir", named)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint; for narrow rows that are read again."""
     shared_dir(df.sparkSession)
@@ -56,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Every row as struct ``row``, so that no column's name can clash or hold what an expression can't name."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to lower case, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ are broadcast as one array. Scoring is a pass over whole texts without a shuffle
 Defined cases: a null or wordless text has no features and is scored by the bias alone;
 texts of any length are scored whole; labels that are null or not 0 or 1 are left out, of
 several labels of an id the largest counts; null ids are never learnt from and are not held
-out; without a label every score is 0.5 less an epsilon, so nothing is rejected; an empty
+out; without a weight (as without labels) every score is 0.5 less an epsilon, so nothing is rejected; an empty
 table gives an empty result; equal texts have equal scores.
 """
 
@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches, spread
+from .common import cut, short_batches, spread, whole_rows
 
 #: Hashed features; rows learnt from at most; held-out share is one in FOLDS.
 BITS, MAX_TRAIN, FOLDS = 18, 16_000, 5
@@ -94,8 +94,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(x, int(y)) for b in batches for x, y in zip(b["x"], b["y"], strict=True)]
         w = learn(rows)
-        if not rows:
-            w[-1] = -1e-6
         at = np.flatnonzero(w)
         yield pd.DataFrame({"at": at.astype("int32"), "w": w[at]})
 
@@ -106,6 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     weights = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", F.size("x"), F.hash("x")).mapInPandas(fit, "at int, w double").toPandas()
     dense = np.zeros(_SIZE + 1, np.float32)
     dense[weights["at"]] = weights["w"]
+    if not dense.any():
+        dense[-1] = -1e-6
     return spark.sparkContext.broadcast(dense)
 
 
@@ -130,10 +130,12 @@ def score(docs: DataFrame, weights: Broadcast) -> DataFrame:
 def keep_clean(docs: DataFrame, weights: Broadcast) -> DataFrame:
     """The rows of ``docs``, with its columns, that are not predicted toxic."""
     short_batches(docs.sparkSession)
-    place = docs.columns.index("text")
+    names, place = docs.columns, docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([score_text(t.as_py(), weights.value) < 0.5 for t in b.column(place)], pa.bool_()))
+            row = b.column(0)
+            clean = pa.array([score_text(t.as_py(), weights.value) < 0.5 for t in row.field(place)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(row.filter(clean).flatten(), names)
 
-    return docs.mapInArrow(of, docs.schema)
+    return whole_rows(docs).mapInArrow(of, docs.schema)
