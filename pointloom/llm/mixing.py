@@ -2,7 +2,10 @@
 
 Sizes are counted in words and added up per source, the targets fill up by weight to at
 most ``most`` times a source's size, and a document is emitted floor(rate) times plus
-once more if a number hashed from its id falls under the fraction.
+once more if a number hashed from its id and a seed falls under the fraction. Lengths of
+documents differ so much that one draw may miss a small source's target by half. So each source
+draws with that one of ``SEEDS`` seeds under which its taken words come nearest the target;
+the sums under all seeds come from one aggregate over ids and sizes.
 
 The targets have a closed form. Sources ordered by most * size / weight reach their limit
 in that order while the level (what is left, by weight) exceeds that ratio, so two running
@@ -21,23 +24,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, whole_rows
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 MAX_SOURCES = 50_000
-#: 13 hexadecimal digits: all fractions are exact doubles.
-_STEPS = 16**13
+SEEDS = 32
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def drawn(doc_id: Column, salt: str) -> Column:
-    """A number in [0, 1) from the document's id."""
-    digest = F.md5(F.concat(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / _STEPS
+def drawn(doc_id: Column, salt: str, seed: Column) -> Column:
+    """A number in [0, 1) from the document's id and a seed."""
+    digest = F.xxhash64(F.lit(salt), seed, F.coalesce(doc_id.cast("string"), F.lit("null")))
+    return F.shiftrightunsigned(digest, 11).cast("double") / 2**53
+
+
+def copies(doc_id: Column, salt: str, seed: Column) -> Column:
+    """Times that the mix has a document, by ``source_size`` and ``target`` of its source."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return F.floor(rate) + (drawn(doc_id, salt, seed) < rate - F.floor(rate)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -57,15 +65,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return levels.select("source", "source_size", F.when(F.col("full"), limit.cast("double")).otherwise(F.least(limit.cast("double"), final * F.col("weight"))).alias("target"))
 
 
+def _with_source(rows: DataFrame, per: DataFrame, small: bool) -> DataFrame:
+    side = per.withColumnRenamed("source", "of_source")
+    return rows.join(F.broadcast(side) if small else side, F.col("of").eqNullSafe(F.col("of_source")), "left")
+
+
+def seeds(sizes: DataFrame, per: DataFrame, salt: str, small: bool) -> DataFrame:
+    """``per`` with ``seed``: of SEEDS the one whose draw from ``sizes`` (of, id, size) comes nearest the target."""
+    sums = [F.sum(F.col("size") * copies(F.col("id"), salt, F.lit(k))).alias(f"taken_{k}") for k in range(SEEDS)]
+    taken = _with_source(sizes, per, small).groupBy("of").agg(*sums, *(F.first(c).alias(c) for c in ("source_size", "target")))
+    miss = F.array_min(F.array(*(F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS))))
+    return taken.select(F.col("of").alias("source"), "source_size", "target", miss.seed.alias("seed"))
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, salt: str = "mix", max_sources: int = MAX_SOURCES) -> DataFrame:
     """Every row of ``docs`` as struct ``row``, with size, source_size, target and copies (times that the mix has it)."""
-    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("of"), F.col("doc_id").alias("id"), size_of(F.col("text")).alias("size"))
-    per = cut(targets(sized.select(F.col("of").alias("source"), "size"), weights, most))
-    side = F.broadcast(per) if per.count() <= max_sources else per
-    joined = sized.join(side, F.col("of").eqNullSafe(side.source), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    more = drawn(F.col("id"), salt) < rate - F.floor(rate)
-    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + more.cast("long")).cast("long").alias("copies"))
+    sized = whole_rows(docs).select("row", F.col("row.source").alias("of"), F.col("row.doc_id").alias("id"), size_of(F.col("row.text")).alias("size"))
+    sizes = cut(sized.select("of", "id", "size"))
+    per = cut(targets(sizes.select(F.col("of").alias("source"), "size"), weights, most))
+    small = per.count() <= max_sources
+    seeded = cut(seeds(sizes, per, salt, small))
+    joined = _with_source(sized, seeded, small)
+    return joined.select("row", "size", "source_size", "target", copies(F.col("id"), salt, F.col("seed")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, salt: str = "mix") -> DataFrame:
