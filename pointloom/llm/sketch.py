@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP
 
-WIDTH, FRACTION, LEAST = 5, 1 / 32, 64
+WIDTH, FRACTION, LEAST = 5, 1 / 32, 128
 _BITS = 48
 #: Documents in a run of neighbours, about, and runs at most.
 RUN, MAX_RUNS = 2_000, 8_192
