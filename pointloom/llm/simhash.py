@@ -198,7 +198,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_shard: int = MAX_SHARD)
 def keep_one(docs: DataFrame, width: int = 3, max_shard: int = MAX_SHARD) -> DataFrame:
     """The rows of ``docs``, with its columns, that stay: of each component the one with the smallest
     doc_id (nulls last; then by text hash); of equal rows one."""
-    named = near_duplicates(docs, width, max_shard)
+    return keep_first(docs, near_duplicates(docs, width, max_shard))
+
+
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group; ``named`` has doc_id, text_hash and root of every row."""
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
     kept = cut(first.select(*row_key("k.doc_id", "k.text_hash")))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pointloom.llm import mixing, secretscan, simhash, toxicity
+from pointloom.llm import mixing, nearcopies, secretscan, toxicity
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,7 @@ def test_stages_act_on_what_came_before(spark, docs, labels, tmp_path):
     clean = corpus_pipeline.drop_toxic(spark, own, folder)
     assert sorted(map(str, clean.collect())) == sorted(map(str, want)) and clean.schema == own.schema
     single = corpus_pipeline.drop_near_duplicates(spark, clean, folder)
-    assert single.schema == own.schema and single.count() == simhash.near_duplicates(clean).select("root").distinct().count()
+    assert single.schema == own.schema and single.count() == nearcopies.near_copies(clean).select("root").distinct().count()
     masked = corpus_pipeline.mask_secrets(spark, single, folder)
     assert masked.schema == own.schema and masked.count() == single.count()
     assert not any(k in ("access", "hex") for r in masked.collect() for k, *_ in secretscan.scan(r.text or ""))
