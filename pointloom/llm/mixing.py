@@ -9,7 +9,8 @@ the sums under all seeds come from one aggregate over ids and sizes.
 
 The targets have a closed form. Sources ordered by most * size / weight reach their limit
 in that order while the level (what is left, by weight) exceeds that ratio, so two running
-sums over the per-source table give each target without repeating the resharing.
+sums over the per-source table give each target without repeating the resharing. That table,
+a row for each source and none for documents, is sorted in one task.
 
 The per-source table is broadcast if it has at most ``MAX_SOURCES`` rows; beyond, it is
 joined by shuffle, where adaptive execution splits a hot source's rows.
