@@ -18,7 +18,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,7 +31,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 from .common import short_batches
 from .piecemodel import BYTE, CONTROL, MARK, NORMAL, UNIGRAM, UNKNOWN, USER, PieceModel, pretokens
 
-MAX_KEPT, MAX_KEPT_LEN = 200_000, 48
+MAX_KEPT, MAX_KEPT_LEN = 300_000, 48
 THREADS = 2
 
 
@@ -56,6 +56,10 @@ def rebuild(model: PieceModel) -> Tokenizer:
     return out
 
 
+def _packed(ids: list[list[int]]) -> bytes:
+    return np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+
+
 class Codec:
     def __init__(self, model: PieceModel) -> None:
         os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(THREADS))
@@ -66,34 +70,48 @@ class Codec:
         ids = {p: i for i, (p, *_) in enumerate(model.pieces)}
         parts = [MARK] if MARK in ids or not model.byte_fallback else [f"<0x{b:02X}>" for b in MARK.encode()]
         lone = [ids.get(p, self.reference.unk_id()) for p in parts]
-        self.kept: dict[str, tuple[list[int], bool]] = {}
-        self.lone = (lone, self.reference.encode("a") + lone == self.reference.encode("a "))
+        self.lone = (_packed([lone]), self.reference.encode("a") + lone == self.reference.encode("a "))
+        # ids of a word as the bytes of 32-bit numbers, so that a text's ids are one join
+        self.kept: dict[str, bytes] = {}
+        self.differ: set[str] = set()
         special = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else special.get(kind, p.replace(MARK, " ").encode()) for p, _, kind in model.pieces]
 
-    def _both(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """Ids of each text, and whether the two libraries agree on it."""
+    def _learn(self, words: list[str], texts: list[str]) -> None:
+        """Keep the ids of new words, each given to both libraries as its text, and those on which the two differ."""
         got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         said = self.reference.encode(texts, num_threads=THREADS) if texts else []
-        return [(b, a == b) for a, b in zip(got, said, strict=True)]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], bool]]:
-        if not self.apart:
-            return self._both([t or "" for t in texts])
+        if got != said:
+            self.differ.update(w for w, a, b in zip(words, got, said, strict=True) if a != b)
+        raw, at = _packed(said), 0
+        for w, ids in zip(words, said, strict=True):
+            end = at + 4 * len(ids)
+            self.kept[w], at = raw[at:end], end
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
+        """Ids of each text (the bytes of 32-bit numbers), and whether the two libraries agree on it."""
         if len(self.kept) > MAX_KEPT:
             self.kept.clear()
-        self.kept[""] = self.lone
-        words = [pretokens(t, self.model) for t in texts]
-        new = list({w for own in words for w in own if w not in self.kept})
-        found = dict(zip(new, self._both([w.replace(MARK, " ") for w in new]), strict=True))
-        kept, out = self.kept, []
-        for own in words:
-            each = [found[w] if w in found else kept[w] for w in own]
-            out.append((list(chain.from_iterable(ids for ids, _ in each)), all(ok for _, ok in each)))
-        kept.update((w, found[w]) for w in new if len(w) <= MAX_KEPT_LEN)
+            self.differ.clear()
+        kept, differ = self.kept, self.differ
+        if self.apart:
+            kept[""] = self.lone[0]
+            differ.update([] if self.lone[1] else [""])
+            words = [pretokens(t, self.model) for t in texts]
+            new = list(set(chain.from_iterable(words)).difference(kept))
+            self._learn(new, [w.replace(MARK, " ") for w in new] if any(MARK in w for w in new) else new)
+        else:
+            words = [[t] if t else [] for t in texts]
+            new = list(set(chain.from_iterable(words)).difference(kept))
+            self._learn(new, new)
+        out = [(b"".join(map(kept.__getitem__, own)), not differ or differ.isdisjoint(own)) for own in words]
+        for w in new:
+            if len(w) > MAX_KEPT_LEN:
+                del kept[w]
+                differ.discard(w)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
@@ -108,9 +126,9 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             found = codec.encode(texts)
-            ends = np.cumsum([0] + [len(ids) for ids, _ in found], dtype=np.int32)
-            values = np.fromiter(chain.from_iterable(ids for ids, _ in found), np.int32, int(ends[-1]))
-            same = [codec.decode(ids) == (t or "").replace(MARK, " ") for (ids, _), t in zip(found, texts, strict=True)]
+            ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in found], dtype=np.int32)
+            values = np.frombuffer(b"".join(ids for ids, _ in found), np.int32)
+            same = [codec.decode(memoryview(ids).cast("i")) == (t or "").replace(MARK, " ") for (ids, _), t in zip(found, texts, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([ok for _, ok in found], pa.bool_()), pa.array(same, pa.bool_())], ["doc_id", "ids", "parity", "decoded_same"])
 
