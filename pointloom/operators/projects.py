@@ -83,5 +83,24 @@ def configured(projects: DataFrame, hit: Column, settings: Column) -> DataFrame:
     return _changed(projects, hit, {"projectConfig": settings})
 
 
+def updated(projects: DataFrame, updates: DataFrame) -> DataFrame:
+    """Many updates at once: (user_id, projectId, action, value), at most one for each project.
+
+    Actions: rename, status and config take the value, restart and delete take none; others change nothing.
+    """
+    keys = [F.col(f"p.{c}").eqNullSafe(F.col(f"u.{c}")) for c in ("user_id", "projectId")]
+    both = projects.alias("p").join(updates.select("user_id", "projectId", "action", "value").alias("u"), keys, "left")
+    action, value = F.coalesce(F.col("u.action"), F.lit("")), F.col("u.value")
+    again = action == "restart"
+    changes = {
+        "projectName": F.when((action == "rename") & ~is_blank(value), value),
+        "projectStatus": F.when(action == "status", value).when(again, "processing"),
+        "projectProgress": F.when(again, 0.0),
+        "projectConfig": F.when(action == "config", value),
+    }
+    own = [F.coalesce(changes[c], F.col(f"p.{c}")).alias(c) if c in changes else F.col(f"p.{c}") for c in projects.columns]
+    return both.where(action != "delete").select(*own)
+
+
 def succeeded(responses: DataFrame) -> DataFrame:
     return responses.where(F.col("status") == 200)

@@ -252,6 +252,16 @@ def project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.created(own, new).drop("projectDate")
 
 
+@query(f"""select p.user_id, p."projectId", case when k = 0 then 'again ' || p."projectId" else "projectName" end as "projectName",
+  case when k = 1 then 'error' when k = 2 then 'processing' else "projectStatus" end as "projectStatus", case when k = 2 then 0.0 else "projectProgress" end as "projectProgress"
+  from (select *, case when "projectId" % 4 = 0 then ("projectId" // 4) % 5 end as k from {_PROJECTS}) p where k is distinct from 3""")
+def project_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _projects(spark, sf_dir).drop("projectConfig", "projectDate")
+    action = F.get(F.array(*map(F.lit, ("rename", "status", "restart", "delete", "nothing"))), F.floor(F.col("projectId") / 4).cast("int") % 5)
+    value = F.when(action == "rename", F.concat(F.lit("again "), F.col("projectId").cast("string"))).when(action == "status", "error")
+    return projects.updated(own, own.where("projectId % 4 = 0").select("user_id", "projectId", action.alias("action"), value.alias("value")))
+
+
 #: Settings as JSON from events: a number, the same as text, blank and junk in turn.
 _SETTING = """(select event_id, event_id % 4 as how, json_extract_string(props, '$.k') as k from events)"""
 
