@@ -44,12 +44,14 @@ class Forward:
             total = math.log(sum(1 / (r + 2.7) for r in range(len(ranked))))
             self.score = {p: -math.log(r + 2.7) - total for r, p in enumerate(ranked)}
         self.longest = max(map(len, self.score), default=1)
+        # score of every end of a piece, None where it is no piece itself: a longer start is in vain where an end is missing
+        self.ends: dict[str, float | None] = {p[k:]: None for p in self.score for k in range(1, len(p))} | self.score
         self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.bytes = any(kind == BYTE for *_, kind in model.pieces)
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Tokens of each of the distinct ``words``."""
-        score, longest, out = self.score.get, self.longest, {}
+        ends, out = self.ends, {}
         best, path = [(0.0, 0)], ""  # (score, -tokens) of each prefix of path
         for word in sorted(words):
             shared, most = 0, min(len(path), len(word))
@@ -58,14 +60,17 @@ class Forward:
             del best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 top = None
-                for start in range(max(0, end - longest), end):
-                    s = score(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    piece = word[start:end]
+                    if piece not in ends:
+                        break
+                    s = ends[piece]
                     if s is not None:
                         x = best[start]
                         y = (x[0] + s, x[1] - 1)
                         if top is None or y > top:
                             top = y
-                if score(word[end - 1]) is None:
+                if ends.get(word[end - 1]) is None:
                     x = best[end - 1]
                     y = (x[0] + self.unknown, x[1] - (len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else 1))
                     if top is None or y > top:
