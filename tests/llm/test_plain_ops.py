@@ -7,11 +7,13 @@ import re
 
 import pytest
 import sentencepiece
-from pointloom.llm import pii, quality, secretscan, sentencepieces, tokencount
+from pointloom.llm import pii, quality, queries, secretscan, sentencepieces, tokencount
 from pointloom.llm.piecemodel import BYTE, MARK, PieceModel
 from pointloom.llm.queries import PIECE_MODEL
 from pyspark.sql import functions as F
 
+from tests.compare import assert_same
+
 
 def digest(spans: list[tuple]) -> str:
     return hashlib.sha256(",".join(":".join(map(str, s)) for s in spans).encode()).hexdigest()
@@ -136,6 +138,10 @@ def test_quality(docs, no_docs):
     assert quality.ledger(no_docs).count() == 0 == quality.ablations(quality.ledger(no_docs)).count()
 
 
+def test_quality_equals_sql(spark, sf_dir):
+    assert_same(queries.queries()["op9_quality_rules"](spark, sf_dir), sf_dir, queries.oracle_sql()["op9_quality_rules"])
+
+
 def test_policies_and_ablations_read_the_ledger(docs):
     own = quality.ledger(docs)
     rows = own.collect()
