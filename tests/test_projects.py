@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 
 import pytest
 from pointloom.functions import text
@@ -149,3 +151,39 @@ def test_latest_request_wins(spark):
     with latest.request() as second:
         assert second != first and spark.range(10).count() == 10
     assert not spark.sparkContext.getJobTags()
+
+
+def test_new_request_cancels_running_jobs(spark):
+    latest, ended = LatestOnly(spark), []
+
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    def first():
+        with latest.request():
+            try:
+                spark.range(0, 4, 1, 1).mapInPandas(slow, "id long").count()
+                ended.append("finished")
+            except Exception as e:  # noqa: BLE001
+                ended.append(str(e))
+
+    own = threading.Thread(target=first)
+    own.start()
+    began = time.time()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() - began < 20:
+        time.sleep(0.2)
+    with latest.request():
+        assert spark.range(5).count() == 5
+    own.join(30)
+    assert len(ended) == 1 and "cancel" in ended[0].lower()
+
+
+def test_updates_by_action(spark):
+    own = spark.createDataFrame([("u", str(i), "a", None, "idle", 1.0, None) for i in range(6)], PROJECT)
+    changes = spark.createDataFrame([("u", "0", "rename", "z"), ("u", "1", "rename", " "), ("u", "2", "delete", None), ("u", "3", "restart", None), ("u", "4", "config", "{}"), ("v", "5", "delete", None)], "user_id string, projectId string, action string, value string")
+    rows = {r.projectId: r for r in projects.updated(own, changes).collect()}
+    assert sorted(rows) == ["0", "1", "3", "4", "5"]
+    assert rows["0"].projectName == "z" and rows["1"].projectName == "a"
+    assert (rows["3"].projectStatus, rows["3"].projectProgress) == ("processing", 0.0)
+    assert rows["4"].projectConfig == "{}" and rows["5"] == own.where("projectId = 5").first()
