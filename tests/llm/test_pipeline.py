@@ -25,5 +25,18 @@ def test_stages_act_on_what_came_before(spark, docs, labels, tmp_path):
     assert encoded.count() == planned and encoded.where("not parity or not decoded_same").count() == 0
 
 
+def test_empty_tables_and_wordless_texts(spark, no_docs, labels, tmp_path):
+    for name, rows in (("none", no_docs), ("wordless", spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string"))):
+        folder = f"{tmp_path}/{name}"
+        more = rows if "source" in rows.columns else rows.withColumns({"source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")})
+        more.write.parquet(f"{folder}/documents.parquet")
+        labels.limit(0).write.parquet(f"{folder}/labels.parquet")
+        own = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mask_secrets):
+            assert stage(spark, own, folder).count() == own.count()
+        assert corpus_pipeline.drop_near_duplicates(spark, own, folder).count() == min(1, own.count())
+        assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_dedup", "secrets", "mixing", "sentencepiece"]
