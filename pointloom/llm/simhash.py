@@ -30,6 +30,7 @@ from .common import cut, short_batches
 SEED = 42
 RADIUS = 2
 MAX_SHARD = 512
+EDGES_IN_FILE = 50_000
 _BLOCK = 65_536
 
 
@@ -152,11 +153,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node with an edge: large-star and small-star rounds until nothing changes.
 
     Each star groups by node with partial aggregation and joins the minima back, so a hub
-    with very many edges is spread over tasks; every round is checkpointed.
+    with very many edges is spread over tasks; every round is checkpointed, in as many files as its
+    edges need.
     """
+    parts = 1
 
     def lowest(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
+        return cut(pairs.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
@@ -176,7 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = state(now)
     while before[0]:
-        now = cut(small(cut(large(now))))
+        parts = -(-before[0] // EDGES_IN_FILE)
+        now = cut(small(cut(large(now).coalesce(parts))).coalesce(parts))
         after = state(now)
         if after == before:
             break
