@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, short_batches
+from .common import cut, short_batches, spread
 
 RULE_VERSION = "2"
+PARTS = 8
 #: Patterns, least length of the tested group, in the order of kinds.
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -87,14 +88,24 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rule_version:
 
 
 def findings(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob, findings of every row of ``versions``; the ledger with its new rows)."""
+    """(doc_id, blob, findings of every row of ``versions``; the ledger with its new rows).
+
+    Nothing is scanned before one of them is read. Who keeps the ledger writes it and takes the rows by
+    ``joined`` from what was written, so that no blob is scanned twice.
+    """
     grown = scan_new(versions, ledger, rule_version)
     if ledger is not None:
         grown = ledger.select("blob", "rule_version", "findings").unionByName(grown)
-    grown = cut(grown)
-    now = grown.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    rows = blobs(versions).join(now, "blob", "left")
-    return rows.select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), grown
+    return joined(versions, grown, rule_version), grown
+
+
+def joined(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """doc_id, blob, findings of every row of ``versions`` by a ledger that has all its blobs."""
+    found = (F.col("rule_version") == rule_version) & (F.size("findings") > 0)
+    # the few blobs with findings go to PARTS places each, so that rows which share a blob are spread over tasks
+    now = ledger.where(found).select("blob", "findings", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")).alias("part"))
+    rows = blobs(versions).withColumn("part", spread(F.coalesce("doc_id", F.lit(0)), "copies", PARTS))
+    return rows.join(now, ["blob", "part"], "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def digests(found: DataFrame) -> DataFrame:
