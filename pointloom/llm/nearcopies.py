@@ -3,13 +3,15 @@
 For 64-bit fingerprints of five-word shingles, texts that share 0.8 of their shingles differ in
 about ten bits, too many to shard by blocks of bits. So texts meet in shards by the least hashes
 of their shingles (``BANDS`` keys of ``ROWS`` hashes each; texts of likeness 0.8 share a
-key with probability 0.9998). A shard's BK-tree finds the fingerprints within ``REACH`` bits,
-and a pair counts if its likeness is at least ``similarity``: exact for texts of up to ``KEPT``
-distinct shingles together, beyond that estimated from the KEPT smallest hashes (standard error
-0.0125 at 0.8). Only a spanning forest of each shard's links leaves its task.
+key with probability 0.9998). A shard's BK-tree links the fingerprints within ``REACH`` bits
+first; then all pairs that its links leave apart are compared, so the fingerprints decide
+nothing. A pair counts if its likeness, by distinct shingles, is at least ``similarity``. In
+shards a text of over ``KEPT`` distinct shingles goes by its KEPT smallest hashes; pairs whose
+likeness is then estimated within ``DOUBT`` (four standard errors) of the limit are settled by
+their whole sets. Only a spanning forest of each shard's links leaves its task.
 
 Texts with the same words, case of A-Z aside, are one class; only classes go on. A shard of
-over ``max_shard`` classes is not gathered: each member is compared with the shard's leader,
+over ``max_shard`` classes is not gathered. Each member is compared with the shard's leader,
 another one for each of its keys, so members of such a shard are linked through leaders.
 
 Defined cases: null and wordless texts are one class without links; texts under five words are
@@ -32,38 +34,52 @@ from .common import cut, short_batches, written
 from .simhash import SEED, BKTree, components, keep_first
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS, REACH, KEPT, MAX_SHARD = 16, 4, 18, 1024, 512
+BANDS, ROWS, REACH, KEPT, DOUBT, MAX_SHARD = 16, 4, 18, 1024, 0.05, 512
 _BLOCK = 65_536
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PAIRS = "a binary, b binary, sure boolean"
 
 
-def outline(text: str | None, width: int = WIDTH) -> tuple[bytes, int, list[int], bytes]:
-    """Class, fingerprint (signed), shard keys (signed) and the smallest distinct shingle hashes (32-bit) of a text."""
+def outline(text: str | None, width: int = WIDTH) -> tuple[bytes, int, list[int], bytes, bytes | None]:
+    """Class, fingerprint (signed), shard keys (signed), the smallest distinct shingle hashes (32-bit) of a text and the further ones."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     own = xxhash.xxh3_128_digest(b" ".join(words))
     if not words:
-        return own, 0, [], b""
+        return own, 0, [], b"", None
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    h = np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), _BLOCK):
         ones += np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = np.packbits((ones * 2 > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0]
     least = np.array([(h * odd).min() for odd in _ODD]).reshape(BANDS, ROWS)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(least)]
-    kept = np.unique((h >> np.uint64(32)).astype("<u4"))[:KEPT]
-    return own, int(fp), keys, kept.tobytes()
+    hashes = np.unique((h >> np.uint64(32)).astype("<u4"))
+    return own, int(fp), keys, hashes[:KEPT].tobytes(), hashes[KEPT:].tobytes() if len(hashes) > KEPT else None
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common hashes among the KEPT smallest of both together."""
-    both = np.union1d(a, b)[:KEPT]
-    return float((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).mean()) if len(both) else 0.0
-
-
-def forest(members: list[tuple[bytes, int, np.ndarray]], similarity: float, reach: int = REACH) -> list[tuple[bytes, bytes]]:
-    """Links of a spanning forest among a shard's (class, fingerprint, hashes)."""
+    """Share of common hashes among all of both."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if common else 0.0
+
+
+def judged(a: tuple, b: tuple, similarity: float) -> bool | None:
+    """Whether two (kept hashes, number of all) are alike; None where only their whole sets can say."""
+    (x, n), (y, m) = a, b
+    if min(n, m) < similarity * max(n, m):
+        return False
+    if n <= KEPT and m <= KEPT:
+        return likeness(x, y) >= similarity
+    both = np.union1d(x, y)[:KEPT]
+    near = float((np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)).mean())
+    return None if abs(near - similarity) < DOUBT else near >= similarity
+
+
+def forest(members: list[tuple[bytes, int, np.ndarray, int]], similarity: float, reach: int = REACH) -> list[tuple[bytes, bytes, bool]]:
+    """Links (a, b, True) of a spanning forest among a shard's (class, fingerprint, hashes, number of all), and the
+    pairs (a, b, False) between its trees that only whole sets can judge."""
     parent = list(range(len(members)))
 
     def top(i: int) -> int:
@@ -71,66 +87,120 @@ def forest(members: list[tuple[bytes, int, np.ndarray]], similarity: float, reac
             parent[i] = i = parent[parent[i]]
         return i
 
-    tree, at, out = BKTree(), {}, []
-    for i, (own, fp, kept) in enumerate(members):
+    tree, at, out, open_pairs = BKTree(), {}, [], []
+
+    def meet(i: int, j: int) -> None:
+        a, b = top(i), top(j)
+        if a != b:
+            alike = judged(members[i][2:], members[j][2:], similarity)
+            if alike:
+                parent[a] = b
+                out.append((members[i][0], members[j][0], True))
+            elif alike is None:
+                open_pairs.append((i, j))
+
+    for i, (_, fp, _, _) in enumerate(members):
         fp &= (1 << 64) - 1
         for value in tree.near(fp, reach):
             for j in at[value]:
-                a, b = top(i), top(j)
-                if a != b and likeness(kept, members[j][2]) >= similarity:
-                    parent[a] = b
-                    out.append((own, members[j][0]))
+                meet(i, j)
         tree.add(fp)
         at.setdefault(fp, []).append(i)
-    return out
+    open_pairs.clear()
+    if len({top(i) for i in range(len(members))}) > 1:
+        # each member's common hashes with all before it at once; kept hashes bound those of whole sets where both are whole
+        sizes = np.array([m[3] for m in members])
+        starts = np.cumsum([0] + [len(m[2]) for m in members])
+        values, flat = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True)
+        mark = np.zeros(len(values), bool)
+        for i in range(1, len(members)):
+            own = flat[starts[i] : starts[i + 1]]
+            mark[own] = True
+            common = np.add.reduceat(mark[flat[: starts[i]]], starts[:i], dtype=np.int64)
+            mark[own] = False
+            n, before = sizes[i], sizes[:i]
+            whole = (before <= KEPT) & (n <= KEPT)
+            for j in np.flatnonzero(np.where(whole, common >= similarity * (n + before - common) - 1e-6, np.minimum(n, before) >= similarity * np.maximum(n, before))):
+                meet(i, int(j))
+    return out + [(members[i][0], members[j][0], False) for i, j in open_pairs if top(i) != top(j)]
 
 
 def outlines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, class, fp, keys, kept of every row."""
+    """doc_id, text_hash, class, fp, keys, n, kept, further of every row."""
     short_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, fp, keys, kept = zip(*(outline(t.as_py(), width) for t in b.column(2)), strict=True) if b.num_rows else ((),) * 4
-            columns = [b.column(0), b.column(1), pa.array(own, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "fp", "keys", "kept"])
+            own, fp, keys, kept, further = zip(*(outline(t.as_py(), width) for t in b.column(2)), strict=True) if b.num_rows else ((),) * 5
+            n = [(len(k) + len(f or b"")) // 4 for k, f in zip(kept, further, strict=True)]
+            columns = [b.column(0), b.column(1), pa.array(own, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(kept, pa.binary()), pa.array(further, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "fp", "keys", "n", "kept", "further"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return narrow.mapInArrow(of, "doc_id long, text_hash long, class binary, fp long, keys array<long>, kept binary")
+    return narrow.mapInArrow(of, "doc_id long, text_hash long, class binary, fp long, keys array<long>, n int, kept binary, further binary")
 
 
-def links(rows: DataFrame, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame:
-    """Links (a, b) between classes of ``rows`` (class, fp, keys, kept; rows of a class are equal) that connect all alike."""
+def shards(rows: DataFrame) -> DataFrame:
+    """shard, class, members, leader of the shards of over one class; ``rows`` as of outlines, those of a class are equal."""
     keyed = rows.groupBy("class").agg(F.first("keys").alias("keys")).select("class", F.explode("keys").alias("shard"))
     lead = F.min(F.struct(F.xxhash64("class", "shard").alias("rank"), F.col("class"))).getField("class").alias("leader")
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("members"), lead).where("members > 1")
-    shared = cut(keyed.join(sizes, "shard"))
+    return cut(keyed.join(sizes, "shard"))
+
+
+def whole_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, whole (all hashes) of some classes."""
+    own = rows.join(classes, "class", "left_semi").select("class", F.concat("kept", F.coalesce("further", F.lit(b""))).alias("whole"))
+    return own.groupBy("class").agg(F.first("whole").alias("whole"))
+
+
+def by_whole_sets(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    sets = whole_sets(rows, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+    beside = pairs.join(sets.select(F.col("class").alias("a"), F.col("whole").alias("of_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("whole").alias("of_b")), "b")
+    return beside.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a binary, b binary")
+
+
+def links(rows: DataFrame, shared: DataFrame, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame:
+    """Links (a, b) between classes that connect all alike within small shards, and members of others with their leaders."""
     # of each class one row's sketch, and only for classes that meet another
-    each = rows.groupBy("class").agg(F.first("fp").alias("fp"), F.first("kept").alias("kept"))
+    each = rows.groupBy("class").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("kept").alias("kept"))
     sketches = written(each.join(shared.select("class").distinct(), "class", "left_semi"), "sketches")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [e for own in b["own"] for e in forest([(bytes(m["class"]), m["fp"], np.frombuffer(m["kept"], "<u4")) for m in sorted(own, key=lambda m: bytes(m["class"]))], similarity)]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
+            found = [e for own in b["own"] for e in forest([(bytes(m["class"]), m["fp"], np.frombuffer(m["kept"], "<u4"), m["n"]) for m in sorted(own, key=lambda m: bytes(m["class"]))], similarity)]
+            yield pd.DataFrame(found, columns=["a", "b", "sure"], dtype=object)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            alike = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            sides = [[(np.frombuffer(k.as_py(), "<u4"), n.as_py()) for k, n in zip(b.column(i), b.column(i + 1), strict=True)] for i in (2, 4)]
+            alike = [judged(x, y, similarity) for x, y in zip(*sides, strict=True)]
+            own = b.select(["a", "b"]).append_column("sure", pa.array(alike, pa.bool_()).fill_null(False))
+            yield own.filter(pa.array([x is not False for x in alike], pa.bool_()))
 
     small = shared.where(F.col("members") <= max_shard).select("shard", "class").join(sketches, "class")
-    by_tree = small.groupBy("shard").agg(F.collect_list(F.struct("class", "fp", "kept")).alias("own")).select("own").mapInPandas(search, "a binary, b binary")
+    by_tree = small.groupBy("shard").agg(F.collect_list(F.struct("class", "fp", "kept", "n")).alias("own")).select("own").mapInPandas(search, PAIRS)
     pairs = shared.where((F.col("members") > max_shard) & (F.col("class") != F.col("leader"))).select("class", "leader").distinct()
-    beside = pairs.join(sketches.select("class", F.col("kept").alias("kept_a")), "class").join(sketches.select(F.col("class").alias("leader"), F.col("kept").alias("kept_b")), "leader")
-    by_leader = beside.select(F.col("class").alias("a"), F.col("leader").alias("b"), "kept_a", "kept_b").mapInArrow(compare, "a binary, b binary")
-    return by_tree.unionByName(by_leader).distinct()
+    side = lambda c, s: sketches.select(F.col("class").alias(c), F.col("kept").alias(f"kept_{s}"), F.col("n").alias(f"n_{s}"))
+    beside = pairs.join(side("class", "a"), "class").join(side("leader", "b"), "leader")
+    by_leader = beside.select(F.col("class").alias("a"), F.col("leader").alias("b"), "kept_a", "n_a", "kept_b", "n_b").mapInArrow(compare, PAIRS)
+    found = cut(by_tree.unionByName(by_leader).distinct())
+    sure, open_pairs = found.where("sure").select("a", "b"), found.where("not sure").select("a", "b")
+    return sure if open_pairs.isEmpty() else sure.unionByName(by_whole_sets(open_pairs, rows, similarity))
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame:
     """doc_id, text_hash, class, root (one for all classes that links connect) of every row of ``docs``."""
     rows = written(outlines(docs, width), "outlines")
-    found = components(links(rows, similarity, max_shard))
+    shared = shards(rows)
+    found = components(links(rows, shared, similarity, max_shard))
     return rows.join(found, rows["class"] == found.node, "left").select("doc_id", "text_hash", "class", F.coalesce("root", "class").alias("root"))
 
 

@@ -79,3 +79,33 @@ def test_one_stays_with_all_columns(no_id_docs, no_docs):
     want = {min(g) for g in groups({r.doc_id: r.text for r in rows})}
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
     assert nearcopies.keep_one(no_docs).count() == 0 == nearcopies.near_copies(no_docs).count()
+
+
+def grouped(spark, texts: dict, **how) -> set:
+    got: dict = {}
+    for r in nearcopies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **how).collect():
+        got.setdefault(bytes(r.root), set()).add(r.doc_id)
+    return set(map(frozenset, got.values()))
+
+
+def test_repeated_passages_do_not_part_copies(spark):
+    texts = {}
+    for s in range(12):
+        own = random.Random(s)
+        base, passage = ([f"w{own.randrange(10**6)}" for _ in range(n)] for n in (150, 30))
+        texts |= {2 * s: " ".join(base + passage), 2 * s + 1: " ".join(base + passage * 10)}
+    assert grouped(spark, texts) == groups(texts) == {frozenset({2 * s, 2 * s + 1}) for s in range(12)}
+
+
+@pytest.mark.parametrize("max_shard", [1, 512])
+def test_whole_sets_decide_about_long_texts(spark, max_shard):
+    """Likeness just above and below the limit, where an estimate goes either way."""
+    texts = {}
+    for s in range(12):
+        own = random.Random(100 + s)
+        made = lambda n: [f"w{own.randrange(10**9)}" for _ in range(n)]
+        base, n = made(2000), 220 + s % 2 * 8
+        texts |= {2 * s: " ".join(base), 2 * s + 1: " ".join(base[:-n] + made(n))}
+    want = groups(texts)
+    assert {len(g) for g in want} == {1, 2}
+    assert grouped(spark, texts, max_shard=max_shard) == want
