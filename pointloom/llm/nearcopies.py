@@ -11,8 +11,11 @@ likeness is then estimated within ``DOUBT`` (four standard errors) of the limit
 their whole sets. Only a spanning forest of each shard's links leaves its task.
 
 Texts with the same words, case of A-Z aside, are one class; only classes go on. A shard of
-over ``max_shard`` classes is not gathered. Each member is compared with the shard's leader,
-another one for each of its keys, so members of such a shard are linked through leaders.
+over ``max_shard`` classes is not gathered. Its members are first compared with the shard's
+leader, another one for each of its keys. Where that leaves members of one shard in several
+components, all their classes are joined by a prefix filter over their whole sets, rarest hashes
+first: of two texts of the least likeness, the first hashes of the one are among those of the
+other, so no link is lost. Classes of one component are not paired again.
 
 Defined cases: null and wordless texts are one class without links; texts under five words are
 one shingle; texts of any length are taken whole; an empty table gives an empty result; other columns are kept
@@ -21,6 +24,7 @@ and never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,8 @@ from .simhash import SEED, BKTree, components, keep_first
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, REACH, KEPT, DOUBT, MAX_SHARD = 16, 4, 18, 1024, 0.05, 512
+#: Counters of the prefix filter's order, however many hashes there are.
+COUNTERS = 1 << 18
 _BLOCK = 65_536
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PAIRS = "a binary, b binary, sure boolean"
@@ -196,11 +202,65 @@ def links(rows: DataFrame, shared: DataFrame, similarity: float = SIMILARITY, ma
     return sure if open_pairs.isEmpty() else sure.unionByName(by_whole_sets(open_pairs, rows, similarity))
 
 
+def links_across(rows: DataFrame, shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame | None:
+    """The links (a, b) between classes of large shards that ``found`` (node, root) leaves in several components; None without such shards."""
+    hot = shared.where(F.col("members") > max_shard).select("shard", "class")
+    if hot.isEmpty():
+        return None
+    rooted = cut(hot.join(found, hot["class"] == found.node, "left").select("shard", "class", F.coalesce("root", "class").alias("root")))
+    apart = rooted.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    classes = rooted.join(apart, "shard", "left_semi").select("class", "root").distinct()
+    sets = written(whole_sets(rows, classes.select("class")).join(classes, "class"), "sets")
+    spark = rows.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.bincount(np.frombuffer(x.as_py(), "<u4") % COUNTERS, minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), _BLOCK):
+            part = used[at : at + _BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["counter", "n"])
+
+    counted = sets.select("whole").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    held = spark.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a pair, the text with more hashes has one of its ``first`` among the ``short`` of the other
+        names = ["hash", "short", "class", "root", "n"]
+        for b in batches:
+            for own, root, whole in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                h = np.frombuffer(whole.as_py(), "<u4")
+                h = h[np.lexsort((h, held.value[h % COUNTERS]))]
+                n = len(h)
+                first = n - math.ceil(similarity * n - 1e-6) + 1
+                short = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-6) + 1
+                h = h[:first]
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.arange(len(h)) < short), pa.array([own.as_py()] * len(h), pa.binary()), pa.array([root.as_py()] * len(h), pa.binary()), pa.array([n] * len(h), pa.int32())], names)
+
+    keyed = written(sets.select("class", "root", "whole").mapInArrow(prefixes, "hash long, short boolean, class binary, root binary, n int"), "prefixes")
+    # components that meet at a hash, and only then their classes: a component's own classes are never paired
+    roots = keyed.groupBy("hash", "root").agg(F.max("short").alias("short"))
+    left, right = roots.where("short").select("hash", F.col("root").alias("root_a")), roots.select("hash", F.col("root").alias("root_b"))
+    meeting = left.join(right, "hash").where("root_a != root_b")
+    a = keyed.where("short").select("hash", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+    b = keyed.select("hash", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & ((F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b")))
+    pairs = cut(meeting.join(a, ["hash", "root_a"]).join(b, ["hash", "root_b"]).where(fits).select("a", "b").distinct())
+    return by_whole_sets(pairs, rows, similarity)
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame:
     """doc_id, text_hash, class, root (one for all classes that links connect) of every row of ``docs``."""
     rows = written(outlines(docs, width), "outlines")
     shared = shards(rows)
     found = components(links(rows, shared, similarity, max_shard))
+    across = links_across(rows, shared, found, similarity, max_shard)
+    if across is not None:
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
     return rows.join(found, rows["class"] == found.node, "left").select("doc_id", "text_hash", "class", F.coalesce("root", "class").alias("root"))
 
 

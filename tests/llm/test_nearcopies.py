@@ -88,6 +88,21 @@ def grouped(spark, texts: dict, **how) -> set:
     return set(map(frozenset, got.values()))
 
 
+def test_copies_far_from_the_leader_are_found(spark):
+    """A family of likeness 0.74 whose members have copies of their own, all keys of a pair in large shards or none."""
+    own = random.Random(5)
+    made = lambda n: [f"w{own.randrange(10**6)}" for _ in range(n)]
+    common, texts = made(170), []
+    for _ in range(60):
+        tail = made(30)
+        for _ in range(2):
+            texts.append(" ".join(common + tail[:16] + made(14)))
+    texts = dict(enumerate(texts))
+    want = groups(texts)
+    assert sum(len(g) > 1 for g in want) >= 30
+    assert grouped(spark, texts, max_shard=8) == want
+
+
 def test_repeated_passages_do_not_part_copies(spark):
     texts = {}
     for s in range(12):
