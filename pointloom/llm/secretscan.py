@@ -128,7 +128,10 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """``docs``, with its columns, with the secrets in ``text`` masked and ``n_chars`` counted anew."""
-    grown = cut(scan_new(docs, ledger).where(F.size("findings") > 0))
+    grown = scan_new(docs, ledger)
+    if ledger is not None:
+        grown = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "findings").unionByName(grown)
+    grown = cut(grown.where(F.size("findings") > 0))
     named = [F.col(f"`{c}`") for c in docs.columns]
     joined = docs.select(F.struct(*named).alias("row"), blob_of().alias("blob")).join(grown.select("blob", "findings"), "blob", "left")
     place = docs.columns.index("text")

@@ -102,6 +102,13 @@ def test_redaction_keeps_rows_and_columns(docs, no_docs):
     assert secretscan.redact(no_docs).count() == 0
 
 
+def test_redaction_masks_blobs_of_an_earlier_run(spark, docs):
+    _, ledger = secretscan.findings(docs)
+    kept = ledger.union(ledger.withColumn("rule_version", F.lit("old")))
+    again, whole = (sorted(map(str, secretscan.redact(docs, own).collect())) for own in (kept, None))
+    assert again == whole
+
+
 def test_private_data(docs, no_docs):
     own = pii.digests(pii.spans(docs, pii.train(docs)))
     rows = own.collect()
