@@ -3,7 +3,8 @@
 The field's nodes are the tokens of a document that hold a digit or ``@``; all other
 tokens are O (no personal data) by definition and need no messages. Neighbouring tokens
 share chain potentials; occurrences of the same or a similar token (equal digits) share
-skip potentials, from each occurrence to the next, so their number stays linear. Loopy
+skip potentials, from each occurrence to the one before and to the first, so their number stays
+linear and any two occurrences are at most two edges apart. Loopy
 sum-product message passing runs over all documents of a batch at once and makes labels
 agree across a document. A token that the field labels with ``CERTAIN`` probability and
 that no base span overlaps becomes an added span.
@@ -119,12 +120,13 @@ def graph(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int,
         labels.append(LABELS.index(own[0]) if own else 0)
     cores = [text[s:e] for s, e in found]
     chain = [(i, i + 1) for i in range(len(found) - 1) if 0 < found[i + 1][0] - found[i][1] <= 3 and " " in text[found[i][1] : found[i + 1][0]]]
-    skip, last = [], {}
+    chained, skip, first, last = set(chain), [], {}, {}
     for i, core in enumerate(cores):
         digits = "".join(c for c in core if c.isdecimal())
         for key in {core.lower(), digits if len(digits) >= 7 else core.lower()}:
-            if key in last and last[key] != i - 1:
-                skip.append((last[key], i))
+            if key in last:
+                skip += [edge for edge in ((first[key], i), (last[key], i)) if edge not in chained]
+            first.setdefault(key, i)
             last[key] = i
     return found, [node_features(c) for c in cores], labels, chain, sorted(set(skip))
 

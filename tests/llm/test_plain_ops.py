@@ -136,6 +136,16 @@ def test_field_agrees_across_a_document():
     assert p[1].argmax() == 4 and p[2].argmax() == 0
 
 
+def test_equal_tokens_far_apart_are_linked():
+    text = "call 5551234567 " + "some plain words " * 50 + "or 555-123-4567 and " + "more words " * 40 + "5551234567"
+    _, _, _, chain, skip = pii.graph(text, [])
+    assert not chain and skip == [(0, 1), (0, 2), (1, 2)]
+    _, _, _, chain, skip = pii.graph("5551234567 5551234567", [])
+    assert chain == [(0, 1)] and not skip
+    _, _, _, _, skip = pii.graph("x1 words " * 40, [])
+    assert {(0, i) for i in range(1, 40)} <= set(skip) and len(skip) < 80
+
+
 def test_quality(docs, no_docs):
     own = quality.ledger(docs)
     rows = quality.apply_policy(own).collect()
