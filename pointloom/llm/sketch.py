@@ -9,6 +9,10 @@ or merged, up to the smaller of their thetas.
 Hashes are spread over [0, 2**48); a text's sketch is written as its theta and its hashes in
 hexadecimal, so equal texts have equal fingerprints and the sketch can be read back.
 
+Where two sketches have fewer than ``COMPARED`` hashes of the smaller text under both thetas, as
+for a short text beside a long one, likeness is taken from all hashes of both texts; by sketches
+alone it is null if none can be compared.
+
 Defined cases: a null text counts as the empty text; texts of under five words are one
 shingle, texts without words have an empty sketch; likeness with an empty sketch is 1 if both
 are equal, else 0; texts of any length are taken whole; ties of doc_id are ordered by the
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP
 
-WIDTH, FRACTION, LEAST = 5, 1 / 32, 128
+WIDTH, FRACTION, LEAST, COMPARED = 5, 1 / 32, 128, 64
 _BITS = 48
 #: Documents in a run of neighbours, about, and runs at most.
 RUN, MAX_RUNS = 2_000, 8_192
@@ -60,18 +64,33 @@ def written_out(s: Column) -> Column:
     return F.lower(F.concat(F.hex(s.theta), F.lit(":"), F.array_join(F.transform(s.kept, lambda h: F.hex(h)), ",")))
 
 
+def known(a: Column, b: Column) -> Column:
+    """How many hashes of the text with fewer of them both sketches can compare."""
+    under = F.least(a.theta, b.theta)
+    return F.least(*(F.size(F.filter(side.kept, lambda h: h < under)) for side in (a, b)))
+
+
 def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller text's shingles that the other has, by what both sketches know."""
+    """Share of the smaller text's shingles that the other has, by what both sketches know; null if that is nothing."""
 
     def of(pair: Column) -> Column:
         under = F.least(pair.a.theta, pair.b.theta)
         x, y = (F.filter(side.kept, lambda h: h < under) for side in (pair.a, pair.b))
         smaller = F.least(F.size(x), F.size(y))
-        return F.when(smaller == 0, F.when(pair.a == pair.b, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(x, y)) / smaller)
+        empty = (F.size(pair.a.kept) == 0) | (F.size(pair.b.kept) == 0)
+        none = F.when(pair.a == pair.b, 1.0).when(empty, 0.0)
+        return F.when(smaller == 0, none).otherwise(F.size(F.array_intersect(x, y)) / smaller)
 
     return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
 
 
+def likeness(a: Column, text_a: Column, b: Column, text_b: Column) -> Column:
+    """Containment by the sketches a and b, or by all hashes of their texts where the sketches know too little."""
+    whole = lambda t: F.struct(F.lit(2**_BITS).alias("theta"), hashes(t).alias("kept"))
+    complete = F.least(a.theta, b.theta) == 2**_BITS
+    return F.when(complete | (known(a, b) >= COMPARED), containment(a, b)).otherwise(containment(whole(text_a), whole(text_b)))
+
+
 def merged(a: Column, b: Column) -> Column:
     """The sketch of both texts together, complete up to the smaller theta."""
     under = F.least(a.theta, b.theta)
@@ -124,5 +143,6 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     return e.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written_out(F.col("sketch")).alias("fingerprint"), written_out(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        likeness(F.col("sketch"), F.col("text"), F.col("edited_sketch"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("text"), F.col("next_sketch"), F.col("next_text")).alias("near_next"),
     )

@@ -267,6 +267,18 @@ def test_single_and_repeated_documents(spark):
     assert sketch.fingerprints(same, run=1).count() == 3
 
 
+def test_short_texts_in_long_ones(spark):
+    words = [f"w{i}" for i in range(8000)]
+    rows = []
+    for i in range(20):
+        at, n = 300 * i, (24, 54, 104)[i % 3]
+        rows += [(2 * i, " ".join(words[at : at + n])), (2 * i + 1, " ".join(words))]
+    found = sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 40 and all(r.near_next == 1.0 for r in found)
+    pair = spark.createDataFrame([("a b c d e f", " ".join(words)), ("", " ".join(words))], "a string, b string").select(*(sketch.sketch(F.col(c)).alias(c) for c in "ab"))
+    assert [r.near for r in pair.select(sketch.containment(F.col("a"), F.col("b")).alias("near")).collect()] == [None, 0.0]
+
+
 def test_sketches_merge(spark):
     words = [str(i) for i in range(9000)]
     df = spark.createDataFrame([(" ".join(words[:6000]), " ".join(words[5996:]), " ".join(words))], "a string, b string, whole string")
