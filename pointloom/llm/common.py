@@ -13,8 +13,8 @@ from pointloom.shared import shared_dir
 #: A word is a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: whole texts are passed to Python, so batches stay short.
-ARROW_ROWS = 1000
+#: Rows and bytes in an Arrow batch: whole texts are passed to Python, so batches stay short.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,8 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound what one Arrow batch of whole texts holds, in rows and bytes; the session's own lower bounds stay."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).rstrip("b") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,20 +2,25 @@
 
 The field's nodes are the tokens of a document that hold a digit or ``@``; all other
 tokens are O (no personal data) by definition and need no messages. Neighbouring tokens
-share chain potentials; occurrences of the same or a similar token (equal digits) share
-skip potentials, from each occurrence to the one before and to the first, so their number stays
-linear and any two occurrences are at most two edges apart. Loopy
-sum-product message passing runs over all documents of a batch at once and makes labels
-agree across a document. A token that the field labels with ``CERTAIN`` probability and
-that no base span overlaps becomes an added span.
-
-The weights are learnt here by pseudo-likelihood from tokens that the base patterns label, in
-one task, over a sample of at most ``MAX_TRAIN`` documents and ``MAX_TOKENS`` tokens; they are
-a table of under 200 kB, which is broadcast. Base spans never depend on the field.
-
-Defined cases: a null text counts as the empty text, without spans; texts of any length are
-scanned whole; equal texts have equal spans; an empty table gives an empty result, and
-without a document to learn from no span is added; other columns are ignored.
+share chain potentials. Occurrences of the same token, or of a similar one (the same last
+``ALIKE`` digits, or the same local part of an address), share skip potentials however far
+apart they are, from each occurrence to the one before and to the first, so their number stays
+linear and any two occurrences are at most two edges apart. Tokens of base spans hold
+their label; loopy sum-product message passing, over all documents of a batch at once and until
+the messages settle, carries it to the tokens that no pattern finds. Of those, the ones that
+the field labels with ``CERTAIN`` probability become added spans.
+
+The weights are learnt here by pseudo-likelihood from tokens that the base patterns label. As
+what the patterns test would else explain every label, each token is echoed while learning: by a
+mention of it that no pattern sees, with the same label, its features hidden and a skip edge as its only
+tie, and by a stranger, hidden and without ties, which is O. So the skip weights are learnt from
+what other occurrences say. A token that a pattern finds only where it stands alone teaches nothing. Learning is one task over a sample of at most ``MAX_TRAIN``
+documents (repeated rows once), ``MAX_IN_TEXT`` tokens of each and ``MAX_TOKENS`` in all; the weights
+are a table of under 200 kB, which is broadcast. Base spans never depend on the field.
+
+Defined cases: a null text counts as the empty text, without spans; null ids are kept; texts of
+any length are scanned whole; equal texts have equal spans; an empty table gives an empty
+result, and without a document to learn from no span is added; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +50,15 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-MAX_TRAIN, MAX_TOKENS = 20_000, 60_000
-CERTAIN, SWEEPS, BUCKETS = 0.9, 8, 4096
+MAX_TRAIN, MAX_TOKENS, MAX_IN_TEXT = 20_000, 60_000, 2_000
+CERTAIN, SWEEPS, SETTLED, BUCKETS = 0.9, 200, 1e-9, 4096
+ALIKE = 7
+#: Features of a node, whatever the token.
+FEATURES = 11
+#: Kinds of skip edges, each with a weight of its own.
+EQUAL, SIMILAR = 0, 1
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+_LOCAL_START = re.compile(r"(?:[a-z][a-z0-9.+-]*)?")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'([{<|#*$%&", ".,;:!?\"')]}>|#*$%&"
 
 
@@ -59,6 +70,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_octet(digits: str) -> bool:
+    """Whether ASCII digits, of any length, are a number of at most 255."""
+    own = digits.lstrip("0")
+    return len(own) < 3 or (len(own) == 3 and own <= "255")
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the e-mail pattern, found from each @ backwards instead of from every character on."""
     at, free = text.find("@"), 0
@@ -76,7 +93,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """kind, start, end of the base kinds, by kind, then start."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(is_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -99,49 +116,90 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def node_features(core: str) -> list[int]:
-    """Hashed features of a token."""
-    digits = "".join(c for c in core if c.isdecimal())
-    shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", core)))[:40]
-    octets = re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", core)
-    named = [
-        "bias", f"shape {shape}", f"digits {min(len(digits), 20)}", f"length {min(len(core), 24) // 3}", f"first {shape[:1]}", f"at {'@' in core}",
-        f"dots {min(core.count('.'), 4)}", f"long {13 <= len(digits) <= 19 and luhn(digits)}", f"octets {bool(octets) and all(int(x) <= 255 for x in core.split('.'))}",
-    ]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in named]
+def digits_of(core: str) -> str:
+    return "".join(c for c in core if c.isdecimal())
+
+
+def node_features(core: str, before: str, after: str, hidden: bool = False) -> list[int]:
+    """Hashed features of a token between two words; those that show what the patterns test can be hidden."""
+    named = [f"before {before[-8:].lower()}", f"after {after[:8].lower()}", "bias"]
+    if hidden:
+        named += [f"hidden {k}" for k in range(8)]
+    else:
+        digits = digits_of(core)
+        shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", core)))[:40]
+        octets = core.split(".")
+        named += [
+            f"shape {shape}", f"digits {min(len(digits), 20)}", f"length {min(len(core), 24) // 3}", f"first {shape[:1]}", f"at {'@' in core}", f"dots {min(len(octets) - 1, 4)}",
+            f"long {13 <= len(digits) <= 19 and luhn(digits)}", f"octets {len(octets) == 4 and all(x.isascii() and x.isdigit() and is_octet(x) for x in octets)}",
+        ]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in named]
 
 
-def graph(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens, their features and base labels, chain edges and skip edges of one text."""
+def alike(core: str) -> set[tuple[int, str]]:
+    """What other occurrences of a token share with it, with the kind of the edge between them."""
+    digits, own = digits_of(core), {(EQUAL, core.lower())}
+    if len(digits) >= ALIKE:
+        own.add((SIMILAR, digits[-ALIKE:]))
+    local = _LOCAL_START.match(core.lower())[0]
+    if len(local) >= 5 and not local.isdecimal():
+        own.add((SIMILAR, local))
+    return own
+
+
+def graph(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Tokens, their features and base labels, chain edges and skip edges (with their kinds) of one text."""
     found = tokens(text)
-    labels, order = [], sorted((s, e, k) for k, s, e in spans)
+    labels, order, at = [], sorted((s, e, k) for k, s, e in spans), 0
     for start, end in found:
-        own = [k for s, e, k in order if s < end and start < e] if order else []
-        labels.append(LABELS.index(own[0]) if own else 0)
+        while at < len(order) and order[at][1] <= start:
+            at += 1
+        own = next((k for s, e, k in order[at : at + len(KINDS)] if s < end and start < e), None)
+        labels.append(LABELS.index(own) if own else 0)
     cores = [text[s:e] for s, e in found]
     chain = [(i, i + 1) for i in range(len(found) - 1) if 0 < found[i + 1][0] - found[i][1] <= 3 and " " in text[found[i][1] : found[i + 1][0]]]
-    chained, skip, first, last = set(chain), [], {}, {}
+    chained, skip, first, last = set(chain), {}, {}, {}
     for i, core in enumerate(cores):
-        digits = "".join(c for c in core if c.isdecimal())
-        for key in {core.lower(), digits if len(digits) >= 7 else core.lower()}:
+        for kind, key in sorted(alike(core)):
             if key in last:
-                skip += [edge for edge in ((first[key], i), (last[key], i)) if edge not in chained]
+                for edge in ((first[key], i), (last[key], i)):
+                    if edge not in chained:
+                        skip.setdefault(edge, kind)
             first.setdefault(key, i)
             last[key] = i
-    return found, [node_features(c) for c in cores], labels, chain, sorted(set(skip))
+    rows = []
+    for (s, e), core in zip(found, cores, strict=True):
+        before, after = text[max(0, s - 24) : s].split()[-1:], text[e : e + 24].split()[:1]
+        rows.append(node_features(core, "".join(before), "".join(after)))
+    return found, rows, labels, chain, [(*edge, kind) for edge, kind in sorted(skip.items())]
+
+
+def lessons(text: str, spans: list[tuple[str, int, int]]) -> tuple:
+    """What is learnt from a text: its graph without the tokens that a pattern finds only where they stand alone,
+    with an echo of each token that has a label, and as many strangers."""
+    found, x, y, chain, skip = graph(text, spans)
+    kept = [i for i, (s, e) in enumerate(found) if y[i] or not base_spans(text[s:e])]
+    at = {i: j for j, i in enumerate(kept)}
+    x, y = [x[i] for i in kept], [y[i] for i in kept]
+    chain = [(at[a], at[b]) for a, b in chain if a in at and b in at]
+    skip = [(at[a], at[b], kind) for a, b, kind in skip if a in at and b in at]
+    n, said = len(y), [i for i in range(len(y)) if y[i]]
+    hidden = [node_features("", "", "", True)] * len(said)
+    skip += [(i, n + j, (EQUAL, SIMILAR)[j % 2]) for j, i in enumerate(said)]
+    return [(0, 0)] * (n + 2 * len(said)), x + hidden + hidden, y + [y[i] for i in said] + [0] * len(said), chain, skip
 
 
 def learn(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 150) -> dict:
-    """Weights by gradient steps on the pseudo-likelihood: node (BUCKETS x labels), chain (labels x labels), skip (one)."""
+    """Weights by gradient steps on the pseudo-likelihood: node (BUCKETS x labels), chain (labels x labels), skip (one for each kind)."""
     k, n = len(LABELS), len(y)
-    unary, trans, same = np.zeros((BUCKETS, k)), np.zeros((k, k)), 0.0
-    su, st, ss = np.full((BUCKETS, 1), 1e-6), 1e-6, 1e-6
+    unary, trans, same = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(2)
+    su, st, ss = np.full((BUCKETS, 1), 1e-6), 1e-6, np.full(2, 1e-6)
     gold = np.eye(k)[y]
-    ones = np.zeros((n, k))  # labels of skip neighbours
+    ones = np.zeros((2, n, k))  # labels of skip neighbours, by kind of the edge
     for a, b in ((skip[:, 0], skip[:, 1]), (skip[:, 1], skip[:, 0])):
-        np.add.at(ones, a, gold[b])
+        np.add.at(ones, (skip[:, 2], a), gold[b])
     for _ in range(rounds if n else 0):
-        logit = unary[x].sum(1) + same * ones
+        logit = unary[x].sum(1) + np.tensordot(same, ones, 1)
         np.add.at(logit, chain[:, 1], trans[y[chain[:, 0]]])
         np.add.at(logit, chain[:, 0], trans[:, y[chain[:, 1]]].T)
         p = np.exp(logit - logit.max(1, keepdims=True))
@@ -151,19 +209,26 @@ def learn(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, rou
             np.add.at(gu, x[:, j], d)
         np.add.at(gt, y[chain[:, 0]], d[chain[:, 1]])
         np.add.at(gt.T, y[chain[:, 1]], d[chain[:, 0]])
-        gu, gt, gs = gu - 1e-6 * unary, gt - 1e-6 * trans, float((d * ones).sum()) - 1e-6 * same
+        gu, gt, gs = gu - 1e-6 * unary, gt - 1e-6 * trans, (d * ones).sum((1, 2)) - 1e-6 * same
         su, st, ss = su + (gu**2).sum(1, keepdims=True), st + (gt**2).sum(), ss + gs**2
-        unary, trans, same = unary + 0.5 * gu / np.sqrt(su), trans + 0.5 * gt / np.sqrt(st), max(0.0, same + 0.2 * gs / np.sqrt(ss))
+        unary, trans, same = unary + 0.5 * gu / np.sqrt(su), trans + 0.5 * gt / np.sqrt(st), np.maximum(0.0, same + 0.5 * gs / np.sqrt(ss))
     return {"unary": unary.astype(np.float32), "chain": trans, "skip": same, "learnt": n}
 
 
-def marginals(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict, sweeps: int = SWEEPS) -> np.ndarray:
-    """Label probabilities of every node by loopy belief propagation, all edges in step."""
+def marginals(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict, held: np.ndarray | None = None, sweeps: int = SWEEPS) -> np.ndarray:
+    """Label probabilities of every node by loopy belief propagation, all edges in step until the messages settle.
+
+    ``held`` gives nodes that hold a label other than O; exact where the edges have no loop.
+    """
     k = len(LABELS)
     unary = w["unary"][x].sum(1).astype(np.float64)
-    edges = np.concatenate([chain, skip]).astype(int).reshape(-1, 2)
+    if held is not None:
+        at = np.flatnonzero(held)
+        unary[at] = -1e3
+        unary[at, held[at]] = 0.0
+    edges = np.concatenate([chain[:, :2], skip[:, :2]]).astype(int).reshape(-1, 2)
     if len(edges):
-        pot = np.concatenate([np.repeat(w["chain"][None], len(chain), 0), np.repeat(w["skip"] * np.eye(k)[None], len(skip), 0)])
+        pot = np.concatenate([np.repeat(w["chain"][None], len(chain), 0), np.asarray(w["skip"])[skip[:, 2]][:, None, None] * np.eye(k)[None]])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         pot, back = np.concatenate([pot, pot.transpose(0, 2, 1)]), np.roll(np.arange(len(src)), -len(edges))
         message = np.zeros((len(src), k))
@@ -173,7 +238,10 @@ def marginals(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict, sweep
             out = (belief[src] - message[back])[:, :, None] + pot
             top = out.max(1)
             fresh = np.log(np.exp(out - top[:, None]).sum(1)) + top
-            message = 0.5 * message + 0.5 * (fresh - fresh.max(1, keepdims=True))
+            fresh = 0.5 * message + 0.5 * (fresh - fresh.max(1, keepdims=True))
+            moved, message = np.abs(fresh - message).max(), fresh
+            if moved < SETTLED:
+                break
         np.add.at(unary, dst, message)
     p = np.exp(unary - unary.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -183,21 +251,25 @@ def _joined(graphs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """The graphs of many texts as one: features, labels, chain and skip edges."""
     starts = np.cumsum([0] + [len(g[0]) for g in graphs])
     x = [f for g in graphs for f in g[1]]
-    moved = lambda part: np.array([(a + s, b + s) for g, s in zip(graphs, starts, strict=False) for a, b in g[part]], int).reshape(-1, 2)
-    return np.array(x, int).reshape(len(x), -1), np.array([y for g in graphs for y in g[2]], int), moved(3), moved(4)
+    chain = [(a + s, b + s) for g, s in zip(graphs, starts, strict=False) for a, b in g[3]]
+    skip = [(a + s, b + s, kind) for g, s in zip(graphs, starts, strict=False) for a, b, kind in g[4]]
+    return np.array(x, int).reshape(-1, FEATURES), np.array([y for g in graphs for y in g[2]], int), np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 3)
 
 
 def find(texts: list[str | None], w: dict) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text, by kind, then start; base spans as they are, and the field's further ones."""
+    """All spans of each text, by kind, then start; base spans as they are, and the field's further ones.
+
+    Neighbouring tokens become one span only as parts of a telephone number.
+    """
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
     if not w["learnt"]:
         return base
     graphs = [graph(t, s) for t, s in zip(texts, base, strict=True)]
-    x, _, chain, skip = _joined(graphs)
+    x, held, chain, skip = _joined(graphs)
     if not len(x):
         return base
-    p, at, out = marginals(x, chain, skip, w), 0, []
+    p, at, out = marginals(x, chain, skip, w, held), 0, []
     for text, spans, g in zip(texts, base, graphs, strict=True):
         own = p[at : at + len(g[0])]
         at += len(g[0])
@@ -206,7 +278,8 @@ def find(texts: list[str | None], w: dict) -> list[list[tuple[str, int, int]]]:
         for i, ((start, end), gold, row) in enumerate(zip(g[0], g[2], own, strict=True)):
             y = int(row[1:].argmax()) + 1
             if gold == 0 and row[y] >= CERTAIN:
-                if i in linked and added and added[-1][0] == LABELS[y] and added[-1][2] == g[0][i - 1][1]:
+                part = i in linked and added and added[-1][0] == LABELS[y] == "phone" and added[-1][2] == g[0][i - 1][1]
+                if part and len(digits_of(text[added[-1][1] : end])) <= 15:
                     added[-1] = (added[-1][0], added[-1][1], end)
                 else:
                     added.append((LABELS[y], start, end))
@@ -215,18 +288,19 @@ def find(texts: list[str | None], w: dict) -> list[list[tuple[str, int, int]]]:
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Broadcast:
-    """The field's weights, broadcast, learnt from the base labels of at most ``max_train`` documents."""
+    """The field's weights, broadcast, learnt from the base labels of at most about ``max_train`` documents."""
     spark = docs.sparkSession
     short_batches(spark)
     n = docs.count()
-    sample = docs.where(spread(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "pii") < int(1_000_000 * min(1.0, max_train / max(n, 1)))).select("text")
+    rows = docs.select(F.xxhash64(F.lit("pii"), F.col("doc_id").cast("long"), "text").alias("row"), "text")
+    sample = rows.where(spread(F.col("row"), "pii") < int(1_000_000 * min(1.0, max_train / max(n, 1))))
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            graphs = [graph(t or "", base_spans(t or "")) for t in b["text"]]
-            graphs = [g for g in graphs if g[0]]
-            flat = [[v for f in g[1] for v in f] for g in graphs]
-            yield pd.DataFrame({"x": flat, "y": [g[2] for g in graphs], "chain": [[v for e in g[3] for v in e] for g in graphs], "skip": [[v for e in g[4] for v in e] for g in graphs]})
+            graphs = [(r, lessons(t or "", base_spans(t or ""))) for r, t in zip(b["row"], b["text"], strict=True)]
+            graphs = [(r, *(part[:MAX_IN_TEXT] for part in g[1:3]), *([e for e in part if e[1] < MAX_IN_TEXT] for part in g[3:])) for r, g in graphs if g[0]]
+            flat = [[[v for e in part for v in e] for part in (g[1], g[3], g[4])] for g in graphs]
+            yield pd.DataFrame({"row": [g[0] for g in graphs], "x": [f[0] for f in flat], "y": [g[2] for g in graphs], "chain": [f[1] for f in flat], "skip": [f[2] for f in flat]}, dtype=object)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graphs, total = [], 0
@@ -234,22 +308,23 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Broadcast:
             for r in b.itertuples(index=False):
                 y = [int(v) for v in r.y]
                 if total + len(y) <= MAX_TOKENS:
-                    pair = lambda flat: [(int(flat[i]), int(flat[i + 1])) for i in range(0, len(flat), 2)]
-                    graphs.append(([(0, 0)] * len(y), np.array(r.x, int).reshape(len(y), -1).tolist(), y, pair(r.chain), pair(r.skip)))
+                    edges = lambda flat, width: np.array(flat, int).reshape(-1, width).tolist()
+                    graphs.append(([(0, 0)] * len(y), np.array(r.x, int).reshape(-1, FEATURES).tolist(), y, edges(r.chain, 2), edges(r.skip, 3)))
                     total += len(y)
         x, y, chain, skip = _joined(graphs)
         w = learn(x, y, chain, skip)
         used = np.flatnonzero(np.abs(w["unary"]).sum(1))
         rows = [("unary", int(i), w["unary"][i].astype(float).tolist()) for i in used]
-        rows += [("chain", i, w["chain"][i].tolist()) for i in range(len(LABELS))] + [("skip", w["learnt"], [w["skip"]])]
+        rows += [("chain", i, w["chain"][i].tolist()) for i in range(len(LABELS))] + [("skip", w["learnt"], w["skip"].tolist())]
         yield pd.DataFrame(rows, columns=["part", "at", "w"])
 
-    kinds = "x array<int>, y array<int>, chain array<int>, skip array<int>"
-    rows = sample.mapInPandas(nodes, kinds).repartition(1).sortWithinPartitions(F.xxhash64("x"), F.hash("y"), F.size("x")).mapInPandas(fit, "part string, at long, w array<double>").toPandas()
-    w = {"unary": np.zeros((BUCKETS, len(LABELS)), np.float32), "chain": np.zeros((len(LABELS), len(LABELS))), "skip": 0.0, "learnt": 0}
-    for part, at, values in rows.itertuples(index=False):
+    made = sample.mapInPandas(nodes, "row long, x array<int>, y array<int>, chain array<int>, skip array<int>")
+    once = made.groupBy("row").agg(*(F.first(c).alias(c) for c in ("x", "y", "chain", "skip")))
+    found = once.repartition(1).sortWithinPartitions("row").mapInPandas(fit, "part string, at long, w array<double>").toPandas()
+    w = {"unary": np.zeros((BUCKETS, len(LABELS)), np.float32), "chain": np.zeros((len(LABELS), len(LABELS))), "skip": np.zeros(2), "learnt": 0}
+    for part, at, values in found.itertuples(index=False):
         if part == "skip":
-            w["skip"], w["learnt"] = float(values[0]), int(at)
+            w["skip"], w["learnt"] = np.array(values, float), int(at)
         else:
             w[part][at] = values
     return spark.sparkContext.broadcast(w)
