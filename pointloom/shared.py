@@ -10,10 +10,12 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """What the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a folder is made.
+    Only where that is unset and all runs on one machine, as in tests, a folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pointloom.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='pointloom-')}"
         spark.conf.set("pointloom.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
