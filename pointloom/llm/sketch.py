@@ -1,36 +1,37 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes, DataFrame operations only.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so
-sketches of any two texts are comparable and the sketch of a union is the merge of the
-sketches. A text with fewer than ``LEAST`` such hashes keeps its LEAST smallest instead, and
-so is complete up to a larger threshold of its own, ``theta``; two sketches are compared,
-or merged, up to the smaller of their thetas.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, whatever
+the text's length, so sketches of any two texts are comparable and the sketch of a union is
+the union of the sketches. It grows with its text: a text of n shingles keeps about ``FRACTION`` * n.
 
-Hashes are spread over [0, 2**48); a text's sketch is written as its theta and its hashes in
+Hashes are spread over [0, 2**48); a text's sketch is written as its threshold and its hashes in
 hexadecimal, so equal texts have equal fingerprints and the sketch can be read back.
 
-Where two sketches have fewer than ``COMPARED`` hashes of the smaller text under both thetas, as
-for a short text beside a long one, likeness is taken from all hashes of both texts; by sketches
+Likeness is the containment in the smaller text. Where a sketch holds fewer than ``COMPARED`` hashes, as
+for a short text, likeness in ``fingerprints`` is taken from all hashes of both texts; by sketches
 alone it is null if none can be compared.
 
 Defined cases: a null text counts as the empty text; texts of under five words are one
-shingle, texts without words have an empty sketch; likeness with an empty sketch is 1 if both
-are equal, else 0; texts of any length are taken whole; ties of doc_id are ordered by the
+shingle, texts without words have an empty sketch; likeness with a wordless text is 1 if neither has
+words, else 0; texts of any length are taken whole; ties of doc_id are ordered by the
 text's hash; null ids come first; after the last document the first follows, so a single row
-follows itself; an empty table gives an empty result.
+follows itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GAP
 
-WIDTH, FRACTION, LEAST, COMPARED = 5, 1 / 32, 128, 64
+WIDTH, FRACTION, COMPARED = 5, 1 / 4, 64
 _BITS = 48
 #: Documents in a run of neighbours, about, and runs at most.
-RUN, MAX_RUNS = 2_000, 8_192
+RUN, MAX_RUNS = 2_000, 65_536
 
 
 def hashes(text: Column, width: int = WIDTH) -> Column:
@@ -47,54 +48,47 @@ def hashes(text: Column, width: int = WIDTH) -> Column:
     return F.when(F.coalesce(count, F.lit(0)) > 0, F.array_sort(F.array_distinct(made))).otherwise(F.array().cast("array<bigint>"))
 
 
-def sketch(text: Column, fraction: float = FRACTION, least: int = LEAST) -> Column:
-    """struct(theta, kept): kept are all hashes under theta."""
+def under(own: Column, fraction: float = FRACTION) -> Column:
+    """struct(theta, kept) from all distinct hashes: kept are those under theta."""
     limit = int(fraction * 2**_BITS)
+    return F.struct(F.lit(limit).cast("long").alias("theta"), F.filter(own, lambda h: h < limit).alias("kept"))
 
-    def of(own: Column) -> Column:
-        below = F.size(F.filter(own, lambda h: h < limit))
-        kept = F.slice(own, 1, F.greatest(below, F.lit(least)))
-        theta = F.when(F.size(own) <= least, F.lit(2**_BITS)).when(below >= least, F.lit(limit)).otherwise(F.element_at(kept, -1) + 1)
-        return F.struct(theta.cast("long").alias("theta"), kept.alias("kept"))
 
-    return F.element_at(F.transform(F.array(hashes(text)), of), 1)
+def sketch(text: Column, fraction: float = FRACTION) -> Column:
+    return under(hashes(text), fraction)
 
 
 def written_out(s: Column) -> Column:
     return F.lower(F.concat(F.hex(s.theta), F.lit(":"), F.array_join(F.transform(s.kept, lambda h: F.hex(h)), ",")))
 
 
-def known(a: Column, b: Column) -> Column:
-    """How many hashes of the text with fewer of them both sketches can compare."""
-    under = F.least(a.theta, b.theta)
-    return F.least(*(F.size(F.filter(side.kept, lambda h: h < under)) for side in (a, b)))
+def shared(a: Column, b: Column) -> Column:
+    """Share of the smaller set of hashes that the other has; null if one is empty."""
+    return F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller text's shingles that the other has, by what both sketches know; null if that is nothing."""
+def _both(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """The lesser theta, and the hashes of each under it."""
+    least = F.least(a.theta, b.theta)
+    return least, *(F.filter(side.kept, lambda h: h < least) for side in (a, b))
 
-    def of(pair: Column) -> Column:
-        under = F.least(pair.a.theta, pair.b.theta)
-        x, y = (F.filter(side.kept, lambda h: h < under) for side in (pair.a, pair.b))
-        smaller = F.least(F.size(x), F.size(y))
-        empty = (F.size(pair.a.kept) == 0) | (F.size(pair.b.kept) == 0)
-        none = F.when(pair.a == pair.b, 1.0).when(empty, 0.0)
-        return F.when(smaller == 0, none).otherwise(F.size(F.array_intersect(x, y)) / smaller)
 
-    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of), 1)
+def containment(a: Column, b: Column) -> Column:
+    """Share of the smaller text's shingles that the other has, by what both sketches hold; null if that is nothing."""
+    return shared(*_both(a, b)[1:])
 
 
-def likeness(a: Column, text_a: Column, b: Column, text_b: Column) -> Column:
-    """Containment by the sketches a and b, or by all hashes of their texts where the sketches know too little."""
-    whole = lambda t: F.struct(F.lit(2**_BITS).alias("theta"), hashes(t).alias("kept"))
-    complete = F.least(a.theta, b.theta) == 2**_BITS
-    return F.when(complete | (known(a, b) >= COMPARED), containment(a, b)).otherwise(containment(whole(text_a), whole(text_b)))
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of both texts together; sketches of unequal fractions meet at the smaller."""
+    least, x, y = _both(a, b)
+    return F.struct(least.alias("theta"), F.array_sort(F.array_union(x, y)).alias("kept"))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of both texts together, complete up to the smaller theta."""
-    under = F.least(a.theta, b.theta)
-    return F.struct(under.alias("theta"), F.array_sort(F.filter(F.array_union(a.kept, b.kept), lambda h: h < under)).alias("kept"))
+def likeness(a: Column, all_a: Column, b: Column, all_b: Column) -> Column:
+    """Containment by the sketches a and b, or by all hashes of their texts where a sketch holds too few."""
+    wordless = F.when((F.size(all_a) == 0) & (F.size(all_b) == 0), 1.0).otherwise(0.0)
+    enough = F.least(F.size(a.kept), F.size(b.kept)) >= COMPARED
+    return F.when(enough, shared(a.kept, b.kept)).otherwise(F.coalesce(shared(all_a, all_b), wordless))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -102,30 +96,61 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sketch(F.coalesce("text", F.lit(""))).alias("sketch"))
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str], run: int = RUN) -> DataFrame:
-    """``rows`` with ``next_<c>`` of each carried column: its value in the row that follows by ``key`` (long, not null).
+def _literal(values: list, kind: str) -> Column:
+    """A constant of very many values, as one expression."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
-    Rows are cut into runs of neighbours at quantiles of the key. The first row of a run is
-    also sent to the end of the run before it (the very first to the end of the last), so each
-    run is finished by itself: one shuffle, and no task sees more than its own runs.
+
+def _rank(cuts: list[int], key: Column, same: bool) -> Column:
+    """How many of the ascending cuts are under ``key`` (``same``: or equal), looked up by blocks."""
+    width = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    below = lambda own: F.size(F.filter(own, lambda c: c <= key if same else c < key))
+    block = below(_literal([b[-1] for b in blocks], "array<bigint>"))
+    inside = F.get(_literal(blocks, "array<array<bigint>>"), block)
+    return block * width + F.when(block < len(blocks), below(inside)).otherwise(len(cuts) - block * width)
+
+
+def in_runs(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """``rows`` (key, tie) with ``in_run``, the number of a run of about ``run`` neighbours by key, then tie.
+
+    Runs end at quantiles of the key. A key that holds several quantiles is split by tie, a
+    hash, into as many parts and one more.
+    """
+    n = rows.count()
+    runs = min(MAX_RUNS, -(-n // run))
+    if runs < 2:
+        return rows.withColumn("in_run", F.lit(0))
+    at = _literal([i / runs for i in range(1, runs)], "array<double>")
+    cuts = rows.agg(F.percentile_approx("key", at, max(10_000, 10 * runs))).first()[0]
+    less = _rank(cuts, F.col("key"), False)
+    if len(set(cuts)) == len(cuts):
+        return rows.withColumn("in_run", less)
+    held = _rank(cuts, F.col("key"), True) - F.col("less")
+    part = F.when(F.col("held") > 1, F.least(F.col("held"), F.floor((F.col("tie") / 2.0**64 + 0.5) * (F.col("held") + 1)).cast("int"))).otherwise(0)
+    return rows.withColumn("less", less).withColumn("held", held).withColumn("in_run", F.col("less") + part).drop("less", "held")
+
+
+def with_next(rows: DataFrame, made: dict[str, Column], carried: list[str], run: int = RUN) -> DataFrame:
+    """``rows`` (key, tie and others) with the columns ``made``, and ``next_<c>`` of each carried column: its value in the next row by key, then tie.
+
+    The first row of a run is also sent to the end of the run before it (the very first to the end of
+    the last), so each run is finished by itself: one shuffle of the rows as they are, after which
+    ``made`` is computed once for each.
     """
-    n, cuts = rows.agg(F.count("*"), F.percentile_approx(key, [i / MAX_RUNS for i in range(1, MAX_RUNS)], 20_000)).first()
-    step = max(1, round(MAX_RUNS * run / max(n, 1)))
-    cuts = sorted(set((cuts or [])[step - 1 :: step]))
-    # run i holds keys in (cuts[i-1], cuts[i]]
-    number = F.array_size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    placed = rows.withColumn("in_run", number)
-    firsts = placed.groupBy("in_run").agg(F.min(key).alias("first_key"))
+    placed = in_runs(rows, run)
+    firsts = placed.groupBy("in_run").agg(F.min(F.struct("key", "tie")).alias("first"))
     around = Window.orderBy("in_run")
-    ends = Window.orderBy("in_run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = firsts.select(F.col("in_run").alias("run_at"), "first_key", F.coalesce(F.lag("in_run").over(around), F.last("in_run").over(ends)).alias("run_before"))
+    ends = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = firsts.select(F.col("in_run").alias("run_at"), "first", F.coalesce(F.lag("in_run").over(around), F.last("in_run").over(ends)).alias("run_before"))
     joined = placed.join(F.broadcast(before), F.col("in_run") == F.col("run_at"))
     here = F.struct(F.col("in_run").alias("run"), F.lit(0).alias("guest"))
     there = F.struct(F.col("run_before").alias("run"), F.lit(1).alias("guest"))
-    copies = joined.withColumn("at", F.explode(F.when(F.col(key) == F.col("first_key"), F.array(here, there)).otherwise(F.array(here))))
-    order = Window.partitionBy("at.run").orderBy("at.guest", key, "tie")
-    led = copies.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
-    return led.where("at.guest = 0").drop("at", "in_run", "run_at", "run_before", "first_key")
+    opens = (F.col("key") == F.col("first.key")) & (F.col("tie") == F.col("first.tie"))
+    copies = joined.select(*rows.columns, F.explode(F.when(opens, F.array(here, there)).otherwise(F.array(here))).alias("at"))
+    dealt = copies.select(*rows.columns, F.col("at.run").alias("run"), F.col("at.guest").alias("guest")).repartition("run").withColumns(made)
+    order = Window.partitionBy("run").orderBy("guest", "key", "tie")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("guest = 0").drop("run", "guest")
 
 
 def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -134,15 +159,15 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     The edited text has its last quarter replaced by the beginning of the next document.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"))
-    rows = rows.withColumns({"tie": F.xxhash64("text"), "sketch": sketch(F.col("text"))})
-    led = with_next(rows, "key", ["text", "sketch"], run)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    led = with_next(rows, {"own": hashes(F.col("text"))}, ["text", "own"], run)
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next_text", F.lit(1), quarter))
-    e = led.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
+    e = led.withColumn("edited", edited).withColumn("edited_own", hashes(F.col("edited")))
+    e = e.withColumns({s: under(F.col(c)) for s, c in (("sketch", "own"), ("edited_sketch", "edited_own"), ("next_sketch", "next_own"))})
+    near = lambda other: likeness(F.col("sketch"), F.col("own"), F.col(f"{other}_sketch"), F.col(f"{other}_own"))
     return e.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written_out(F.col("sketch")).alias("fingerprint"), written_out(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("text"), F.col("edited_sketch"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("text"), F.col("next_sketch"), F.col("next_text")).alias("near_next"),
+        near("edited").alias("near_edited"), near("next").alias("near_next"),
     )

@@ -252,7 +252,7 @@ def test_fingerprints(spark, docs, no_docs, run):
         r = rows[d]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r.near_edited - contained(text, edited)) <= 0.2 and abs(r.near_next - contained(text, after)) <= 0.2
-        if len(grams(text)) <= sketch.LEAST and len(grams(edited)) <= sketch.LEAST:
+        if min(len(grams(text)), len(grams(edited))) < sketch.COMPARED:
             assert r.near_edited == pytest.approx(contained(text, edited))
         by_print.setdefault(text, set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in by_print.values())
@@ -275,8 +275,60 @@ def test_short_texts_in_long_ones(spark):
         rows += [(2 * i, " ".join(words[at : at + n])), (2 * i + 1, " ".join(words))]
     found = sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(found) == 40 and all(r.near_next == 1.0 for r in found)
-    pair = spark.createDataFrame([("a b c d e f", " ".join(words)), ("", " ".join(words))], "a string, b string").select(*(sketch.sketch(F.col(c)).alias(c) for c in "ab"))
-    assert [r.near for r in pair.select(sketch.containment(F.col("a"), F.col("b")).alias("near")).collect()] == [None, 0.0]
+    pair = spark.createDataFrame([("a", " ".join(words)), ("", " ".join(words))], "a string, b string").select(*(sketch.sketch(F.col(c)).alias(c) for c in "ab"))
+    assert [r.near for r in pair.select(sketch.containment(F.col("a"), F.col("b")).alias("near")).collect()] == [None, None]
+
+
+def brute_word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), 42)
+
+
+def brute_hashes(text: str) -> list[int]:
+    """All shingle hashes: those of five words, eight bytes each, one the seed of the next."""
+    words = [brute_word_hash(w) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    out = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        out.add(h >> 16)
+    return sorted(out)
+
+
+def test_sketches_hold_every_hash_under_the_threshold(spark, docs):
+    """Whatever the length; and nothing else."""
+    long = " ".join(f"w{i}" for i in range(25_000))
+    own = docs.select("text").union(spark.createDataFrame([(long,), (long[:900],)], "text string"))
+    found = own.select("text", sketch.sketch(F.coalesce("text", F.lit(""))).alias("s"), sketch.hashes(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    for r in found:
+        want = brute_hashes(r.text or "")
+        assert r.h == want and r.s.kept == [h for h in want if h < 2**46] and r.s.theta == 2**46
+
+
+@pytest.mark.parametrize("run", [2, 50])
+def test_rows_of_one_key_are_split_over_runs(spark, run):
+    """A third of the rows have no id; the order by id and hash stays, and no run grows with the key."""
+    own = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    rows = own.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "text", F.xxhash64("text").alias("tie"))
+    led = sketch.with_next(rows, {}, ["text"], run).collect()
+    order = [r.text for r in sorted(rows.collect(), key=lambda r: (r.key, r.tie))]
+    assert {r.text: r.next_text for r in led} == dict(zip(order, order[1:] + order[:1], strict=True))
+    sizes = [r["count"] for r in sketch.in_runs(rows, run).groupBy("in_run").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 4 * run + 6
+
+
+def test_likeness_by_length(spark):
+    """Halves of texts against the whole: the error falls with the number of hashes held."""
+    made = []
+    for n in (300, 1000, 4000):
+        for i in range(20):
+            words = [f"w{i}_{n}_{j}" for j in range(n)]
+            made.append((n, " ".join(words[: n // 2] + [f"x{j}" for j in range(n // 2)]), " ".join(words)))
+    df = spark.createDataFrame(made, "n int, a string, b string")
+    near = df.select("n", "a", "b", sketch.containment(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("near")).collect()
+    for n, most in ((300, 0.11), (1000, 0.06), (4000, 0.03)):
+        errors = [r.near - contained(r.a, r.b) for r in near if r.n == n]
+        assert (sum(e * e for e in errors) / len(errors)) ** 0.5 <= most
 
 
 def test_sketches_merge(spark):
