@@ -28,8 +28,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return planned.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    own = mixing.shares(table(spark, sf_dir, "documents"))
+    return own.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +83,41 @@ f as (select *, ((n_words < 50)::int + 2 * (n_repeat_words * 100 > n_words * 50)
 select *, failed & 3 <> 0 as base_failed, failed = 0 as kept from f"""
 
 
+#: The mixture of op3 in SQL.
+_MIX_SQL = r"""
+with d as (select doc_id, source as own, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint as hash from documents),
+c as (select *, case when size > 0 then floor(ln(size::double) * 4)::int else -1 end as class from d),
+p as (select own, sum(size)::bigint as source_size, count(*) as docs from d group by own),
+w as (select *, [1, 2, 3][(row_number() over (order by own nulls last) - 1) % 3 + 1] as weight, source_size * 3 as most from p),
+l as (select *, ((sum(source_size) over ())::double - coalesce(sum(most) over before, 0)::double) / ((sum(weight) over ())::double - coalesce(sum(weight) over before, 0)::double) as level,
+  row_number() over (order by most::double / weight, own nulls last) as turn from w window before as (order by most::double / weight, own nulls last rows between unbounded preceding and 1 preceding)),
+t as (select own, docs, source_size, case when level * weight > most then most::double
+  else least(most::double, (select arg_min(level, turn) from l where level * weight <= most) * weight) end as target from l),
+h as (select own, min(class) as large_from, sum(words)::bigint as large_words, max(largest) as largest
+  from (select *, sum(n) over (partition by own order by class desc rows unbounded preceding) as held, sum(n) over (partition by own) as docs
+    from (select own, class, count(*) as n, sum(size) as words, max(size) as largest from c group by own, class))
+  where held <= least(256, docs / 4) and class >= 0 group by own),
+r as (select t.own, source_size, target, large_from, large_words, largest, case when source_size > 0 then target / source_size else 0 end as rate,
+  ('0x' || substr(md5('mix|start|' || coalesce(t.own, 'null')), 1, 13))::bigint / 4503599627370496.0::double as start,
+  ('0x' || substr(md5('mix|later|' || coalesce(t.own, 'null')), 1, 13))::bigint / 4503599627370496.0::double as later_start from t left join h on t.own is not distinct from h.own),
+q as (select *, floor(rate) as whole, rate - floor(rate) as fraction from r),
+x as (select c.*, q.* exclude (own), coalesce(class >= large_from, false) as first from c join q on c.own is not distinct from q.own),
+y as (select *, row_number() over (partition by own, first order by case when first then size end desc, case when first then 0 else class end desc, hash, doc_id nulls first) - 1 as place from x),
+z as (select own, sum(size * (floor(start + fraction * (place + 1)) - floor(start + fraction * place))) as large_taken from y where first group by own),
+v as (select q.own, case when source_size - large_words > 0 then least(1.0::double, greatest(0.0::double, fraction
+  + least(1.0::double, (source_size - large_words) * least(fraction, 1 - fraction) / largest) * (fraction * large_words - large_taken) / (source_size - large_words))) end as later
+  from q left join z on q.own is not distinct from z.own)
+select doc_id, size, source_size, target, (size * (whole + case when first then floor(start + fraction * (place + 1)) - floor(start + fraction * place)
+  else floor(later_start + coalesce(later, fraction) * (place + 1)) - floor(later_start + coalesce(later, fraction) * place) end))::bigint as taken
+from y join v on y.own is not distinct from v.own"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_url_filter, op2_token_counts, op3_source_mix, op4_simhash_dedup, op5_secret_scan, op6_toxicity, op7_pii, op8_sentencepiece, op9_quality_rules, op10_fingerprints]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the quality rules: learnt weights, XXH64 and places of matches are outside SQL; tests hold those against brute force."""
-    return {"op9_quality_rules": _QUALITY_SQL}
+    """Learnt weights and dynamic programs are outside SQL; tests hold those against brute force."""
+    return {"op3_source_mix": _MIX_SQL, "op9_quality_rules": _QUALITY_SQL}
