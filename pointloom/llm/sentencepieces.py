@@ -5,10 +5,11 @@ fallback are rebuilt as a ``tokenizers.Tokenizer``: a unigram model from the sco
 byte-pair models such as the public one, a BPE model whose merges are ordered by the score
 of the piece they make. Where no piece has a space marker inside and no character map is
 set, a text's pre-tokens are encoded apart: the distinct new ones of a batch go through
-``encode_batch`` on several threads, are checked against the sentencepiece library once,
-and are kept for later batches. A pre-token on which the two differ takes the ids of the
-sentencepiece library and marks its documents (``parity`` false). Other models encode and
-check whole texts.
+``encode_batch`` on several threads, and are kept for later batches. Other models encode whole
+texts. Ids are decoded by whole texts, through ``decode_batch``.
+
+All ids and decoded texts are those of the rebuilt tokenizer. The sentencepiece library only
+verifies: a pre-token (or text) to which it gives other ids marks its documents, ``parity`` false.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; texts that hold
 the space marker itself decode it as a space; texts of any length are handled whole; an empty
@@ -18,7 +19,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from .common import short_batches
-from .piecemodel import BYTE, CONTROL, MARK, NORMAL, UNIGRAM, UNKNOWN, USER, PieceModel, pretokens
+from .piecemodel import MARK, NORMAL, UNIGRAM, UNKNOWN, USER, PieceModel, pretokens
 
 MAX_KEPT, MAX_KEPT_LEN = 300_000, 48
 THREADS = 2
+#: Texts whose ids are decoded at once.
+DECODED = 50
 
 
 def rebuild(model: PieceModel) -> Tokenizer:
@@ -66,44 +69,41 @@ class Codec:
         self.model, self.whole = model, rebuild(model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
         self.apart = model.splits_at_marks() and not model.charsmap and model.dummy_prefix
-        # a space marker alone, as behind a text's last space, cannot be given to the libraries as a text
-        ids = {p: i for i, (p, *_) in enumerate(model.pieces)}
-        parts = [MARK] if MARK in ids or not model.byte_fallback else [f"<0x{b:02X}>" for b in MARK.encode()]
-        lone = [ids.get(p, self.reference.unk_id()) for p in parts]
-        self.lone = (_packed([lone]), self.reference.encode("a") + lone == self.reference.encode("a "))
-        # ids of a word as the bytes of 32-bit numbers, so that a text's ids are one join
+        # ids of a pre-token as the bytes of 32-bit numbers, so that a text's ids are one join
         self.kept: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        special = {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}
-        self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else special.get(kind, p.replace(MARK, " ").encode()) for p, _, kind in model.pieces]
+        if self.apart:
+            # the space marker alone, as behind a text's last space, is what "a " has more than "a"
+            whole, short = (self._ids([t])[0] for t in ("a ", "a"))
+            self.kept[""] = _packed([whole[len(short) :]])
+            if whole != self.reference.encode("a "):
+                self.differ.add("")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str], texts: list[str]) -> None:
-        """Keep the ids of new words, each given to both libraries as its text, and those on which the two differ."""
-        got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        """Keep the ids of new words, each given to the tokenizer as its text, and those to which the other library gives other ids."""
+        got = self._ids(texts)
         said = self.reference.encode(texts, num_threads=THREADS) if texts else []
         if got != said:
             self.differ.update(w for w, a, b in zip(words, got, said, strict=True) if a != b)
-        raw, at = _packed(said), 0
-        for w, ids in zip(words, said, strict=True):
+        raw, at = _packed(got), 0
+        for w, ids in zip(words, got, strict=True):
             end = at + 4 * len(ids)
             self.kept[w], at = raw[at:end], end
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
-        """Ids of each text (the bytes of 32-bit numbers), and whether the two libraries agree on it."""
-        if len(self.kept) > MAX_KEPT:
-            self.kept.clear()
-            self.differ.clear()
+        """Of each text its ids (the bytes of 32-bit numbers), and whether the two libraries agree on it."""
         kept, differ = self.kept, self.differ
-        if self.apart:
-            kept[""] = self.lone[0]
-            differ.update([] if self.lone[1] else [""])
-            words = [pretokens(t, self.model) for t in texts]
-            new = list(set(chain.from_iterable(words)).difference(kept))
-            self._learn(new, [w.replace(MARK, " ") for w in new] if any(MARK in w for w in new) else new)
-        else:
-            words = [[t] if t else [] for t in texts]
-            new = list(set(chain.from_iterable(words)).difference(kept))
-            self._learn(new, new)
+        if len(kept) > MAX_KEPT:
+            lone = {"": kept[""]} if self.apart else {}
+            kept.clear()
+            kept.update(lone)
+            differ &= lone.keys()
+        words = [pretokens(t, self.model) for t in texts] if self.apart else [[t] if t else [] for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(kept))
+        self._learn(new, [w.replace(MARK, " ") for w in new] if self.apart and any(MARK in w for w in new) else new)
         out = [(b"".join(map(kept.__getitem__, own)), not differ or differ.isdisjoint(own)) for own in words]
         for w in new:
             if len(w) > MAX_KEPT_LEN:
@@ -111,9 +111,8 @@ class Codec:
                 differ.discard(w)
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
@@ -128,7 +127,10 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
             found = codec.encode(texts)
             ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in found], dtype=np.int32)
             values = np.frombuffer(b"".join(ids for ids, _ in found), np.int32)
-            same = [codec.decode(memoryview(ids).cast("i")) == (t or "").replace(MARK, " ") for (ids, _), t in zip(found, texts, strict=True)]
+            same = []
+            for at in range(0, len(texts), DECODED):
+                back = codec.decode([np.frombuffer(ids, np.int32).tolist() for ids, _ in found[at : at + DECODED]])
+                same += [a == (t or "").replace(MARK, " ") for a, t in zip(back, texts[at:], strict=False)]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([ok for _, ok in found], pa.bool_()), pa.array(same, pa.bool_())], ["doc_id", "ids", "parity", "decoded_same"])
 
@@ -142,6 +144,6 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec.decode([x or [] for x in b.column(1).to_pylist()]), pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(of, "doc_id long, text string")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import struct
 
 import pytest
 import sentencepiece
@@ -135,6 +138,77 @@ def test_sentencepiece_parity_and_round_trip(docs, no_docs):
     assert sentencepieces.encode(no_docs, PIECE_MODEL).count() == 0
 
 
+def test_ids_and_texts_are_the_tokenizers(spark):
+    """With a tokenizer that knows one id only, every id and every decoded text follows it, and no text is at parity."""
+    from tokenizers import Tokenizer, models
+
+    codec = sentencepieces.Codec(PieceModel.from_file(PIECE_MODEL))
+    codec.whole, codec.kept, codec.differ = Tokenizer(models.WordLevel({"u": 0}, unk_token="u")), {"": b""}, set()
+    found = codec.encode(["some words here", "more"])
+    assert all(set(memoryview(ids).cast("i")) == {0} and not parity for ids, parity in found)
+    assert codec.decode([[0, 0]]) == ["u u"]
+
+
+def message(*fields: tuple[int, int | float | bytes]) -> bytes:
+    """A protobuf message from numbers and values."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bytes):
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3) + varint(value)
+    return out
+
+
+#: model kind, name of the normaliser's rules, marker before a text, extra spaces removed, byte fallback
+MODELS = {"nmt": (1, "nmt_nfkc", 1, 1, 0), "plain": (1, "", 1, 0, 0), "bytes": (1, "nfkc_cf", 1, 1, 1), "no prefix": (1, "", 0, 1, 0), "pairs": (2, "nfkc", 1, 1, 0)}
+
+
+@pytest.fixture(scope="module", params=MODELS.values(), ids=MODELS)
+def small_model(request, tmp_path_factory) -> str:
+    """A model file put together by hand: every setting that is rebuilt, with a few scored pieces."""
+    kind, rules, prefix, trim, fallback = request.param
+    parts = "th the un und di die le les in ing ed ged nged inged ther ation ti tion er ent rent ere erent ac ach ache".split()
+    chars = sorted(set("".join(parts)) | set("äéßzq1 ").difference(" "))
+    words = [MARK + w for w in ("the", "und", "th", "un", "t", "u")]
+    pieces = [(1, "<unk>", 0.0, 2), (1, "<s>", 0.0, 3), (1, "</s>", 0.0, 3)]
+    pieces += [(1, f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    score = (lambda i: -float(i)) if kind == 2 else (lambda i: -2.0 - math.log(i + 1.5))
+    pieces += [(1, p, score(i), 1) for i, p in enumerate([*parts, *words, MARK, *chars])]
+    proto = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for _, p, s, k in pieces)
+    charsmap = b""
+    if rules:
+        charsmap = PieceModel.parse(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()).charsmap
+        assert charsmap
+    trainer = message((3, kind), *([(35, 1)] if fallback else []), (40, 0), (41, 1), (42, 2))
+    normaliser = message((1, (rules or "identity").encode()), (2, charsmap), (3, prefix), (4, trim), (5, 1))
+    path = tmp_path_factory.mktemp("model") / "small.model"
+    path.write_bytes(proto + message((2, trainer)) + message((3, normaliser)))
+    return str(path)
+
+
+def test_other_models_are_rebuilt(small_model):
+    """Unigram models with a character map, trimming, byte fallback or no prefix, and a byte-pair one: all at parity."""
+    model = PieceModel.from_file(small_model)
+    codec, other = sentencepieces.Codec(model), sentencepiece.SentencePieceProcessor(model_file=small_model)
+    texts = ["the und ation", "  the   und ", "ﬁne ① ＡＢＣ the", "zzz qq", "日本 the", "a\tb\nc", "", "therätherß", "x" * 300, "the\u00a0und", " ", "the "] + [t for t in texts_of_length(20_000)]
+    for text, (ids, parity) in zip(texts, codec.encode(texts), strict=True):
+        assert list(memoryview(ids).cast("i")) == other.encode(text) and parity, text
+        if not any(other.is_unknown(i) for i in other.encode(text)):
+            assert codec.decode([other.encode(text)]) == [other.decode(other.encode(text))], text
+
+
+def texts_of_length(words: int) -> list[str]:
+    own = random.Random(9)
+    return [" ".join(own.choice(["the", "und", "ation", "zq", "é"]) for _ in range(words))]
+
+
 def test_token_counts_equal_plain_dynamic_programming(docs, no_docs):
     model = PieceModel.from_file(PIECE_MODEL)
     forward = tokencount.Forward(model)
