@@ -9,7 +9,7 @@ are broadcast as one array. Scoring is a pass over whole texts without a shuffle
 
 Defined cases: a null or wordless text has no features and is scored by the bias alone;
 texts of any length are scored whole; labels that are null or not 0 or 1 are left out, of
-several labels of an id the largest counts; null ids are never learnt from and are not held
+several labels of an id the largest counts, and of several rows of an id one is learnt; null ids are never learnt from and are not held
 out; without a weight (as without labels) every score is 0.5 less an epsilon, so nothing is rejected; an empty
 table gives an empty result; equal texts have equal scores.
 """
@@ -31,6 +31,8 @@ from .common import cut, short_batches, spread, whole_rows
 
 #: Hashed features; rows learnt from at most; held-out share is one in FOLDS.
 BITS, MAX_TRAIN, FOLDS = 18, 16_000, 5
+#: Features of a text that are learnt from at most; all are scored.
+MAX_FEATURES = 20_000
 #: FTRL's rate, smoothing, L1 and L2, and passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 8.0, 0.1, 4
 BEGINNINGS = (5, 7)
@@ -60,6 +62,14 @@ def features(text: str | None) -> np.ndarray:
     return np.unique((np.concatenate(grams) * one >> np.uint64(64 - BITS)).astype(np.int32))
 
 
+def sampled(x: np.ndarray) -> np.ndarray:
+    """At most MAX_FEATURES of a text's features, those of the least hashes: what a very long text adds to the one task that learns."""
+    if len(x) <= MAX_FEATURES:
+        return x
+    order = np.argsort(x.astype(np.uint32) * np.uint32(0x9E3779B1), kind="stable")
+    return np.sort(x[order[:MAX_FEATURES]])
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
@@ -89,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [features(t) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [sampled(features(t)) for t in b["text"]]})
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(x, int(y)) for b in batches for x, y in zip(b["x"], b["y"], strict=True)]
@@ -100,7 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     # at most max_train (id, label) pairs on the broadcast side, so the texts stay where they are
     side = F.broadcast(sample)
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(side, "id").select("id", "y", "text")
-    rows = own.mapInPandas(featurise, "id long, y int, x array<int>")
+    # of the rows of an id one, as a hash of its text chooses, so that at most max_train rows go to the one task
+    each = own.mapInPandas(featurise, "id long, y int, x array<int>").groupBy("id").agg(F.min_by(F.struct("y", "x"), F.struct(F.xxhash64("x"), F.size("x"))).alias("r"))
+    rows = each.select("id", "r.y", "r.x")
     weights = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", F.size("x"), F.hash("x")).mapInPandas(fit, "at int, w double").toPandas()
     dense = np.zeros(_SIZE + 1, np.float32)
     dense[weights["at"]] = weights["w"]

@@ -7,9 +7,11 @@ from labelled URLs. One half of the labelled URLs, by hash, gives the suffix sta
 a sample of at most ``max_train`` of the other half the trees, so that no URL's own label
 is among its features.
 
-Suffix statistics are broadcast. Their bound: a suffix is kept only if it has at least
-one in ``MAX_SUFFIXES`` of the labelled URLs, so each of three levels has at most
-MAX_SUFFIXES rows however many hosts there are; rarer suffixes take the overall rate.
+A suffix has a rate of its own from ``LEAST`` labelled URLs on, however many URLs there are;
+rarer ones take the overall rate. The statistics are broadcast if they have at most
+``MAX_SUFFIXES`` rows. Beyond, the suffixes that hold at least one in ``MAX_SUFFIXES`` of the labelled
+URLs, so at most that many of a level, are broadcast, and only the URLs of other suffixes
+are joined with the rest by shuffle.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and no rule,
 and is judged by the trees like any other; equal URLs get equal verdicts; an empty table
@@ -31,7 +33,7 @@ RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 #: Words that mark a seed URL's host as one to block.
 SEED_WORDS = ["casino", "bets", "pills", "ads-"]
 MAX_TRAIN = 8_000
-MAX_SUFFIXES = 10_000
+MAX_SUFFIXES, LEAST = 10_000, 3
 LEVELS = 3
 FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "entropy", "params", "hyphens", "fragment", *(f"suffix_{k}" for k in range(1, LEVELS + 1))]
 
@@ -86,35 +88,49 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def with_suffixes(urls: DataFrame, statistics: DataFrame, prior: float) -> DataFrame:
+def with_suffixes(urls: DataFrame, statistics: DataFrame, prior: float, max_suffixes: int = MAX_SUFFIXES) -> DataFrame:
+    """``urls`` (lexical) with the rate of each of the host's suffixes, and all features as a vector; ``statistics`` has level, suffix, rate, share."""
+    few = statistics.count() <= max_suffixes
     for k in range(1, LEVELS + 1):
-        own = statistics.where(F.col("level") == k).select(F.col("suffix").alias(f"at_{k}"), F.col("rate").alias(f"suffix_{k}"))
-        urls = urls.withColumn(f"at_{k}", suffix_of(F.col("host"), k)).join(F.broadcast(own), f"at_{k}", "left").fillna({f"suffix_{k}": prior})
+        own = statistics.where(F.col("level") == k)
+        side = lambda rows, name: rows.select(F.col("suffix").alias(f"{name}_{k}"), F.col("rate").alias(f"{name}_rate"))  # noqa: B023, E731
+        often = side(own if few else own.where(F.col("share") * max_suffixes >= 1), "often")
+        suffix = suffix_of(F.col("host"), k)
+        urls = urls.join(F.broadcast(often), suffix == F.col(f"often_{k}"), "left")
+        if few:
+            rate = F.col("often_rate")
+        else:
+            # an URL with a common suffix meets no rare one, and is spread by its own hash
+            rare = side(own.where(F.col("share") * max_suffixes < 1), "rare")
+            urls = urls.withColumn(f"meets_{k}", F.when(F.col("often_rate").isNull(), suffix).otherwise(F.concat(F.lit("/"), F.hex(F.xxhash64("url")))))
+            urls = urls.join(rare, F.col(f"meets_{k}") == F.col(f"rare_{k}"), "left")
+            rate = F.coalesce("often_rate", "rare_rate")
+        urls = urls.withColumn(f"suffix_{k}", F.coalesce(rate, F.lit(prior))).drop("often_rate", "rare_rate")
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(urls)
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = 10, depth: int = 3):
+def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_suffixes: int = MAX_SUFFIXES, trees: int = 10, depth: int = 3):
     """(model or None, suffix statistics, prior) from labelled (url, label 0/1); nulls are left out."""
     rows = labelled.select("url", F.col("label").cast("double").alias("label"), spread(F.col("url"), "half", 2).alias("half")).where("url is not null and label in (0, 1)")
     n, ones, fit = rows.agg(F.count("*"), F.sum("label"), F.sum(F.col("half").cast("long"))).first()
     prior = (ones or 0.0) / max(n, 1)
-    least = max(3, -(-n // MAX_SUFFIXES))
     levels = F.array(*(F.struct(F.lit(k).alias("level"), suffix_of(host_of(F.col("url")), k).alias("suffix")) for k in range(1, LEVELS + 1)))
     counts = rows.where("half = 0").select(F.explode(levels).alias("s"), "label").groupBy("s.level", "s.suffix").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
-    statistics = cut(counts.where(F.col("n") >= least).select("level", "suffix", ((F.col("ones") + 4 * prior) / (F.col("n") + 4)).alias("rate")))
+    share = F.col("n") / max(n - (fit or 0), 1)
+    statistics = cut(counts.where(F.col("n") >= LEAST).select("level", "suffix", ((F.col("ones") + 4 * prior) / (F.col("n") + 4)).alias("rate"), share.alias("share")))
     if not n or prior in (0.0, 1.0) or not fit:
         return None, statistics, prior
     sample = rows.where("half = 1").where(spread(F.col("url"), "sample") < int(1_000_000 * min(1.0, max_train / fit)))
-    prepared = cut(with_suffixes(lexical(sample), statistics, prior).select("features", "label").coalesce(4))
+    prepared = cut(with_suffixes(lexical(sample), statistics, prior, max_suffixes).select("features", "label").coalesce(4))
     kinds = prepared.select("label").distinct().count()
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=7, stepSize=0.3).fit(prepared) if kinds == 2 else None
     return model, statistics, prior
 
 
-def judge(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], key: str, max_train: int = MAX_TRAIN) -> DataFrame:
+def judge(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], key: str, max_train: int = MAX_TRAIN, max_suffixes: int = MAX_SUFFIXES) -> DataFrame:
     """key, host, path, rule, verdict, score (chance to be blocked by the trees) of every row of ``urls`` (key, url)."""
-    model, statistics, prior = train(labelled, max_train)
-    ready = with_suffixes(lexical(urls.select(F.col(key).alias("page_key"), "url")), statistics, prior)
+    model, statistics, prior = train(labelled, max_train, max_suffixes)
+    ready = with_suffixes(lexical(urls.select(F.col(key).alias("page_key"), "url")), statistics, prior, max_suffixes)
     if model is None:
         scored = ready.withColumn("score", F.lit(0.0))
     else:

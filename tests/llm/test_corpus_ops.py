@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -63,6 +64,45 @@ def test_url_trees_learn_the_labels(spark, sf_dir):
     assert right >= 0.9
 
 
+def bought(own, bad: bool, host: str) -> str:
+    """An URL of a host: bad ones have many parameters and digits."""
+    word = lambda: own.choice(["news", "home", "about", "shop", "blog"])
+    tail = "?" + "&".join(f"id{own.randrange(99)}={own.randrange(10**8)}" for _ in range(own.randrange(3, 7))) if bad else "?page=2" * own.randrange(2)
+    return f"https://{host}/{word()}/{word()}{tail}"
+
+
+def test_trees_judge_hosts_that_they_never_saw(spark):
+    """Recall of the bad class and precision on hosts, and top domains, that are in no label."""
+    import random
+
+    own = random.Random(3)
+    hosts = [(i % 10 == 0, f"{'x' * (i % 5)}site{i}.{['com', 'org', 'net', 'info'][i % 4] if i < 300 else 'example'}") for i in range(400)]
+    seen = [(bought(own, bad, h), int(bad)) for bad, h in hosts[:300] for _ in range(12)]
+    labels = spark.createDataFrame(seen, "url string, label int")
+    new = [(i, bought(own, bad, h), bad) for i, (bad, h) in enumerate(hosts[300:] * 5)]
+    found = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(new, "page_id long, url string, bad boolean"), labels, urls.RULES, "page_id").where("rule is null").collect()}
+    said = [(bad, found[i] == "block") for i, _, bad in new if i in found]
+    hit = sum(b and s for b, s in said)
+    assert hit / sum(b for b, _ in said) >= 0.9 and hit / sum(s for _, s in said) >= 0.9
+    assert 0 < sum(b for b, _ in said) < 0.2 * len(said)
+
+
+def test_beyond_the_broadcast_bound_the_verdicts_are_the_same(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    judged = lambda most: sorted(tuple(r) for r in urls.judge(pages, urls.seed_labels(pages), urls.RULES, "page_id", max_suffixes=most).collect())
+    assert judged(10_000) == judged(20)
+
+
+def test_a_suffix_counts_alike_in_small_and_large_tables(spark):
+    """Five URLs of a host give it a rate of its own, also among many others."""
+    own = [(f"http://a{i}.rare.com/", 1) for i in range(10)]
+    rates = []
+    for n in (50, 60_000):
+        more = spark.range(n).select(F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".net/"), "id").alias("url"), F.lit(0).alias("label"))
+        rates.append({r.suffix for r in urls.train(spark.createDataFrame(own, "url string, label int").union(more), max_train=100)[1].collect()})
+    assert all("rare.com" in x for x in rates)
+
+
 # mixing
 
 
@@ -256,6 +296,55 @@ def test_toxicity_of_odd_rows(docs, no_docs, labels):
     assert toxicity.keep_clean(docs, weights).schema == docs.schema
 
 
+def plain_ftrl(rows: list, passes: int, size: int) -> dict:
+    """FTRL-proximal coordinate by coordinate: z, n and the weight that they give."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= toxicity.L1:
+            return 0.0
+        sign = 1 if zi > 0 else -1
+        return -(zi - sign * toxicity.L1) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for x, y in rows:
+            own = {i: weight(i) for i in [*map(int, x), size]}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(own.values())))))
+            for i, w in own.items():
+                g, before = p - y, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / toxicity.ALPHA * w
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_a_plain_loop(spark, sf_dir):
+    """Weights and scores over the rows of a table, one coordinate at a time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    known = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    learnt = [(toxicity.features(r.text), r.toxic) for r in known if zlib.crc32(str(r.doc_id).encode()) % 5]
+    want, got = plain_ftrl(learnt, toxicity.PASSES, 1 << toxicity.BITS), toxicity.learn(learnt)
+    assert set(want) == {int(i) for i in got.nonzero()[0]} and all(got[i] == pytest.approx(w, rel=1e-9, abs=1e-12) for i, w in want.items())
+    # by Spark: the same rows in its own fixed order
+    weights = toxicity.train(docs, labels)
+    order = {r.id: i for i, r in enumerate(labels.select(F.col("doc_id").alias("id")).repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").collect())}
+    by_spark = sorted((r for r in known if zlib.crc32(str(r.doc_id).encode()) % 5), key=lambda r: order[r.doc_id])
+    want = plain_ftrl([(toxicity.sampled(toxicity.features(r.text)), r.toxic) for r in by_spark], toxicity.PASSES, 1 << toxicity.BITS)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, weights).collect():
+        raw = sum(want.get(int(i), 0.0) for i in toxicity.features(texts[r.doc_id])) + want.get(1 << toxicity.BITS, 0.0)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, raw)))), abs=1e-4)
+
+
+def test_repeated_rows_and_long_texts_are_bounded_in_learning(spark):
+    rows = [(i, f"word{i} bad{i % 2}", ) for i in range(40)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert (toxicity.train(docs, labels).value == toxicity.train(docs.distinct(), labels).value).all()
+    long = toxicity.features(" ".join(f"w{i}" for i in range(60_000)))
+    assert len(long) > toxicity.MAX_FEATURES == len(set(toxicity.sampled(long).tolist())) and set(toxicity.sampled(long)) <= set(long)
+
+
 def test_held_out_labels_are_never_learnt(docs, labels):
     changed = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     score = lambda own: sorted((r.doc_id, r.score) for r in toxicity.score(docs, toxicity.train(docs, own)).collect())
