@@ -85,5 +85,28 @@ def route_params(path: Column) -> Column:
     return F.when(path.rlike(fit), F.struct(part(1).alias("project_id"), part(2).alias("tab")))
 
 
+def cloud_key(user: Column, project: Column) -> Column:
+    """Key of a project's point cloud in the store."""
+    return F.concat(F.lit("user-"), user.cast("string"), F.lit("/"), project.cast("string"), F.lit("/output/accumulated_numpy.npy"))
+
+
+def image_prefix(user: Column, project: Column) -> Column:
+    return F.concat(F.lit("user-"), user.cast("string"), F.lit("/"), project.cast("string"), F.lit("/rgb"))
+
+
+def progress_url(base: str, user: Column, project: Column) -> Column:
+    """Where a project's progress messages come from."""
+    return F.concat(F.lit(f"{base.rstrip('/')}/process_image/"), user.cast("string"), F.lit("/"), project.cast("string"))
+
+
+def detail_url(base: str, user: Column, project: Column, detail: str = "full") -> Column:
+    return F.concat(F.lit(f"{base.rstrip('/')}/getProjectDetails/"), user.cast("string"), F.lit("/"), project.cast("string"), F.lit(f"?detail={detail}"))
+
+
+def has_fields(json: Column) -> Column:
+    """Whether JSON text is an object with a field; false for null, other JSON and no JSON."""
+    return F.coalesce(F.size(F.json_object_keys(json)) > 0, F.lit(False))
+
+
 def default_tab(tab: Column) -> Column:
     return F.coalesce(F.nullif(tab, F.lit("")), F.lit("overview"))

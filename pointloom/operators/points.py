@@ -52,16 +52,22 @@ def _literals(camera: tuple[float, float, float]) -> tuple[Column, Column, Colum
     return x, y, z
 
 
-def nearest(points: DataFrame, camera: tuple[float, float, float] = CAMERA, by: list[str] | None = None) -> DataFrame:
+def nearest(points: DataFrame, camera: tuple[float, float, float] = CAMERA, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """The point nearest the camera of each group (columns ``by``; none: of all), with its distance ``d``.
 
     Of equal distances the smaller idx wins (then the smaller cloud_id); points with a coordinate
-    that is null, NaN or infinite never do. A group without a valid point has no row.
+    that is null, NaN or infinite never do. A group without a valid point has no row; with ``strict`` it
+    is an error when the result is read, as is an empty cloud where no columns are given.
     """
     d = distance((F.col("x"), F.col("y"), F.col("z")), _literals(camera))
-    valid = points.withColumn("d", d).where("d is not null and not isnan(d) and d < double('Infinity')")
-    own = ["d", "idx", "cloud_id", "x", "y", "z"]
-    found = valid.groupBy(*(by or [])).agg(F.min(F.struct(*own)).alias("p")).where("p is not null")
+    own, valid = ["d", "idx", "cloud_id", "x", "y", "z"], F.expr("d is not null and not isnan(d) and d < double('Infinity')")
+    measured = points.withColumn("d", d)
+    if strict:
+        least = measured.groupBy(*(by or [])).agg(F.min(F.when(valid, F.struct(*own))).alias("p"))
+        where = F.concat(F.lit("no valid point in the cloud "), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by or []))
+        found = least.withColumn("p", F.when(F.col("p").isNull(), F.raise_error(where)).otherwise(F.col("p")))
+    else:
+        found = measured.where(valid).groupBy(*(by or [])).agg(F.min(F.struct(*own)).alias("p")).where("p is not null")
     return found.select(*(by or []), *(f"p.{c}" for c in own if c not in (by or [])))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.text import capitalised, is_blank, local_date, percent
+from pointloom.functions.text import capitalised, cloud_key, is_blank, local_date, percent
 
 #: Stage by status, and the columns of each detail mode.
 STAGES = {"idle": 1, "config": 2, "processing": 3, "completed": 4, "error": 4}
@@ -102,5 +102,12 @@ def updated(projects: DataFrame, updates: DataFrame) -> DataFrame:
     return both.where(action != "delete").select(*own)
 
 
+def result_states(projects: DataFrame, objects: DataFrame) -> DataFrame:
+    """user_id, projectId, state: ``ready`` where the store's listing (key) has the project's cloud, else ``error``."""
+    wanted = projects.select("user_id", "projectId", cloud_key(F.col("user_id"), F.col("projectId")).alias("key"))
+    known = objects.select("key").distinct().withColumn("found", F.lit(True))
+    return wanted.join(known, "key", "left").select("user_id", "projectId", F.when(F.col("found"), "ready").otherwise("error").alias("state"))
+
+
 def succeeded(responses: DataFrame) -> DataFrame:
     return responses.where(F.col("status") == 200)

@@ -36,9 +36,8 @@ def images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return named(rows)
 
 
-def cloud_key(user: str, project: str) -> str:
-    return f"user-{user}/{project}/output/accumulated_numpy.npy"
-
-
-def image_prefix(user: str, project: str) -> str:
-    return f"user-{user}/{project}/rgb"
+def result(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """(``ready``, the object) or, where there is none, (``error``, no rows); other faults are raised."""
+    found = _found(spark, path, None)
+    state = "error" if found is None else "ready"
+    return state, spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary") if found is None else found

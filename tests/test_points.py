@@ -40,6 +40,15 @@ def test_nearest_of_nothing_has_no_row(spark):
     assert points.nearest(cloud(spark).limit(0)).collect() == []
 
 
+def test_nearest_of_nothing_is_an_error_if_strict(spark):
+    for by in (None, ["cloud_id"]):
+        with pytest.raises(Exception, match="no valid point"):
+            points.nearest(cloud(spark, (NAN, NAN, NAN)), by=by, strict=True).collect()
+        assert points.nearest(cloud(spark, (1, 0, 5), (NAN, 0, 0)), by=by, strict=True).first().idx == 0
+    with pytest.raises(Exception, match="no valid point"):
+        points.nearest(cloud(spark).limit(0), strict=True).collect()
+
+
 def test_viewpoint(spark):
     r = points.viewpoint(points.nearest(cloud(spark, (0, 0, 5)))).first()
     assert (r.view_x, r.view_y, r.view_z) == (0, 0, 5)

@@ -95,10 +95,63 @@ def test_lists(spark):
 
 def test_listing_by_raw_prefix(spark):
     own = spark.createDataFrame([(k,) for k in ("user-1/p/rgb/a.png", "user-1/p/rgb2/b.png", "user-1/p/out/c.npy")], "key string")
-    prefix = objects.image_prefix("1", "p")
-    assert [r.name for r in files.named(files.listing(own, prefix, files.PAGE)).collect()] == ["a.png", "b.png"]
+    prefix = one(spark, text.image_prefix(F.lit(1), F.lit("p")))
+    assert [r.name for r in files.named(files.listing(own, prefix, files.PAGE, strict=True)).collect()] == ["a.png", "b.png"]
+    assert [r.name for r in files.named(files.listing(own, prefix)).collect()] == ["a.png"]
     assert files.listing(own, prefix + "/").count() == 1
-    assert objects.cloud_key("1", "p") == "user-1/p/output/accumulated_numpy.npy"
+    assert one(spark, text.cloud_key(F.lit(1), F.lit("p"))) == "user-1/p/output/accumulated_numpy.npy"
+
+
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_names_of_one_batch_are_told_apart(spark, block):
+    old = spark.createDataFrame([(n,) for n in ("x_1.png", "x_3.png", "y.png", "README", "z.png", "z_2.png")], "name string")
+    names = ["x.png", "x.png", "x_2.png", "x.png", "y.png", "README", "README", "new.png", None, "x.png", None, "z.png", "z.png", "z_1.png", "x_2.png"]
+    new = spark.createDataFrame(list(enumerate(names)), "pos long, name string")
+    got = [r.new_name for r in files.rename_apart(new, old, block=block).orderBy("pos").collect()]
+    assert got == ["x.png", "x_4.png", "x_2.png", "x_5.png", "y_1.png", "_1.README", "_2.README", "new.png", None, "x_6.png", None, "z_3.png", "z_4.png", "z_1.png", "x_2_1.png"]
+
+
+def test_a_name_that_fills_the_batch(spark):
+    new = spark.range(30_000).select(F.col("id").alias("pos"), F.lit("img.png").alias("name"))
+    old = spark.range(1, 20_000, 2).select(F.concat(F.lit("img_"), "id", F.lit(".png")).alias("name"))
+    got = files.rename_apart(new, old, block=1000)
+    names = [r.new_name for r in got.orderBy("pos").collect()]
+    assert len(set(names)) == 30_000 and names[:3] == ["img.png", "img_2.png", "img_4.png"] and not set(names) & {r.name for r in old.collect()}
+
+
+def test_image_lists_are_replaced(spark):
+    row = "user_id string, projectId string, pos long, name string"
+    own = spark.createDataFrame([("u", "1", 0, "a"), ("u", "1", 1, "b"), ("u", "2", 0, "c"), ("u", "3", 0, "d")], row)
+    new = spark.createDataFrame([("u", "1", 0, "z"), ("u", "3", 0, "never")], row)
+    hit = spark.createDataFrame([("u", "1"), ("u", "2")], "user_id string, projectId string")
+    assert sorted(tuple(r) for r in files.images_replaced(own, hit, new, ["user_id", "projectId"]).collect()) == [("u", "1", 0, "z"), ("u", "3", 0, "d")]
+
+
+def test_projects_without_images(spark):
+    own = spark.createDataFrame([("a",), ("a",)], "project string")
+    owners = spark.createDataFrame([("a",), ("b",)], "project string")
+    assert sorted(tuple(r) for r in files.has_enough(own, "project", owners=owners).collect()) == [("a", 2, True), ("b", 0, False)]
+
+
+def test_missing_result_is_an_error_state(spark, tmp_path):
+    (tmp_path / "a.npy").write_bytes(b"12")
+    state, found = objects.result(spark, str(tmp_path / "a.npy"))
+    assert state == "ready" and bytes(found.first().content) == b"12"
+    state, found = objects.result(spark, str(tmp_path / "missing.npy"))
+    assert state == "error" and found.count() == 0
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        objects.result(spark, "nosuchstore://x/y")
+
+
+@pytest.mark.parametrize(("json", "want"), [('{"a": 1}', True), ("{}", False), ("[1]", False), ("x", False), (None, False)])
+def test_objects_with_fields(spark, json, want):
+    assert one(spark, text.has_fields(F.lit(json).cast("string"))) is want
+
+
+def test_files_are_written_as_they_are(spark, tmp_path):
+    rows = spark.createDataFrame([("p/a.bin", bytearray(b"\x00\xff")), ("b.bin", bytearray(b""))], "file string, content binary")
+    done = sorted(tuple(r)[:2] for r in copies.write_files(rows, f"file://{tmp_path}/out").collect())
+    assert done == [("b.bin", 0), ("p/a.bin", 2)] and (tmp_path / "out/p/a.bin").read_bytes() == b"\x00\xff"
 
 
 def test_objects(spark, tmp_path):
