@@ -6,17 +6,21 @@ points, orders for projects, parts for files, events for progress messages.
 
 from __future__ import annotations
 
+import io
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import text, vectors
 from pointloom.operators import config, files, points, progress, projects
 from pointloom.shared import shared_dir
-from pointloom.sinks import gltf
-from pointloom.sources import samples
+from pointloom.sinks import copies, gltf
+from pointloom.sources import objects, samples
+from pointloom.sources.npy import read_points
 from pointloom.streaming import progress as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,9 +140,9 @@ def list_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.list_rows(_projects(spark, sf_dir))
 
 
-@query(f'select "projectName", {_DATE} as date, "projectStatus"[1:3] || \'%\' as progress, {_STATUS} as status from {_PROJECTS}')
+@query(f'select "projectName", {_DATE} as date, "projectId" % 101 || \'%\' as progress, {_STATUS} as status from {_PROJECTS}')
 def detail_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projects.detail_rows(_projects(spark, sf_dir).withColumn("projectProgress", F.substring("projectStatus", 1, 3)))
+    return projects.detail_rows(_projects(spark, sf_dir).withColumn("projectProgress", (F.col("projectId") % 101).cast("int")))
 
 
 @query("select page_id, list_extract(string_split(url, '/'), -1) as name from pages where url is not null")
@@ -187,6 +191,24 @@ def collision_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.rename_collisions(new, old)
 
 
+#: A batch of names with many equal ones, and the names that are there.
+_BATCH = "(select p_partkey - 1 as pos, 'img' || p_size || case when p_partkey % 3 = 0 then '_' || p_partkey % 7 else '' end || '.png' as name from part)"
+_THERE = "(select distinct 'img' || p_size || '_' || p_partkey % 5 || '.png' as name from part where p_size % 2 = 0)"
+
+
+@query(f"""with b as (select *, regexp_extract(name, '(.*)[.]png', 1) as stem from {_BATCH}),
+  n as (select *, name in (select name from {_THERE}) as held, row_number() over (partition by name order by pos) as turn from b),
+  j as (select pos, name, stem, row_number() over (partition by name order by pos) as j from n where held or turn > 1),
+  f as (select stem, k, row_number() over (partition by stem order by k) as j from (select distinct stem from j), range(1, (select count(*) + 1 from b)) as t(k)
+    where not exists (select 1 from (select name from b union all select name from {_THERE}) x where x.name = stem || '_' || k || '.png'))
+  select n.pos, n.name, case when j.j is null then n.name else n.stem || '_' || f.k || '.png' end as new_name from n left join j on j.pos = n.pos left join f on f.stem = j.stem and f.j = j.j""")
+def batch_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, key = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    said = lambda number: F.concat(F.lit("img"), F.col("p_size").cast("string"), number, F.lit(".png"))
+    new = part.select((key - 1).alias("pos"), said(F.when(key % 3 == 0, F.concat(F.lit("_"), (key % 7).cast("string"))).otherwise("")).alias("name"))
+    return files.rename_apart(new, part.where("p_size % 2 = 0").select(said(F.concat(F.lit("_"), (key % 5).cast("string"))).alias("name")))
+
+
 @query("select p_partkey, replace(p_name, ' ', '_') || '_result.npy' as npy, replace(p_name, ' ', '_') || '_result.gltf' as gltf from part")
 def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", text.result_file(F.col("p_name"), "npy").alias("npy"), text.result_file(F.col("p_name"), "gltf").alias("gltf"))
@@ -206,13 +228,32 @@ def append_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select url as key, page_id from pages where starts_with(url, 'http://blog') order by url, page_id limit 1000")
 def prefix_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.listing(_table(spark, sf_dir, "pages").select(F.col("url").alias("key"), "page_id"), "http://blog", files.PAGE)
+    return files.listing(_table(spark, sf_dir, "pages").select(F.col("url").alias("key"), "page_id"), "http://blog", files.PAGE, strict=True)
+
+
+#: Parts as stored images of five users, each in one of the folders rgb and rgb2.
+_STORED = "(select *, 'user-' || p_size % 5 || '/p/' || case when p_partkey % 2 = 0 then 'rgb' else 'rgb2' end || '/' || p_name || '.png' as key from part)"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.when(F.col("p_partkey") % 2 == 0, "rgb").otherwise("rgb2")
+    return _table(spark, sf_dir, "part").withColumn("key", F.concat(F.lit("user-"), (F.col("p_size") % 5).cast("string"), F.lit("/p/"), folder, F.lit("/"), "p_name", F.lit(".png")))
+
+
+@query(f"select p_partkey, key, p_name || '.png' as name from {_STORED} where starts_with(key, 'user-3/p/rgb/')")
+def folder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.named(files.listing(_stored(spark, sf_dir).select("p_partkey", "key"), "user-3/p/rgb")).drop("mime")
+
+
+@query(f"select p_partkey, key from {_STORED} where starts_with(key, 'user-3/p/rgb')")
+def folder_list_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.listing(_stored(spark, sf_dir).select("p_partkey", "key"), "user-3/p/rgb", strict=True)
 
 
 @query("select page_id, list_extract(string_split(url, '/'), -1) as name, 'image/jpeg' as mime from pages where starts_with(url, 'https://')")
 def prefix_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _table(spark, sf_dir, "pages").select(F.col("url").alias("key"), "page_id")
-    return files.named(files.listing(own, "https://")).select("page_id", "name", "mime")
+    return files.named(files.listing(own, "https://", strict=True)).select("page_id", "name", "mime")
 
 
 @query("select conv_id, count(*) as n_images, count(*) >= 8 as enough from conversations group by conv_id")
@@ -220,6 +261,47 @@ def enough_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.has_enough(_table(spark, sf_dir, "conversations"), "conv_id", 8)
 
 
+@query("select c_custkey as user_id, count(o_orderkey) as n_images, count(o_orderkey) >= 1 as enough from customer left join orders on o_custkey = c_custkey group by c_custkey")
+def any_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as projects and orders as their images: a third have none."""
+    owners = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return files.has_enough(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")), "user_id", owners=owners)
+
+
+@query("""select l_orderkey, l_partkey, l_returnflag from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')
+  union all select o_orderkey, o_custkey, 'new' from orders where o_orderstatus = 'F' and o_totalprice > 100000""")
+def image_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the images of orders; those of completed orders are replaced by one or by none."""
+    own = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    orders = _table(spark, sf_dir, "orders")
+    hit = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    new = orders.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_partkey"), F.lit("new").alias("l_returnflag"))
+    return files.images_replaced(own, hit, new, ["l_orderkey"])
+
+
+@query("""select user_id, "projectId", case when "projectId" % 3 = 0 then 'ready' else 'error' end as state from """ + _PROJECTS)
+def result_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _projects(spark, sf_dir)
+    there = own.where("projectId % 3 = 0").select(text.cloud_key(F.col("user_id"), F.col("projectId")).alias("key"))
+    return projects.result_states(own, there)
+
+
+@query("""select "projectId", 'user-' || user_id || '/' || "projectId" || '/output/accumulated_numpy.npy' as cloud, 'user-' || user_id || '/' || "projectId" || '/rgb' as images,
+  'https://api/process_image/' || user_id || '/' || "projectId" as progress, 'https://api/getProjectDetails/' || user_id || '/' || "projectId" || '?detail=status' as detail from """ + _PROJECTS)
+def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, project = F.col("user_id"), F.col("projectId")
+    return _projects(spark, sf_dir).select(
+        "projectId", text.cloud_key(user, project).alias("cloud"), text.image_prefix(user, project).alias("images"),
+        text.progress_url("https://api/", user, project).alias("progress"), text.detail_url("https://api", user, project, "status").alias("detail"),
+    )
+
+
+@query("select event_id, event_type <> 'view' as has_fields from events")
+def nonempty_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "events")
+    return own.select("event_id", text.has_fields(F.when(F.col("event_type") == "view", "{}").otherwise(F.col("props"))).alias("has_fields"))
+
+
 @query('select "projectId", "projectName", "projectStatus" from ' + _PROJECTS + " where user_id = 7")
 def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.of_user(_projects(spark, sf_dir), 7).select("projectId", "projectName", "projectStatus")
@@ -254,11 +336,13 @@ def project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select p.user_id, p."projectId", case when k = 0 then 'again ' || p."projectId" else "projectName" end as "projectName",
   case when k = 1 then 'error' when k = 2 then 'processing' else "projectStatus" end as "projectStatus", case when k = 2 then 0.0 else "projectProgress" end as "projectProgress"
-  from (select *, case when "projectId" % 4 = 0 then ("projectId" // 4) % 5 end as k from {_PROJECTS}) p where k is distinct from 3""")
+  , case when k = 4 then '{{"fx":' || "projectId" || '}}' else '{{}}' end as "projectConfig"
+  from (select *, case when "projectId" % 4 = 0 then ("projectId" // 4) % 6 end as k from {_PROJECTS}) p where k is distinct from 3""")
 def project_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _projects(spark, sf_dir).drop("projectConfig", "projectDate")
-    action = F.get(F.array(*map(F.lit, ("rename", "status", "restart", "delete", "nothing"))), F.floor(F.col("projectId") / 4).cast("int") % 5)
-    value = F.when(action == "rename", F.concat(F.lit("again "), F.col("projectId").cast("string"))).when(action == "status", "error")
+    own = _projects(spark, sf_dir).drop("projectDate").withColumn("projectConfig", F.lit("{}"))
+    action = F.get(F.array(*map(F.lit, ("rename", "status", "restart", "delete", "config", "nothing"))), F.floor(F.col("projectId") / 4).cast("int") % 6)
+    key = F.col("projectId").cast("string")
+    value = F.when(action == "rename", F.concat(F.lit("again "), key)).when(action == "status", "error").when(action == "config", F.concat(F.lit('{"fx":'), key, F.lit("}")))
     return projects.updated(own, own.where("projectId % 4 = 0").select("user_id", "projectId", action.alias("action"), value.alias("value")))
 
 
@@ -267,29 +351,46 @@ _SETTING = """(select event_id, event_id % 4 as how, json_extract_string(props,
 
 
 def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of which fx, fy, eps and minPts follow the event, three are set and one is missing."""
     k = F.get_json_object("props", "$.k")
     how = F.col("event_id") % 4
-    fx = F.when(how == 0, k).when(how == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(how == 2, F.lit('" "')).otherwise(F.concat(F.lit('"'), k, F.lit('d"')))
-    return _table(spark, sf_dir, "events").select("event_id", config.parse(F.concat(F.lit('{"cx": -1, "fx": '), fx, F.lit("}"))).alias("settings"))
+    said = F.when(how == 0, k).when(how == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(how == 2, F.lit('" "')).otherwise(F.concat(F.lit('"'), k, F.lit('d"')))
+    json = F.concat(F.lit('{"cx": -1, "cy": "-1", "depthMin": 0.5'), *(x for f in ("fx", "fy", "eps", "minPts") for x in (F.lit(f', "{f}": '), said)), F.lit("}"))
+    return _table(spark, sf_dir, "events").select("event_id", config.parse(json).alias("settings"))
+
 
+_NUMBER = "case how when 0 then k::double when 1 then k::double when 2 then 0 end"
 
-@query(f"select event_id, case how when 0 then k::double when 1 then k::double when 2 then 0 end as fx, -1.0::double as cx from {_SETTING}")
+
+@query(f"""select event_id, 0.5::double as "depthMin", null::double as "depthMax", {_NUMBER} as fx, {_NUMBER} as fy, -1.0::double as cx, -1.0::double as cy, {_NUMBER} as eps, {_NUMBER} as "minPts" from {_SETTING}""")
 def config_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _settings(spark, sf_dir).select("event_id", config.coerced(F.col("settings")).alias("s")).select("event_id", "s.fx", "s.cx")
+    return _settings(spark, sf_dir).select("event_id", config.coerced(F.col("settings")).alias("s")).select("event_id", "s.*")
 
 
-@query(f"select event_id, k as fx, k::double as fx_number, '-1' as cx from {_SETTING} where how = 0")
+@query(f"""select event_id, case how when 2 then ' ' when 3 then k || 'd' else k end as fx, {_NUMBER} as fx_number, '-1' as cx, 'edited ' || event_id as "depthMax", null::double as depth_number from {_SETTING}""")
 def config_set_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _settings(spark, sf_dir).where("event_id % 4 = 0")
-    edited = own.select("event_id", config.with_field(F.col("settings"), "fx", F.col("settings.fx")).alias("s"))
-    return edited.select("event_id", "s.fx", config.coerced(F.col("s"))["fx"].alias("fx_number"), "s.cx")
+    edited = config.with_field(F.col("settings"), "depthMax", F.concat(F.lit("edited "), F.col("event_id").cast("string")))
+    own = _settings(spark, sf_dir).select("event_id", edited.alias("s")).withColumn("n", config.coerced(F.col("s")))
+    return own.select("event_id", "s.fx", F.col("n.fx").alias("fx_number"), "s.cx", "s.depthMax", F.col("n.depthMax").alias("depth_number"))
+
 
+_SAVED = "case how when 2 then '0.0' when 3 then 'null' else k || '.0' end"
 
-@query(f"""select event_id, '{{"depthMin":null,"depthMax":null,"fx":' || (case how when 2 then '0.0' when 3 then 'null' else k || '.0' end) || ',"fy":null,"cx":-1.0,"cy":null,"eps":null,"minPts":null}}' as saved from {_SETTING}""")
+
+@query(f"""select event_id, '{{"depthMin":0.5,"depthMax":null,"fx":' || {_SAVED} || ',"fy":' || {_SAVED} || ',"cx":-1.0,"cy":-1.0,"eps":' || {_SAVED} || ',"minPts":' || {_SAVED} || '}}' as saved from {_SETTING}""")
 def config_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _settings(spark, sf_dir).select("event_id", config.saved(config.coerced(F.col("settings"))).alias("saved"))
 
 
+@query("select r_name as name, (r_regionkey * 10)::double as \"depthMin\", 150.5::double as \"depthMax\", 1000.0::double as fx, null::double as cy from region")
+def sample_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as samples: their settings are written as JSON files in the shared folder and read back."""
+    place = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    own = _table(spark, sf_dir, "region").select(F.format_string('{"%s": {"depthMin": %d,\n "depthMax": 150.5, "fx": 1000}}', "r_name", F.col("r_regionkey") * 10).alias("value"), "r_name")
+    own.write.partitionBy("r_name").text(place)
+    return config.sample_settings(spark, f"{place}/*/*.txt").select("name", "settings.depthMin", "settings.depthMax", "settings.fx", "settings.cy")
+
+
 def _messages(events: DataFrame) -> DataFrame:
     said = F.when(F.col("event_type") == "signup", progress.READY).when(F.col("event_type") == "error", progress.CLOSE).otherwise(F.col("event_id").cast("string"))
     return events.select(F.col("user_id").alias("pid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), said.alias("data"))
@@ -358,6 +459,111 @@ def success_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.succeeded(_table(spark, sf_dir, "pages").withColumn("status", status)).select("page_id", "url")
 
 
+@query("select name, label, 'set/' || label || '.jpg' as file from (values ('switch', 18), ('box', 3), ('none', 0)) as v(name, n), range(1, 19) as t(label) where label <= n")
+def sample_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = samples.sample_sets(spark, [("switch", "set/", 18, ".jpg"), ("box", "set/", 3, ".jpg"), ("none", "set/", 0, ".jpg")])
+    return samples.image_series(own)
+
+
+@query(f"select cloud_id, idx, x, z, b from {_CLOUDS} where idx <> 3 and (idx <> 4 or cloud_id % 2 = 0) and z is not null")
+def complete_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points whose coordinates are all there; one of each cloud lacks x, one of every other y."""
+    own = _clouds(spark, sf_dir)
+    holes = own.withColumns({"x": F.when(F.col("idx") != 3, F.col("x")), "y": F.when((F.col("idx") != 4) | (F.col("cloud_id") % 2 == 0), F.col("y"))})
+    return points.with_all_coordinates(holes).select("cloud_id", "idx", "x", "z", "b")
+
+
+@query(f"select cloud_id, round(d, 6) as d, idx, x, y, z from (select *, row_number() over (partition by cloud_id order by d, idx) as n from {_DISTANCES}) where n = 1")
+def nearest_or_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(points.nearest(_clouds(spark, sf_dir), by=["cloud_id"], strict=True), "d")
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> str:
+    """Embeddings by the hundred as NPY files, f4, in the shared folder."""
+    own = _table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 100).alias("n")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("own"))
+    flat = own.select("n", F.flatten(F.transform("own", lambda x: x.embedding)).alias("flat"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for x in b.column(1):
+                out = io.BytesIO()
+                np.save(out, x.values.to_numpy(zero_copy_only=False).astype("<f4"))
+                made.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"user-1/{n}/output/accumulated_numpy.npy" for n in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["file", "content"])
+
+    place = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    copies.write_files(flat.mapInArrow(encoded, "file string, content binary"), place).collect()
+    return place
+
+
+_FLAT = "(select vec_id // 100 as n, flatten(list(embedding order by vec_id)) as v from embeddings group by 1)"
+
+
+@query(f"select n::varchar as project, i as idx, {', '.join(f'v[i*6+{k + 1}]::double as {c}' for k, c in enumerate('xyzrgb'))} from {_FLAT}, unnest(range(0, ((len(v) + 5) // 6)::bigint)) as t(i)")
+def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read_points(spark, _arrays(spark, sf_dir), split=500)
+    return own.select(F.regexp_extract("cloud_id", "user-1/([0-9]+)/", 1).alias("project"), "idx", *(F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in "xyzrgb"))
+
+
+@query(f"select 'a_b_result.npy' as file, (128 + 4 * len(v))::bigint as length, true as same from {_FLAT}")
+def npy_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results offered as they are stored: the bytes of each file, by size and by sum."""
+    place = _arrays(spark, sf_dir)
+    found = copies.result_copies(spark, place, "a b")
+    stored = objects.images(spark, place).select(F.col("key").alias("path"), F.sha2("content", 256).alias("sum"))
+    return found.join(stored, "path").select("file", F.octet_length("content").cast("long").alias("length"), (F.col("sha256") == F.col("sum")).alias("same"))
+
+
+_IMAGES = "(select p_name || '.v' || p_partkey || '.PNG' as name, p_size % 7 as project_id, p_type as bytes from part where p_size < 20)"
+
+
+def _images(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as small image files in the shared folder."""
+    own = _table(spark, sf_dir, "part").where("p_size < 20")
+    rows = own.select(F.concat(F.lit("images/"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_name", F.lit(".v"), F.col("p_partkey").cast("string"), F.lit(".PNG")).alias("file"), F.col("p_type").cast("binary").alias("content"))
+    place = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    copies.write_files(rows, place).collect()
+    return place
+
+
+@query(f"select name, project_id::varchar as project, bytes as content, 'image/jpeg' as mime, length(bytes)::bigint as length from {_IMAGES} where project_id = 3")
+def image_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing by folder, and the contents of the files it names."""
+    place = _images(spark, sf_dir)
+    listed = objects.objects(spark, place).withColumn("key", F.regexp_extract("key", "(images/.*)", 1))
+    listed = files.listing(listed, "images/3").select("key", "length")
+    found = objects.images(spark, place, "*.PNG").withColumn("key", F.regexp_extract("key", "(images/.*)", 1))
+    return listed.join(found, "key").select("name", F.regexp_extract("key", "images/([0-9]+)/", 1).alias("project"), F.col("content").cast("string").alias("content"), "mime", "length")
+
+
+@query("select 0::bigint as n_objects, 0::bigint as n_images, 'error' as state")
+def missing_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = f"{shared_dir(spark)}/nothing-{uuid.uuid4().hex}"
+    state, _ = objects.result(spark, place)
+    rows = objects.objects(spark, place).select(F.lit(1).alias("o"), F.lit(0).alias("i")).union(objects.images(spark, place).select(F.lit(0), F.lit(1)))
+    return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("o", "n_objects"), ("i", "n_images")))).withColumn("state", F.lit(state))
+
+
+@query(f"select project_id, count(*) as n, sum(length(bytes))::bigint as n_bytes from {_IMAGES} group by project_id")
+def image_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images read from files and written as the table of uploads, by project."""
+    own = objects.images(spark, _images(spark, sf_dir))
+    place = f"{shared_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    copies.write_images(own.select(F.regexp_extract("key", "images/([0-9]+)/", 1).cast("int").alias("project_id"), "name", "content", "mime"), place)
+    return spark.read.parquet(place).groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).cast("long").alias("n_bytes"))
+
+
+@query(f"""select cloud_id, i // 4 as tile, count(*) as n_points, 3 * 4 * 2 * count(*) as bytes, {', '.join(f'{f}({c}::float)::double as {f}_{c}' for c in 'xyz' for f in ('min', 'max'))}
+  from (select *, idx as i from {_CLOUDS}) where z is not null group by 1, 2""")
+def gltf_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of tiles say about themselves."""
+    made = gltf.tiles(_clouds(spark, sf_dir).where("z is not null"), per_tile=4)
+    said = lambda path, name, kind: F.get_json_object("gltf", path).cast(kind).alias(name)
+    bound = [said(f"$.accessors[0].{f}[{k}]", f"{f}_{c}", "double") for k, c in enumerate("xyz") for f in ("min", "max")]
+    return made.select("cloud_id", "tile", said("$.accessors[0].count", "n_points", "long"), said("$.buffers[0].byteLength", "bytes", "long"), *bound)
+
+
 @query()
 def gltf_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gltf.tiles(_clouds(spark, sf_dir))
