@@ -15,7 +15,9 @@ over ``max_shard`` classes is not gathered. Its members are first compared with
 leader, another one for each of its keys. Where that leaves members of one shard in several
 components, all their classes are joined by a prefix filter over their whole sets, rarest hashes
 first: of two texts of the least likeness, the first hashes of the one are among those of the
-other, so no link is lost. Classes of one component are not paired again.
+other, so no link is lost. Classes of one component are not paired again, and of two that meet at a hash only
+those become a pair whose parities allow it: each hash in one set alone turns one of ``PARITY`` bits, so
+sets whose parities differ in more bits than alike sets differ in hashes are apart for sure.
 
 Defined cases: null and wordless texts are one class without links; texts under five words are
 one shingle; texts of any length are taken whole; an empty table gives an empty result; other columns are kept
@@ -31,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, short_batches, written
@@ -41,6 +43,9 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, REACH, KEPT, DOUBT, MAX_SHARD = 16, 4, 18, 1024, 0.05, 512
 #: Counters of the prefix filter's order, however many hashes there are.
 COUNTERS = 1 << 18
+#: Bits of a parity, in longs.
+PARITY = 512
+_LONGS = [f"p{i}" for i in range(PARITY // 64)]
 _BLOCK = 65_536
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PAIRS = "a binary, b binary, sure boolean"
@@ -202,6 +207,42 @@ def links(rows: DataFrame, shared: DataFrame, similarity: float = SIMILARITY, ma
     return sure if open_pairs.isEmpty() else sure.unionByName(by_whole_sets(open_pairs, rows, similarity))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits, as longs: whether an odd number of the (32-bit) hashes falls on each."""
+    at = (hashes.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - PARITY.bit_length() + 1)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_be_alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two structs (class, n, short, parity) can be a pair, the smaller set first."""
+    in_order = (a.n < b.n) | ((a.n == b.n) & (a["class"] < b["class"]))
+    differ = sum((F.bit_count(a[p].bitwiseXOR(b[p])) for p in _LONGS[1:]), F.bit_count(a[_LONGS[0]].bitwiseXOR(b[_LONGS[0]])))
+    return a.short & in_order & (a.n >= similarity * b.n - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (a.n + b.n) + 1e-6)
+
+
+def meeting_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that meet at a hash and may be alike; ``keyed`` has hash, root and the struct own.
+
+    Roots meet first. A root that has one class at a hash takes it along, so that it is held against each
+    class of the other root inside the join and only what may be alike leaves it.
+    """
+    single = F.when(F.count("*") == 1, F.first("own"))
+    roots = keyed.groupBy("hash", "root").agg(F.max("own.short").alias("short"), single.alias("one"))
+    left = roots.where("short").select("hash", F.col("root").alias("root_a"), F.col("one").alias("one_a"))
+    right = roots.select(F.col("hash").alias("hash_b"), F.col("root").alias("root_b"), F.col("one").alias("one_b"))
+    one_a, one_b = F.col("one_a"), F.col("one_b")
+    open_ends = one_a.isNull() | one_b.isNull()
+    met = cut(left.join(right, (F.col("hash") == F.col("hash_b")) & (F.col("root_a") != F.col("root_b")) & (open_ends | may_be_alike(one_a, one_b, similarity))).drop("hash_b"))
+    side = lambda s: keyed.select(F.col("hash").alias(f"hash_{s}"), F.col("root").alias(f"of_{s}"), F.col("own").alias(f"own_{s}"))
+    at = lambda s: (F.col("hash") == F.col(f"hash_{s}")) & (F.col(f"root_{s}") == F.col(f"of_{s}"))
+    pair = lambda a, b: (F.col(f"{a}.class").alias("a"), F.col(f"{b}.class").alias("b"))
+    both = met.where(~open_ends).select(*pair("one_a", "one_b"))
+    first = met.where(one_a.isNotNull() & one_b.isNull()).join(side("b"), at("b") & may_be_alike(one_a, F.col("own_b"), similarity)).select(*pair("one_a", "own_b"))
+    second = met.where(one_a.isNull() & one_b.isNotNull()).join(side("a"), at("a") & may_be_alike(F.col("own_a"), one_b, similarity)).select(*pair("own_a", "one_b"))
+    many = met.where(one_a.isNull() & one_b.isNull()).join(side("a").where("own_a.short"), at("a")).join(side("b"), at("b") & may_be_alike(F.col("own_a"), F.col("own_b"), similarity)).select(*pair("own_a", "own_b"))
+    return both.union(first).union(second).union(many).distinct()
+
+
 def links_across(rows: DataFrame, shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame | None:
     """The links (a, b) between classes of large shards that ``found`` (node, root) leaves in several components; None without such shards."""
     hot = shared.where(F.col("members") > max_shard).select("shard", "class")
@@ -230,26 +271,22 @@ def links_across(rows: DataFrame, shared: DataFrame, found: DataFrame, similarit
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of a pair, the text with more hashes has one of its ``first`` among the ``short`` of the other
-        names = ["hash", "short", "class", "root", "n"]
+        names = ["hash", "short", "class", "root", "n", *_LONGS]
         for b in batches:
             for own, root, whole in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 h = np.frombuffer(whole.as_py(), "<u4")
+                bits = parity(h)
                 h = h[np.lexsort((h, held.value[h % COUNTERS]))]
                 n = len(h)
                 first = n - math.ceil(similarity * n - 1e-6) + 1
                 short = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-6) + 1
                 h = h[:first]
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.arange(len(h)) < short), pa.array([own.as_py()] * len(h), pa.binary()), pa.array([root.as_py()] * len(h), pa.binary()), pa.array([n] * len(h), pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.arange(len(h)) < short), pa.array([own.as_py()] * len(h), pa.binary()), pa.array([root.as_py()] * len(h), pa.binary()), pa.array([n] * len(h), pa.int32()), *(pa.array(np.full(len(h), x)) for x in bits)], names)
 
-    keyed = written(sets.select("class", "root", "whole").mapInArrow(prefixes, "hash long, short boolean, class binary, root binary, n int"), "prefixes")
+    made = sets.select("class", "root", "whole").mapInArrow(prefixes, "hash long, short boolean, class binary, root binary, n int, " + ", ".join(f"{p} long" for p in _LONGS))
+    keyed = written(made.select("hash", "root", F.struct("class", "n", "short", *_LONGS).alias("own")), "prefixes")
     # components that meet at a hash, and only then their classes: a component's own classes are never paired
-    roots = keyed.groupBy("hash", "root").agg(F.max("short").alias("short"))
-    left, right = roots.where("short").select("hash", F.col("root").alias("root_a")), roots.select("hash", F.col("root").alias("root_b"))
-    meeting = left.join(right, "hash").where("root_a != root_b")
-    a = keyed.where("short").select("hash", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    b = keyed.select("hash", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    fits = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & ((F.col("n_a") < F.col("n_b")) | (F.col("a") < F.col("b")))
-    pairs = cut(meeting.join(a, ["hash", "root_a"]).join(b, ["hash", "root_b"]).where(fits).select("a", "b").distinct())
+    pairs = cut(meeting_pairs(keyed, similarity))
     return by_whole_sets(pairs, rows, similarity)
 
 

@@ -103,6 +103,47 @@ def test_copies_far_from_the_leader_are_found(spark):
     assert grouped(spark, texts, max_shard=8) == want
 
 
+def test_parities_never_part_alike_sets():
+    """Bits that differ are at most the hashes that differ."""
+    import numpy as np
+
+    own = np.random.default_rng(3)
+    for n in (1, 20, 150, 3000):
+        for moved in (0, 1, n // 10, n):
+            a = np.unique(own.integers(0, 1 << 32, n, dtype=np.uint64)).astype("<u4")
+            b = np.unique(np.concatenate([a[moved:], own.integers(0, 1 << 32, moved, dtype=np.uint64).astype("<u4")]))
+            differ = sum(int(x).bit_count() for x in (nearcopies.parity(a) ^ nearcopies.parity(b)).view(np.uint64))
+            assert differ <= len(np.setxor1d(a, b)) and (moved or not differ)
+
+
+def test_a_template_with_very_many_copies(spark):
+    """2,000 copies of one text with up to six edits, in shards far over the limit: the groups are those of all pairs."""
+    import numpy as np
+
+    own = random.Random(11)
+    base = " ".join(f"w{own.randrange(10**6)}" for _ in range(140))
+    texts = {i: edited(base, own.randrange(7), own) for i in range(2000)}
+    sets = [shingles(t) for t in texts.values()]
+    ids = {g: k for k, g in enumerate(set().union(*sets))}
+    held = np.zeros((len(sets), len(ids)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [ids[g] for g in x]] = 1
+    common, sizes = held @ held.T, held.sum(1)
+    alike = common >= 0.8 * (sizes[:, None] + sizes[None] - common) - 1e-3
+    left, want = set(texts), set()
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            group.add(i)
+            more = set(map(int, np.flatnonzero(alike[i]))) & left
+            left -= more
+            todo += more
+        want.add(frozenset(group))
+    assert len(want) > 100
+    assert grouped(spark, texts) == want
+
+
 def test_repeated_passages_do_not_part_copies(spark):
     texts = {}
     for s in range(12):
