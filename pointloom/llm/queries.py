@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, secretscan, sentencepieces, simhash, sketch, tokencount, toxicity, urls
+from . import mixing, pii, quality, secretscan, sentencepieces, simhash, sketch, sqlhash, tokencount, toxicity, urls
 from .common import table
 
 try:
@@ -120,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Learnt weights and dynamic programs are outside SQL; tests hold those against brute force."""
-    return {"op3_source_mix": _MIX_SQL, "op9_quality_rules": _QUALITY_SQL}
+    return {"op3_source_mix": _MIX_SQL, "op4_simhash_dedup": sqlhash.SIMHASH, "op9_quality_rules": _QUALITY_SQL, "op10_fingerprints": sqlhash.SKETCHES}

@@ -186,8 +186,26 @@ def test_a_hot_source_is_spread(spark):
         at += r["count"]
 
 
-def test_mixture_equals_sql(spark, sf_dir):
-    assert_same(queries.queries()["op3_source_mix"](spark, sf_dir), sf_dir, queries.oracle_sql()["op3_source_mix"])
+@pytest.mark.parametrize("name", ["op3_source_mix", "op4_simhash_dedup", "op10_fingerprints"])
+def test_query_equals_sql(spark, sf_dir, name):
+    assert_same(queries.queries()[name](spark, sf_dir), sf_dir, queries.oracle_sql()[name])
+
+
+def test_hashes_in_sql_are_xxh64():
+    import random
+
+    import duckdb
+    from pointloom.llm import sqlhash
+
+    own = random.Random(1)
+    texts = ["", "a", "x" * 31, "x" * 32, "x" * 33, "é ß 東京 naïve " * 9] + ["".join(own.choice("abcdef é🙂") for _ in range(own.randrange(90))) for _ in range(100)]
+    with duckdb.connect() as con:
+        con.execute("create table z (t varchar)")
+        con.executemany("insert into z values (?)", [[t] for t in texts])
+        got = dict(con.execute(sqlhash.hashed("z", "t", 42)).fetchall())
+        number = con.execute(f"select {sqlhash.of_long('12345678901234567890::uhugeint', '99::uhugeint')}").fetchall()[0][0]
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+    assert number == xxhash.xxh64_intdigest((12345678901234567890).to_bytes(8, "little"), 99)
 
 
 def test_beyond_the_broadcast_bound_the_join_is_the_same(docs):
