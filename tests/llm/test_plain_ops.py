@@ -108,8 +108,16 @@ def test_quality(docs, no_docs):
     assert quality.ledger(no_docs).count() == 0 == quality.ablations(quality.ledger(no_docs)).count()
 
 
-def test_quality_equals_sql(spark, sf_dir):
-    assert_same(queries.queries()["op9_quality_rules"](spark, sf_dir), sf_dir, queries.oracle_sql()["op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op5_secret_scan", "op9_quality_rules"])
+def test_query_equals_sql(spark, sf_dir, name):
+    assert_same(queries.queries()[name](spark, sf_dir), sf_dir, queries.oracle_sql()[name])
+
+
+def test_secrets_equal_sql_on_odd_texts(spark, docs, tmp_path):
+    tokens = ["eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "x.eyJ" + "a_-" * 4 + "." + "b" * 9 + "." + "c" * 9 + " eyJ" + "q" * 8 + "." + "r" * 8 + "." + "s" * 8, "-eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "ſecret=abcdefg Token=\"a1b2c3d4\"", "token=abcdef;secret='zyxwvu'", "xoxb-1234567890ab é ghp_" + "a1B2" * 10]
+    rows = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(60_000 + i, t) for i, t in enumerate(tokens)], "doc_id long, text string"))
+    rows.coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert_same(queries.queries()["op5_secret_scan"](spark, str(tmp_path)), str(tmp_path), queries.oracle_sql()["op5_secret_scan"])
 
 
 def test_policies_and_ablations_read_the_ledger(docs):
