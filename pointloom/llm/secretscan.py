@@ -133,7 +133,10 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         grown = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "findings").unionByName(grown)
     grown = cut(grown.where(F.size("findings") > 0))
     named = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.select(F.struct(*named).alias("row"), blob_of().alias("blob")).join(grown.select("blob", "findings"), "blob", "left")
+    # as in ``joined``: findings go to PARTS places, so that the rows of one blob are spread over tasks
+    side = grown.select("blob", "findings", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")).alias("part"))
+    part = spread(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "copies", PARTS)
+    joined = docs.select(F.struct(*named).alias("row"), blob_of().alias("blob"), part.alias("part")).join(side, ["blob", "part"], "left")
     place = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
