@@ -55,7 +55,8 @@ def rebuild(model: PieceModel) -> Tokenizer:
     steps += [normalizers.Prepend(MARK)] if model.dummy_prefix else []
     out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    # the marker is replaced piece by piece, as bytes that spell it stay as they are; of the first only one space is stripped
+    out.decoder = decoders.Sequence([decoders.Metaspace(MARK, prepend_scheme="never", split=False), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return out
 
 
@@ -115,13 +116,23 @@ class Codec:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
+_codecs: list[Codec] = []
+
+
+def codec_of(model: PieceModel) -> Codec:
+    """The model's codec, which a Python worker keeps with the ids of the words it knows for its later tasks."""
+    if not _codecs or _codecs[0].model.raw != model.raw:
+        _codecs[:] = [Codec(model)]
+    return _codecs[0]
+
+
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, ids (array of int), parity, decoded_same (decoding the ids gives the text back) of every row."""
     short_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(PieceModel.from_file(model_file))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = codec_of(model.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             found = codec.encode(texts)
@@ -142,7 +153,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     model = encoded.sparkSession.sparkContext.broadcast(PieceModel.from_file(model_file))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value)
+        codec = codec_of(model.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec.decode([x or [] for x in b.column(1).to_pylist()]), pa.string())], ["doc_id", "text"])
 
