@@ -34,8 +34,8 @@ from .piecemodel import MARK, NORMAL, UNIGRAM, UNKNOWN, USER, PieceModel, pretok
 
 MAX_KEPT, MAX_KEPT_LEN = 300_000, 48
 THREADS = 2
-#: Texts whose ids are decoded at once.
-DECODED = 50
+#: Texts whose ids are decoded at once, and new words (or texts) that are encoded at once: what both libraries say of them is held until it is packed.
+DECODED, LEARNT = 50, 2000
 
 
 def rebuild(model: PieceModel) -> Tokenizer:
@@ -104,7 +104,9 @@ class Codec:
             differ &= lone.keys()
         words = [pretokens(t, self.model) for t in texts] if self.apart else [[t] if t else [] for t in texts]
         new = list(set(chain.from_iterable(words)).difference(kept))
-        self._learn(new, [w.replace(MARK, " ") for w in new] if self.apart and any(MARK in w for w in new) else new)
+        for at in range(0, len(new), LEARNT):
+            part = new[at : at + LEARNT]
+            self._learn(part, [w.replace(MARK, " ") for w in part] if self.apart else part)
         out = [(b"".join(map(kept.__getitem__, own)), not differ or differ.isdisjoint(own)) for own in words]
         for w in new:
             if len(w) > MAX_KEPT_LEN:
