@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, secretscan, sentencepieces, simhash, sketch, sqlhash, tokencount, toxicity, urls
+from . import decontaminate, fillmiddle, mixing, pii, quality, repeats, secretscan, sentencepieces, simhash, sketch, sqlhash, statements, tokencount, toxicity, urls
 from .common import table
 
 try:
@@ -67,6 +67,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fillmiddle.digests(fillmiddle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.find(table(spark, sf_dir, "documents"), periodic=True))
+
+
 #: The rules and the policy of op9 in SQL.
 _QUALITY_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
@@ -144,10 +156,10 @@ select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in ("assi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filter, op2_token_counts, op3_source_mix, op4_simhash_dedup, op5_secret_scan, op6_toxicity, op7_pii, op8_sentencepiece, op9_quality_rules, op10_fingerprints]
+    own = [op1_url_filter, op2_token_counts, op3_source_mix, op4_simhash_dedup, op5_secret_scan, op6_toxicity, op7_pii, op8_sentencepiece, op9_quality_rules, op10_fingerprints, op11_decontaminate, op12_fill_in_middle, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Learnt weights and dynamic programs are outside SQL; tests hold those against brute force."""
-    return {"op3_source_mix": _MIX_SQL, "op4_simhash_dedup": sqlhash.SIMHASH, "op5_secret_scan": _SECRETS_SQL, "op9_quality_rules": _QUALITY_SQL, "op10_fingerprints": sqlhash.SKETCHES}
+    return {"op3_source_mix": _MIX_SQL, "op4_simhash_dedup": sqlhash.SIMHASH, "op5_secret_scan": _SECRETS_SQL, "op9_quality_rules": _QUALITY_SQL, "op10_fingerprints": sqlhash.SKETCHES} | statements.SQL

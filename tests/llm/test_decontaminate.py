@@ -1,0 +1,115 @@
+"""Decontamination and its index against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pointloom.llm import decontaminate
+from pointloom.llm.fmindex import Bits, FMIndex, Wavelet, suffix_order
+
+WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text: str | None) -> list[str]:
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(text: str | None, items: list[tuple]) -> tuple[int, int, int, str, bool]:
+    """n_words, n_hit, n_items, items_sha256, contaminated."""
+    words, hit, names = plain_words(text), set(), set()
+    for item, said in items:
+        own = plain_words(said)
+        size = min(10, len(own))
+        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+        for i in range(len(words) - size + 1):
+            if tuple(words[i : i + size]) in windows:
+                hit |= set(range(i, i + size))
+                names.add("null" if item is None else str(item))
+    return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
+
+
+_own = random.Random(5)
+PASSAGE = " ".join(_own.choice(["alpha", "beta", "gamma", "delta", "été", "x1"]) for _ in range(40))
+LOOP = "la la la " * 8
+ITEMS = [(1, PASSAGE), (2, "one two three"), (10, "solo"), (3, None), (4, " ... "), (2, "other words of item two and some more of them here"), (None, "no id item words"), (7, LOOP), (8, PASSAGE.upper()), (9, "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf")]
+TEXTS = [
+    None, "", " \n\t", "nothing of it here", "Solo", "so lo", "ONE, two; three! one two", "prefix " + PASSAGE + " suffix", PASSAGE.replace(" ", "-"), " ".join(PASSAGE.split()[3:12]), " ".join(PASSAGE.split()[3:13]),
+    "la " * 100, "la " * 9 + "no " + "la " * 10, "x" * 50_000, "7" * 20_000 + " " + "8 9 " * 5000, "eins zwei drei vier fünf sechs sieben acht neun zehn", "eins zwei drei vier fünf sechs sieben acht neun", "no id item words\x00no id item words", "é" + PASSAGE, (PASSAGE + " gap ") * 50,
+]
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(TEXTS)] + [(3, TEXTS[7], "s", 1), (None, TEXTS[7], "s", 1), (None, None, None, None)], "doc_id long, text string, spans string, items long").repartition(3)
+    return docs, spark.createDataFrame([(i, t, 0) for i, t in ITEMS], "item_id long, text string, n_words long")
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 30, 1])
+def test_documents_against_brute_force(made, block):
+    docs, items = made
+    rows = decontaminate.digests(decontaminate.find(docs, items, block=block)).collect()
+    own = {i: t for i, t in enumerate(TEXTS)}
+    expected = Counter((i, *brute(t, ITEMS)) for i, t in own.items())
+    expected.update([(3, *brute(TEXTS[7], ITEMS)), (None, *brute(TEXTS[7], ITEMS)), (None, *brute(None, ITEMS))])
+    assert Counter(map(tuple, rows)) == expected
+
+
+def test_spans_are_merged_and_in_order(made):
+    docs, items = made
+    for r in decontaminate.find(docs, items).collect():
+        spans = [(s.start, s.end) for s in r.spans]
+        assert all(0 <= a < b <= r.n_words for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_empty_sides(spark, made):
+    docs, items = made
+    assert decontaminate.find(docs.limit(0), items).count() == 0
+    rows = decontaminate.digests(decontaminate.find(docs, items.limit(0))).collect()
+    assert len(rows) == len(TEXTS) + 3 and not any(r.contaminated for r in rows)
+    nothing = spark.createDataFrame([(1, None), (2, "!!")], "item_id long, text string")
+    assert not any(r.n_hit for r in decontaminate.digests(decontaminate.find(docs, nothing)).collect())
+
+
+def test_random_texts_against_brute_force(spark):
+    own = random.Random(11)
+    said = lambda n, k: " ".join(own.choice("abcdefgh"[:k]) for _ in range(n))
+    items = [(i, said(own.choice([2, 5, 9, 10, 11, 30]), own.choice([1, 2, 8]))) for i in range(30)]
+    texts = [said(own.randrange(120), own.choice([1, 2, 3, 8])) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.digests(decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()
+    assert {tuple(r) for r in rows} == {(i, *brute(t, items)) for i, t in enumerate(texts)}
+
+
+def test_index_against_plain_search():
+    own = np.random.default_rng(3)
+    for n, kinds in [(1, 2), (2, 2), (64, 2), (500, 3), (2000, 40), (3000, 1)]:
+        text = np.r_[own.integers(0, kinds + 1, n), 0].astype(np.int32)
+        index = FMIndex(text)
+        for size in (1, 2, 5):
+            phrases = own.integers(1, kinds + 3, (50, size)).astype(np.int32)
+            low, high = index.search(phrases)
+            for phrase, a, b in zip(phrases, low, high, strict=True):
+                at = {i for i in range(len(text) - size + 1) if (text[i : i + size] == phrase).all()}
+                assert set(index.locate(np.arange(a, b)).tolist()) == at
+    assert FMIndex(np.zeros(0, np.int32)).search(np.ones((2, 3), np.int32))[1].sum() == 0
+    assert FMIndex(np.array([1, 2, 1, 2])).locate(np.arange(*FMIndex(np.array([1, 2, 1, 2])).search(np.array([[1, 2]])))).size == 2
+
+
+def test_suffix_order_and_ranks():
+    own = np.random.default_rng(4)
+    text = np.r_[own.integers(0, 3, 400), 0]
+    zeros = np.cumsum(text == 0)
+    key = [[(0, int(zeros[j])) if text[j] == 0 else (1, int(text[j])) for j in range(i, len(text))] for i in range(len(text))]
+    assert suffix_order(text).tolist() == sorted(range(len(text)), key=key.__getitem__)
+    tree, bits = Wavelet(text.astype(np.int64), 2), Bits(text == 1)
+    for at in (0, 1, 63, 64, 65, 200, len(text)):
+        assert bits.ones(np.array([at]))[0] == (text[:at] == 1).sum()
+        for symbol in (0, 1, 2):
+            assert tree.rank(np.array([symbol]), np.array([at]))[0] == (text[:at] == symbol).sum()
+    symbol, before = tree.get(np.arange(len(text)))
+    assert (symbol == text).all() and all(before[i] == (text[:i] == text[i]).sum() for i in range(len(text)))

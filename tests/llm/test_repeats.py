@@ -1,0 +1,87 @@
+"""Periodic runs against their definition."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from pointloom.llm import repeats
+
+from .conftest import rows
+from .test_corpus_ops import words_of
+
+
+def brute_runs(words: list, least: int = 6, times: int = 4) -> list[tuple[int, int, int]]:
+    n, found = len(words), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def brute_row(doc_id: int | None, text: str | None) -> tuple:
+    words = words_of(text)
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    found = brute_runs(words)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = min(found, key=lambda r: (-r[1] / r[2], r[0], r[2])) if found else (None,) * 3
+    said = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    milli = 1000 * best[1] // best[2] if found else None
+    return doc_id, len(found), *best, milli, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("least, times", [(6, 4), (4, 2), (3, 3), (12, 4), (2, 2)])
+def test_runs_of_random_words(least, times):
+    own = random.Random(times * 100 + least)
+    for _ in range(1500):
+        words = "".join(own.choice("abcd"[: own.randrange(1, 5)]) * own.choice([1, 1, 3]) for _ in range(own.randrange(12)))
+        for _ in range(own.randrange(3)):
+            at, n = own.randrange(len(words) + 1), own.randrange(1, 8)
+            words = words[:at] + words[at : at + n] * own.randrange(8) + words[at:]
+        words = words[:160]
+        assert repeats.runs(words, least, times) == brute_runs(words, least, times), words
+
+
+def test_squares_are_those_of_no_power():
+    for words in ("aaaaaaaa", "abababab", "abcabcabcabcx", "mississippi", "abaababaabaababaababa"):
+        found = {(q, i) for q, starts in repeats.squares(words, 2) for i in starts}
+        primitive = lambda root: not any(root == root[:d] * (len(root) // d) for d in range(1, len(root)) if len(root) % d == 0)
+        assert found == {(q, i) for q in range(1, len(words) // 2 + 1) for i in range(len(words) - 2 * q + 1) if words[i : i + q] == words[i + q : i + 2 * q] and primitive(words[i : i + q])}
+
+
+def test_long_periods_stay_cheap():
+    own = random.Random(2)
+    root = [str(own.randrange(500)) for _ in range(6000)]
+    words = root * 5
+    assert repeats.runs(words) == [(0, 30_000, 6000)]
+    assert repeats.runs(["la"] * 200_000) == [(0, 200_000, 1)]
+
+
+def test_documents_against_brute_force(docs):
+    expected = Counter(brute_row(r[0], r[1]) for r in rows())
+    assert Counter(map(tuple, repeats.digests(repeats.find(docs, periodic=True)).collect())) == expected
+    assert sum(n for row, n in expected.items() if row[1]) > 3
+
+
+def test_odd_rows(spark, no_docs):
+    own = [(None, "a " * 9), (None, None), (20, ""), (20, "b " * 30_000), (7, "1 2 " * 4000), (7, "x" * 100_000)]
+    found = repeats.digests(repeats.find(spark.createDataFrame(own, "doc_id long, text string"), periodic=True)).collect()
+    assert Counter(map(tuple, found)) == Counter(brute_row(*r) for r in own)
+    assert repeats.digests(repeats.find(no_docs)).count() == 0
+    plain = repeats.find(spark.createDataFrame([(20, "a b a b a b a b c")], "doc_id long, text string")).first()
+    assert plain.n_words == 9 and [tuple(r) for r in plain.runs] == [(0, 8, 2)] and plain.collapsed == "a b c"
