@@ -7,13 +7,12 @@ the union of the sketches. It grows with its text: a text of n shingles keeps ab
 Hashes are spread over [0, 2**48); a text's sketch is written as its threshold and its hashes in
 hexadecimal, so equal texts have equal fingerprints and the sketch can be read back.
 
-Likeness is the containment in the smaller text. Where a sketch holds fewer than ``COMPARED`` hashes, as
-for a short text, likeness in ``fingerprints`` is taken from all hashes of both texts; by sketches
-alone it is null if none can be compared.
+Likeness is the containment in the smaller text by what the two sketches hold, whatever the texts' length. Where a
+sketch holds no hash, as that of a text without words or, by chance, of a few shingles, ``containment`` is null, and
+likeness in ``fingerprints`` is 1 if the fingerprints are equal, else 0.
 
 Defined cases: a null text counts as the empty text; texts of under five words are one
-shingle, texts without words have an empty sketch; likeness with a wordless text is 1 if neither has
-words, else 0; texts of any length are taken whole; ties of doc_id are ordered by the
+shingle, texts without words have an empty sketch; texts of any length are taken whole; ties of doc_id are ordered by the
 text's hash; null ids come first; after the last document the first follows, so a single row
 follows itself; an empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP
 
-WIDTH, FRACTION, COMPARED = 5, 1 / 4, 64
+WIDTH, FRACTION = 5, 1 / 4
 _BITS = 48
 #: Documents in a run of neighbours, about, and runs at most.
 RUN, MAX_RUNS = 2_000, 65_536
@@ -84,11 +83,10 @@ def merged(a: Column, b: Column) -> Column:
     return F.struct(least.alias("theta"), F.array_sort(F.array_union(x, y)).alias("kept"))
 
 
-def likeness(a: Column, all_a: Column, b: Column, all_b: Column) -> Column:
-    """Containment by the sketches a and b, or by all hashes of their texts where a sketch holds too few."""
-    wordless = F.when((F.size(all_a) == 0) & (F.size(all_b) == 0), 1.0).otherwise(0.0)
-    enough = F.least(F.size(a.kept), F.size(b.kept)) >= COMPARED
-    return F.when(enough, shared(a.kept, b.kept)).otherwise(F.coalesce(shared(all_a, all_b), wordless))
+def likeness(a: Column, b: Column) -> Column:
+    """Containment by sketches of one fraction; with an empty one, whether both are."""
+    empty = F.when((F.size(a.kept) == 0) & (F.size(b.kept) == 0), 1.0).otherwise(0.0)
+    return F.coalesce(shared(a.kept, b.kept), empty)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -160,14 +158,12 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    led = with_next(rows, {"own": hashes(F.col("text"))}, ["text", "own"], run)
+    led = with_next(rows, {"sketch": sketch(F.col("text"))}, ["text", "sketch"], run)
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next_text", F.lit(1), quarter))
-    e = led.withColumn("edited", edited).withColumn("edited_own", hashes(F.col("edited")))
-    e = e.withColumns({s: under(F.col(c)) for s, c in (("sketch", "own"), ("edited_sketch", "edited_own"), ("next_sketch", "next_own"))})
-    near = lambda other: likeness(F.col("sketch"), F.col("own"), F.col(f"{other}_sketch"), F.col(f"{other}_own"))
+    e = led.withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
     return e.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written_out(F.col("sketch")).alias("fingerprint"), written_out(F.col("edited_sketch")).alias("edited_fingerprint"),
-        near("edited").alias("near_edited"), near("next").alias("near_next"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )

@@ -103,8 +103,8 @@ _OWN = f"list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1
 
 
 def _near(a: str, b: str) -> str:
-    share = lambda x, y: f"len(list_intersect({x}, {y})) / nullif(least(len({x}), len({y})), 0)"
-    return f"case when least(len({a}.kept), len({b}.kept)) >= 64 then {share(f'{a}.kept', f'{b}.kept')} else coalesce({share(f'{a}.own', f'{b}.own')}, (len({a}.own) = 0 and len({b}.own) = 0)::int::double) end"
+    """Likeness by what two sketches hold."""
+    return f"coalesce(len(list_intersect({a}.kept, {b}.kept)) / nullif(least(len({a}.kept), len({b}.kept)), 0), (len({a}.kept) = 0 and len({b}.kept) = 0)::int::double)"
 
 
 #: Threshold-scaled sketches of five-word shingles of texts and edited texts, and their likeness.
