@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions import text, vectors
-from pointloom.operators import config, files, points, progress, projects
+from pointloom.operators import config, density, files, octree, points, progress, projects
 from pointloom.shared import shared_dir
-from pointloom.sinks import copies, gltf
+from pointloom.sinks import copies, gltf, tiletree
+from pointloom.sinks.files import write_objects
 from pointloom.sources import objects, samples
 from pointloom.sources.npy import read_points
 from pointloom.streaming import progress as stream
@@ -74,9 +75,9 @@ def point_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clouds(spark, sf_dir)
 
 
-@query(f"select cloud_id, idx, x as px, z as pz, r as cr, b as cb from {_CLOUDS}")
+@query(f"select cloud_id, idx, x as px, y as py, z as pz, r as cr, g as cg, b as cb from {_CLOUDS}")
 def point_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.split(_clouds(spark, sf_dir)).select("cloud_id", "idx", F.col("position.x").alias("px"), F.col("position.z").alias("pz"), F.col("colour.r").alias("cr"), F.col("colour.b").alias("cb"))
+    return points.split(_clouds(spark, sf_dir)).select("cloud_id", "idx", *(F.col(f"position.{c}").alias(f"p{c}") for c in "xyz"), *(F.col(f"colour.{c}").alias(f"c{c}") for c in "rgb"))
 
 
 @query("""select l_orderkey as cloud_id, l_linenumber::bigint as idx, (l_extendedprice / 7)::float::double as x, l_quantity::float::double as y, l_discount::float::double as z,
@@ -307,11 +308,17 @@ def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.of_user(_projects(spark, sf_dir), 7).select("projectId", "projectName", "projectStatus")
 
 
-@query(f'select \'status\' as mode, "projectStatus" as value from {_PROJECTS} where user_id = 899 and "projectId" = 0 union all select \'full\', "projectName" from {_PROJECTS} where user_id = 899 and "projectId" = 0')
+@query(f"""select p."projectId", "projectStatus" as status, case when p."projectId" % 2 = 0 then '{{"fx":' || p."projectId" || '}}' end as config, "projectName" as name, "projectDate" as date, "projectStatus" as full_status, "projectProgress" as progress
+  from {_PROJECTS} p where user_id = 899""")
 def detail_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _projects(spark, sf_dir)
-    one = projects.detail(own, 899, 0, "status").select(F.lit("status").alias("mode"), F.col("projectStatus").alias("value"))
-    return one.union(projects.detail(own, 899, 0, "full").select(F.lit("full"), "projectName"))
+    """Every column of the three modes for all projects of a user."""
+    key = F.col("projectId")
+    own = _projects(spark, sf_dir).withColumn("projectConfig", F.when(key % 2 == 0, F.concat(F.lit('{"fx":'), key.cast("string"), F.lit("}"))))
+    keys = projects.of_user(own, 899).select("user_id", "projectId")
+    status, full = (projects.details_of(keys, own, mode) for mode in ("status", "full"))
+    settings = projects.details_of(keys, own, "config").withColumnRenamed("projectConfig", "config")
+    both = status.withColumnRenamed("projectStatus", "status").join(settings, ["user_id", "projectId"]).join(full, ["user_id", "projectId"])
+    return both.select("projectId", "status", "config", F.col("projectName").alias("name"), F.col("projectDate").alias("date"), F.col("projectStatus").alias("full_status"), F.col("projectProgress").alias("progress"))
 
 
 @query(f'select c_custkey as user_id, k as "projectId", "projectStatus" from (select c_custkey, unnest([c_custkey, c_custkey + 1]) as k from customer) left join {_PROJECTS} p on p.user_id = c_custkey and p."projectId" = k')
@@ -493,7 +500,7 @@ def _arrays(spark: SparkSession, sf_dir: str) -> str:
             yield pa.RecordBatch.from_arrays([pa.array([f"user-1/{n}/output/accumulated_numpy.npy" for n in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["file", "content"])
 
     place = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
-    copies.write_files(flat.mapInArrow(encoded, "file string, content binary"), place).collect()
+    write_objects(flat.mapInArrow(encoded, "file string, content binary"), place)
     return place
 
 
@@ -515,15 +522,14 @@ def npy_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(stored, "path").select("file", F.octet_length("content").cast("long").alias("length"), (F.col("sha256") == F.col("sum")).alias("same"))
 
 
-_IMAGES = "(select p_name || '.v' || p_partkey || '.PNG' as name, p_size % 7 as project_id, p_type as bytes from part where p_size < 20)"
+_IMAGES = "(select p_name || '.v' || p_partkey || '.PNG' as name, p_size % 7 as project_id, p_type as bytes from part)"
 
 
 def _images(spark: SparkSession, sf_dir: str) -> str:
     """Parts as small image files in the shared folder."""
-    own = _table(spark, sf_dir, "part").where("p_size < 20")
-    rows = own.select(F.concat(F.lit("images/"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_name", F.lit(".v"), F.col("p_partkey").cast("string"), F.lit(".PNG")).alias("file"), F.col("p_type").cast("binary").alias("content"))
+    rows = _table(spark, sf_dir, "part").select(F.concat(F.lit("images/"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_name", F.lit(".v"), F.col("p_partkey").cast("string"), F.lit(".PNG")).alias("file"), F.col("p_type").cast("binary").alias("content"))
     place = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
-    copies.write_files(rows, place).collect()
+    write_objects(rows, place)
     return place
 
 
@@ -555,10 +561,10 @@ def image_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select cloud_id, i // 4 as tile, count(*) as n_points, 3 * 4 * 2 * count(*) as bytes, {', '.join(f'{f}({c}::float)::double as {f}_{c}' for c in 'xyz' for f in ('min', 'max'))}
-  from (select *, idx as i from {_CLOUDS}) where z is not null group by 1, 2""")
+  from (select *, idx as i from {_CLOUDS}) group by 1, 2""")
 def gltf_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the files of tiles say about themselves."""
-    made = gltf.tiles(_clouds(spark, sf_dir).where("z is not null"), per_tile=4)
+    made = gltf.tiles(_clouds(spark, sf_dir), per_tile=4)
     said = lambda path, name, kind: F.get_json_object("gltf", path).cast(kind).alias(name)
     bound = [said(f"$.accessors[0].{f}[{k}]", f"{f}_{c}", "double") for k, c in enumerate("xyz") for f in ("min", "max")]
     return made.select("cloud_id", "tile", said("$.accessors[0].count", "n_points", "long"), said("$.buffers[0].byteLength", "bytes", "long"), *bound)
@@ -567,3 +573,88 @@ def gltf_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gltf_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gltf.tiles(_clouds(spark, sf_dir))
+
+
+_EPS, _LEAST = 0.03, 10
+#: All pairs within eps, and labels that go along them until none changes.
+_DENSITY = f"""with recursive p as materialized (select cloud_id, idx, cloud_id * 1000 + idx as id, x, y, z from {_CLOUDS}),
+  e as materialized (select a.id as a, b.id as b from p a, p b where (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= {_EPS} * {_EPS}::double),
+  core as materialized (select a as id from e group by a having count(*) >= {_LEAST}),
+  l as materialized (select a, b from e where a in (select id from core) and b in (select id from core) and a <> b),
+  c(id, label) using key (id) as (select id, id from core union select l.b, min(c.label) from c join l on l.a = c.id join recurring.c r on r.id = l.b where c.label < r.label group by l.b),
+  f as (select p.cloud_id, p.idx, p.id in (select id from core) as core, (select min(c.label) from e join c on c.id = e.b where e.a = p.id) as label from p)
+  select cloud_id, idx, core, label is null as noise, label // 1000 as cluster_cloud, label % 1000 as cluster_idx from f"""
+
+
+@query(_DENSITY)
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as one cloud: core points, noise, and each cluster by its smallest core point."""
+    found = density.clusters(_clouds(spark, sf_dir), _EPS, _LEAST)
+    return found.select("cloud_id", "idx", "core", "noise", F.col("cluster.cloud_id").alias("cluster_cloud"), F.col("cluster.idx").alias("cluster_idx"))
+
+
+#: Customers as cameras, some of them equal, some without a place, some far from all points.
+_CAMERAS = """(select c_custkey, case when c_custkey % 17 <> 0 then ((c_custkey // 2) % 40 - 20) / 50.0::double end as x, ((c_custkey // 80) % 40 - 20) / 50.0::double as y,
+  case when c_custkey % 13 = 0 then c_acctbal::double else (c_nationkey - 12) / 40.0::double end as z from customer)"""
+
+
+@query(f"""with n as (select c_custkey, c.x, c.y, c.z, p.cloud_id, p.idx, p.x as px, p.y as py, p.z as pz, sqrt((p.x - c.x)*(p.x - c.x) + (p.y - c.y)*(p.y - c.y) + (p.z - c.z)*(p.z - c.z)) as d
+  from {_CAMERAS} c join {_CLOUDS} p on c.x is not null),
+  b as (select * from n qualify row_number() over (partition by c_custkey order by d, idx, cloud_id) = 1)
+  select c_custkey, round(d, 9) as d, idx as near_idx, cloud_id as near_cloud, px as near_x, py as near_y, pz as near_z from {_CAMERAS} left join b using (c_custkey)""")
+def nearest_of_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, key = _table(spark, sf_dir, "customer"), F.col("c_custkey")
+    x = F.when(key % 17 != 0, (F.floor(key / 2) % 40 - 20) / F.lit(50.0))
+    z = F.when(key % 13 == 0, F.col("c_acctbal").cast("double")).otherwise((F.col("c_nationkey") - 12) / F.lit(40.0))
+    cameras = own.select("c_custkey", x.alias("x"), ((F.floor(key / 80) % 40 - 20) / F.lit(50.0)).alias("y"), z.alias("z"))
+    return octree.nearest_of(_clouds(spark, sf_dir), cameras).drop("x", "y", "z").withColumn("d", F.round("d", 9))
+
+
+_PER_LEAF = 200
+_KEYED = f"""with p as (select * from {_CLOUDS} where x is not null and y is not null and z is not null),
+  w as (select min(x) as lx, min(y) as ly, min(z) as lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) as side from p),
+  s as (select p.*, least(floor((x - lx) / side * 65536), 65535)::bigint as i, least(floor((y - ly) / side * 65536), 65535)::bigint as j, least(floor((z - lz) / side * 65536), 65535)::bigint as k from p, w),
+  m as materialized (select *, list_sum(list_transform(range(16), lambda b: (((i >> b) & 1) << (3 * b + 2)) + (((j >> b) & 1) << (3 * b + 1)) + (((k >> b) & 1) << (3 * b))))::bigint as key from s),
+  c as materialized (select level, key >> (3 * (16 - level)) as cell, count(*) as n, {', '.join(f'{f}({a}::float)::double as {f}_{a}' for a in 'xyz' for f in ('min', 'max'))} from m, range(0, 17) as t(level) group by 1, 2),
+  t as materialized (select c.*, c.n <= {_PER_LEAF} or c.level = 16 as leaf from c left join c o on o.level = c.level - 1 and o.cell = c.cell >> 3 where c.level = 0 or o.n > {_PER_LEAF})"""
+
+
+def _one_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as the points of one cloud."""
+    return _clouds(spark, sf_dir).withColumn("idx", F.col("cloud_id") * 1000 + F.col("idx")).withColumn("cloud_id", F.lit(0).cast("long"))
+
+
+@query(f"""{_KEYED} select level::int as level, cell, case when leaf then 0 end::bigint as part, leaf, n as n_points, {', '.join(f'{f}_{a}' for a in 'xyz' for f in ('min', 'max'))} from t""")
+def tile_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the tree with their points and bounds."""
+    found = tiletree.nodes(tiletree.placed(_one_cloud(spark, sf_dir), _PER_LEAF)).drop("cloud_id")
+    return found.withColumns({c: F.col(c).cast("double") for c, kind in found.dtypes if kind == "float"})
+
+
+@query(f"""{_KEYED} select o.cloud_id, o.idx, t.level::int as level, t.cell from (select cloud_id, idx, key from m) o join t on t.leaf and t.cell = o.key >> (3 * (16 - t.level))""")
+def tile_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one leaf of each point."""
+    own = tiletree.placed(_one_cloud(spark, sf_dir), _PER_LEAF)
+    return own.select(F.floor(F.col("idx") / 1000).alias("cloud_id"), (F.col("idx") % 1000).alias("idx"), "level", "cell")
+
+
+@query(f"""{_KEYED} select t.level::int as level, t.cell, t.n as n_points, count(*) as children, count(*) filter (where u.leaf) as leaves, sum(u.n)::bigint as below
+  from t join t u on u.level = t.level + 1 and u.cell >> 3 = t.cell where not t.leaf group by 1, 2, 3""")
+def tile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the document of each cell says about its children."""
+    made = tiletree.documents(tiletree.nodes(tiletree.placed(_one_cloud(spark, sf_dir), _PER_LEAF)))
+    said = F.from_json("json", "root struct<points:long,children:array<struct<points:long,content:struct<uri:string>>>>")
+    c = F.col("d.root.children")
+    return made.withColumn("d", said).select(
+        "level", "cell", F.col("d.root.points").alias("n_points"), F.size(c).cast("long").alias("children"),
+        F.size(F.filter(c, lambda x: x.content.uri.endswith(".gltf"))).cast("long").alias("leaves"), F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.points).alias("below"),
+    )
+
+
+@query(f"""{_KEYED} select level::int as level, cell, n as n_points, 24 * n as bytes, {', '.join(f'{f}_{a}' for a in 'xyz' for f in ('min', 'max'))} from t where leaf""")
+def tile_gltf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the glTF of each leaf says about itself."""
+    made = tiletree.tiles(tiletree.placed(_one_cloud(spark, sf_dir), _PER_LEAF))
+    said = lambda path, name, kind: F.get_json_object("gltf", path).cast(kind).alias(name)
+    bound = [said(f"$.accessors[0].{f}[{k}]", f"{f}_{c}", "double") for k, c in enumerate("xyz") for f in ("min", "max")]
+    return made.select("level", "cell", said("$.accessors[0].count", "n_points", "long"), said("$.buffers[0].byteLength", "bytes", "long"), *bound)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +42,34 @@ def document(points: np.ndarray) -> str:
     })
 
 
-def tiles(points: DataFrame, per_tile: int = PER_TILE) -> DataFrame:
-    """cloud_id, tile, n_points, gltf for each tile of each cloud."""
+def built(gathered: DataFrame) -> DataFrame:
+    """``gathered`` with n_points and gltf in place of ``own``, an array of structs that ends with x, y, z, r, g, b, in order; whole batches of tiles at a time."""
+    keys = [c for c in gathered.columns if c != "own"]
+    kinds = dict(gathered.dtypes)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(len(keys))
+            ends, values = own.offsets.to_numpy(), own.values
+            parts = np.column_stack([values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "r", "g", "b")])
+            made = [document(parts[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+            columns = [*(b.column(i) for i in range(len(keys))), pa.array(np.diff(ends), pa.int64()), pa.array(made, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "n_points", "gltf"])
+
+    kept = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    return gathered.select(*keys, "own").mapInArrow(build, f"{kept}, n_points long, gltf string")
 
-    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("idx")
-        parts = own[["x", "y", "z", "r", "g", "b"]].to_numpy(float, na_value=np.nan)
-        return pd.DataFrame({"cloud_id": [key[0]], "tile": [key[1]], "n_points": [len(own)], "gltf": [document(parts)]})
 
-    kind = dict(points.dtypes)["cloud_id"]
-    placed = points.select("cloud_id", F.floor(F.col("idx") / per_tile).cast("long").alias("tile"), "idx", "x", "y", "z", "r", "g", "b")
-    return placed.groupBy("cloud_id", "tile").applyInPandas(build, f"cloud_id {kind}, tile long, n_points long, gltf string")
+def gathered(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and own, the points of each group by idx; a group must be bounded."""
+    point = F.struct("idx", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "r", "g", "b")))
+    return placed.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("own"))
+
+
+def tiles(points: DataFrame, per_tile: int = PER_TILE) -> DataFrame:
+    """cloud_id, tile, n_points, gltf for each tile of each cloud."""
+    placed = points.withColumn("tile", F.floor(F.col("idx") / per_tile).cast("long"))
+    return built(gathered(placed, ["cloud_id", "tile"]))
 
 
 def write(points: DataFrame, path: str, per_tile: int = PER_TILE) -> None:
