@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from pointloom.operators import config, density, files, octree, points, progress
 from pointloom.shared import shared_dir
 from pointloom.sinks import copies, gltf, tiletree
 from pointloom.sinks.files import write_objects
-from pointloom.sources import objects, samples
+from pointloom.sources import eventstream, listing, objects, samples
 from pointloom.sources.npy import read_points
 from pointloom.streaming import progress as stream
+from pointloom.streaming import recovery, timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -398,9 +400,9 @@ def sample_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.sample_settings(spark, f"{place}/*/*.txt").select("name", "settings.depthMin", "settings.depthMax", "settings.fx", "settings.cy")
 
 
-def _messages(events: DataFrame) -> DataFrame:
+def _messages(events: DataFrame, *more: str) -> DataFrame:
     said = F.when(F.col("event_type") == "signup", progress.READY).when(F.col("event_type") == "error", progress.CLOSE).otherwise(F.col("event_id").cast("string"))
-    return events.select(F.col("user_id").alias("pid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), said.alias("data"))
+    return events.select(F.col("user_id").alias("pid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), said.alias("data"), *more)
 
 
 _FOLD = """with m as (select user_id as pid, ts, event_id, event_type, min(case when event_type = 'error' then ts end) over (partition by user_id) as closed_at from events)
@@ -525,11 +527,16 @@ def npy_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGES = "(select p_name || '.v' || p_partkey || '.PNG' as name, p_size % 7 as project_id, p_type as bytes from part)"
 
 
+def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as small image files: file and content."""
+    name = F.concat(F.lit("images/"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_name", F.lit(".v"), F.col("p_partkey").cast("string"), F.lit(".PNG"))
+    return _table(spark, sf_dir, "part").select(name.alias("file"), F.col("p_type").cast("binary").alias("content"))
+
+
 def _images(spark: SparkSession, sf_dir: str) -> str:
     """Parts as small image files in the shared folder."""
-    rows = _table(spark, sf_dir, "part").select(F.concat(F.lit("images/"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_name", F.lit(".v"), F.col("p_partkey").cast("string"), F.lit(".PNG")).alias("file"), F.col("p_type").cast("binary").alias("content"))
     place = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
-    write_objects(rows, place)
+    write_objects(_image_rows(spark, sf_dir), place)
     return place
 
 
@@ -658,3 +665,104 @@ def tile_gltf(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda path, name, kind: F.get_json_object("gltf", path).cast(kind).alias(name)
     bound = [said(f"$.accessors[0].{f}[{k}]", f"{f}_{c}", "double") for k, c in enumerate("xyz") for f in ("min", "max")]
     return made.select("level", "cell", said("$.accessors[0].count", "n_points", "long"), said("$.buffers[0].byteLength", "bytes", "long"), *bound)
+
+
+@query(f"select n::varchar as project, i as idx, {', '.join(f'v[i*6+{k + 1}]::double as {c}' for k, c in enumerate('xyz'))} from {_FLAT}, unnest(range(0, ((len(v) + 5) // 6)::bigint)) as t(i) where i >= 300 and i < 420")
+def npy_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of each array; only that range is read."""
+    own = read_points(spark, _arrays(spark, sf_dir), split=50).where("idx >= 300 and idx < 420")
+    return own.select(F.regexp_extract("cloud_id", "user-1/([0-9]+)/", 1).alias("project"), "idx", *(F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in "xyz"))
+
+
+@query(f"select 'images/' || project_id || '/' || name as key, length(bytes)::bigint as length from {_IMAGES} where project_id = 4")
+def key_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of one folder of a store of all parts; other folders are not listed."""
+    place = f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"
+    copies.write_files(_image_rows(spark, sf_dir), place).agg(F.sum("length")).first()
+    return listing.object_keys(spark, place).where(F.col("key").startswith("images/4/")).select("key", "length")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
+    """The table of events as a stream of messages (pid, ts, seq, data), and a folder for the stream's own files."""
+    kind = _table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")
+    return _messages(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts"), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _run(states: DataFrame, place: str) -> DataFrame:
+    """The last state of each process of a stream that is run to its end."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{place}/states/batch={number}")
+
+    states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _last_states(states.sparkSession, place)
+
+
+def _last_states(spark: SparkSession, place: str) -> DataFrame:
+    own = spark.read.parquet(f"{place}/states")
+    last = own.groupBy("pid").agg(F.max(F.struct("number", "progress", "connected", "closed", "incomplete")).alias("s"))
+    return last.select("pid", "s.progress", "s.connected", "s.closed", "s.incomplete")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    messages, place = _streamed(spark, sf_dir, "timed")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, timed.ROCKS)
+    try:
+        return _run(timed.follow(messages, timedelta(days=25)), place), f"{place}/checkpoint"
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(_FOLD)
+def progress_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a stream that forgets processes 25 days after they closed."""
+    return _timed(spark, sf_dir)[0]
+
+
+@query("""select user_id as pid, min(ts) filter (where event_type = 'error') is not null as closed from events group by 1
+  having min(ts) filter (where event_type = 'error') is null or epoch_ms(min(ts) filter (where event_type = 'error')) + 25 * 86400000::bigint > (select epoch_ms(max(ts)) from events)""")
+def progress_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processes whose state is still there when all events were read: those that have not been closed for 25 days."""
+    return timed.open_processes(spark, _timed(spark, sf_dir)[1]).select("pid", "closed")
+
+
+@query("select event_id::varchar as id, event_type as event, user_id || chr(10) || props as data from events")
+def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as event-stream text in three goes, each read when it is there."""
+    own, place = _table(spark, sf_dir, "events"), f"{shared_dir(spark)}/event-text-{uuid.uuid4().hex}"
+    said = F.concat(F.lit("id: "), F.col("event_id").cast("string"), F.lit("\n: a remark\nevent: "), "event_type", F.lit("\ndata: "), F.col("user_id").cast("string"), F.lit("\ndata: "), "props", F.lit("\n"))
+    spark.dataSource.register(eventstream.EventText)
+    spark.createDataFrame([], "value string").write.text(f"{place}/text")
+    frames = spark.readStream.format("event_text").option("split", 50_000).load(f"{place}/text")
+    query = frames.writeStream.format("parquet").option("path", f"{place}/read").option("checkpointLocation", f"{place}/checkpoint").start()
+    try:
+        for turn in range(3):
+            own.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == turn).select(said.alias("value")).write.mode("append").text(f"{place}/text")
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{place}/read").select("id", "event", "data")
+
+
+@query(_FOLD.replace("select pid, arg_max", "select 1::bigint as errors, true as ended_well, pid, arg_max"))
+def progress_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a stream that breaks in its second micro-batch and goes on from its checkpoint."""
+    own, place = _table(spark, sf_dir, "events"), f"{shared_dir(spark)}/broken-{uuid.uuid4().hex}"
+    at = own.agg(*(F.expr(f"percentile_approx(unix_micros(cast(ts as timestamp)), {q})") for q in (0.3, 0.6))).first()
+    seq = F.unix_micros(F.col("ts").cast("timestamp"))
+    for part in (seq <= at[0], (seq > at[0]) & (seq <= at[1]), seq > at[1]):
+        own.where(part).coalesce(1).write.mode("append").parquet(f"{place}/events")
+    source = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/events")
+    states, broken = stream.follow(_messages(source)), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        if number == 1 and not broken:
+            broken.append(number)
+            raise ConnectionError("the source went away")
+        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{place}/states/batch={number}")
+
+    start = lambda: states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    found = recovery.keep_running(spark, start, wait=0.1)
+    return _last_states(spark, place).select(F.lit(len(found.errors)).cast("long").alias("errors"), F.lit(not found.failed).alias("ended_well"), "*")

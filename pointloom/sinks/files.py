@@ -2,7 +2,7 @@
 
 Each task writes into a folder of its own below ``_staged-...``, which Spark's listings pass over. When all tasks are
 done the folders of attempts that do not count are removed and the rest is renamed, in one step, to ``batch-...``; a job
-that fails leaves nothing. The driver learns one short message from each task, however many files it wrote. The store must
+that fails leaves nothing that a listing sees (a task that ends later than the job may leave hidden files). The driver learns one short message from each task, however many files it wrote. The store must
 rename folders in one step, as HDFS and shared disks do.
 
     spark.dataSource.register(ObjectFiles)

@@ -8,7 +8,7 @@ group of under six values ends with NaN. An empty array has no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from numpy.lib import format as npy_format
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 PARTS = ("x", "y", "z", "r", "g", "b")
 STRIDE = len(PARTS)
@@ -47,6 +47,19 @@ class PointRange(InputPartition):
 class NpyReader(DataSourceReader):
     def __init__(self, path: str, split: int) -> None:
         self.path, self.split = path, split
+        self.low, self.high, self.only = 0, 1 << 62, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Takes ranges of idx and a path in; ranges are left to Spark as well, as a range may hold more than is asked for."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("idx",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+            elif isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.only = f.value
+            yield f
 
     def _files(self) -> Iterator[str]:
         store, path = _stored(self.path)
@@ -63,17 +76,22 @@ class NpyReader(DataSourceReader):
 
     def partitions(self) -> list[PointRange]:
         out = []
-        for path in self._files():
+        for path in self._files() if self.low < self.high else ():
+            if self.only not in (None, path):
+                continue
             store, inner = _stored(path)
             with store.open_input_file(inner) as f:
                 offset, dtype, values = header(f)
             points = -(-values // STRIDE)
-            for start in range(0, points, self.split):
-                here = min(values, (start + self.split) * STRIDE) - start * STRIDE
+            last = min(points, self.high)
+            for start in range(self.low, last, self.split):
+                here = min(values, min(start + self.split, last) * STRIDE) - start * STRIDE
                 out.append(PointRange(path, offset + start * STRIDE * dtype.itemsize, dtype.str, start, here))
         return out
 
-    def read(self, partition: PointRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: PointRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark passes where there are no ranges
+            return
         dtype = np.dtype(partition.dtype)
         store, inner = _stored(partition.path)
         with store.open_input_file(inner) as f:
@@ -101,6 +119,7 @@ class NpyPoints(DataSource):
 
 
 def read_points(spark: SparkSession, path: str, split: int = SPLIT_POINTS) -> DataFrame:
-    """cloud_id (the file), idx and parts of each point in an NPY file, or in all of a folder."""
+    """cloud_id (the file), idx and parts of each point in an NPY file, or in all of a folder; conditions on cloud_id and idx reach the files."""
     spark.dataSource.register(NpyPoints)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("npy_points").option("points", split).load(path).withColumnRenamed("path", "cloud_id")
