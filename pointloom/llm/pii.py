@@ -1,22 +1,23 @@
 """Personal data: patterns for the base kinds, and a skip-chain conditional random field that adds spans.
 
-The field's nodes are the tokens of a document that hold a digit or ``@``; all other
-tokens are O (no personal data) by definition and need no messages. Neighbouring tokens
-share chain potentials. Occurrences of the same token, or of a similar one (the same last
-``ALIKE`` digits, or the same local part of an address), share skip potentials however far
-apart they are, from each occurrence to the one before and to the first, so their number stays
-linear and any two occurrences are at most two edges apart. Tokens of base spans hold
-their label; loopy sum-product message passing, over all documents of a batch at once and until
-the messages settle, carries it to the tokens that no pattern finds. Of those, the ones that
-the field labels with ``CERTAIN`` probability become added spans.
-
-The weights are learnt here by pseudo-likelihood from tokens that the base patterns label. As
-what the patterns test would else explain every label, each token is echoed while learning: by a
+The field's nodes are values: the base spans of a document, whole, and what stands elsewhere for the value of one of
+them: neighbouring numbers that together have all its digits, or all but a telephone's country code; the same four
+octets; the same address in another spelling of ``@``, or its whole local part before another domain if that has the form of a name. A part of
+a value, or a number that only ends alike, is no node. All other tokens are O (no personal data) by definition and need no
+messages. Neighbouring nodes share chain potentials. Occurrences of a value share skip potentials however far
+apart they are, from each to the value's first base span and to the occurrence before, so their number stays linear.
+Base spans hold their label; loopy sum-product message passing until the messages settle carries it to the nodes that no pattern
+finds. Of those, the ones that the field labels with ``CERTAIN`` probability become added spans. Messages run in pieces of at most ``NODES`` nodes in
+the order of the text, so memory is bounded; what an earlier piece of a text decided holds in the next.
+
+The weights are learnt here by pseudo-likelihood from base spans and the other tokens. As
+what the patterns test would else explain every label, each base span is echoed while learning: by a
 mention of it that no pattern sees, with the same label, its features hidden and a skip edge as its only
-tie, and by a stranger, hidden and without ties, which is O. So the skip weights are learnt from
-what other occurrences say. A token that a pattern finds only where it stands alone teaches nothing. Learning is one task over a sample of at most ``MAX_TRAIN``
-documents (repeated rows once), ``MAX_IN_TEXT`` tokens of each and ``MAX_TOKENS`` in all; the weights
-are a table of under 200 kB, which is broadcast. Base spans never depend on the field.
+tie, by a stranger, hidden and without ties, and by a part of its own value without ties, which are O. So the skip weights are
+learnt from what other occurrences say. A token that a pattern finds only where it stands alone, and one that stands for a base span's
+value, teaches nothing. Learning is one task over whole documents, sampled by hash: of at most about ``MAX_TRAIN`` documents (repeated rows once)
+so many that they have about ``MAX_TOKENS`` tokens; the weights are a table of under 200 kB, which is broadcast. Base spans never
+depend on the field.
 
 Defined cases: a null text counts as the empty text, without spans; null ids are kept; texts of
 any length are scanned whole; equal texts have equal spans; an empty table gives an empty
@@ -37,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, spread
+from .common import cut, short_batches, spread
 
 #: The base kinds, in order, and the limits of each.
 KINDS = ["email", "ip", "card", "phone"]
@@ -50,15 +51,20 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-MAX_TRAIN, MAX_TOKENS, MAX_IN_TEXT = 20_000, 60_000, 2_000
-CERTAIN, SWEEPS, SETTLED, BUCKETS = 0.9, 200, 1e-9, 4096
-ALIKE = 7
+MAX_TRAIN, MAX_TOKENS = 20_000, 60_000
+CERTAIN, SWEEPS, SETTLED, BUCKETS, NODES = 0.9, 200, 1e-9, 4096, 20_000
+#: Digits of a number that can stand for a value, at least and at most.
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 #: Features of a node, whatever the token.
 FEATURES = 11
 #: Kinds of skip edges, each with a weight of its own.
 EQUAL, SIMILAR = 0, 1
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
-_LOCAL_START = re.compile(r"(?:[a-z][a-z0-9.+-]*)?")
+_NUMBER = re.compile(r"[0-9(][0-9()./_-]*+")
+_GAP = re.compile(r"[\x20().+/-]{1,3}")
+_AT = re.compile(r"@|\(at\)|\[at\]|_at_", re.I)
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+")
+_NAME = re.compile(r"[a-z]+(?:[._-][a-z0-9]+)+")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'([{<|#*$%&", ".,;:!?\"')]}>|#*$%&"
 
 
@@ -136,57 +142,171 @@ def node_features(core: str, before: str, after: str, hidden: bool = False) -> l
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in named]
 
 
-def alike(core: str) -> set[tuple[int, str]]:
-    """What other occurrences of a token share with it, with the kind of the edge between them."""
-    digits, own = digits_of(core), {(EQUAL, core.lower())}
-    if len(digits) >= ALIKE:
-        own.add((SIMILAR, digits[-ALIKE:]))
-    local = _LOCAL_START.match(core.lower())[0]
-    if len(local) >= 5 and not local.isdecimal():
-        own.add((SIMILAR, local))
-    return own
+def octets_of(core: str) -> tuple[str, ...] | None:
+    """The four numbers of up to three digits that a value consists of, if it does."""
+    parts = re.findall("[0-9]+", core)
+    return tuple(x.lstrip("0") or "0" for x in parts) if len(parts) == 4 and all(len(x) <= 3 for x in parts) else None
+
+
+def keys_of(kind: str, core: str) -> list[tuple[int, str, object]]:
+    """What stands for a base span's value: kind of the edge, sort of the key, key."""
+    if kind == "email":
+        local, _, domain = core.lower().rpartition("@")
+        return [(EQUAL, "address", f"{local}@{domain}")] + [(SIMILAR, "local", local)] * bool(_NAME.fullmatch(local))
+    if kind == "ip":
+        own = octets_of(core)
+        return [(EQUAL, "octets", own)] if own else []
+    digits = digits_of(core)
+    out = [(EQUAL, "digits", digits)]
+    if kind == "phone":
+        # one digit after +1 and +7, else two or three, are a country's code
+        out += [(SIMILAR, "digits", digits[n:]) for n in ((1,) if digits[0] in "17" else (2, 3)) if len(digits) - n >= LEAST_DIGITS]
+    return out
 
 
-def graph(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Tokens, their features and base labels, chain edges and skip edges (with their kinds) of one text."""
-    found = tokens(text)
-    labels, order, at = [], sorted((s, e, k) for k, s, e in spans), 0
-    for start, end in found:
-        while at < len(order) and order[at][1] <= start:
+def _numbers(text: str, known: dict) -> Iterator[tuple[int, int, list]]:
+    """Start, end and known keys of numbers, and of neighbouring numbers together: from each on the most that stand for a value."""
+    found: list[tuple[int, int, str]] = []  # numbers side by side, from one on that may begin a value
+
+    def matched(ended: bool) -> Iterator[tuple[int, int, list]]:
+        """Values that begin in ``found``, as long as what may follow can't change them; those numbers are taken out."""
+        i = 0
+        while i < len(found) and (ended or len(found) - i > MOST_DIGITS):
+            digits, best = "", None
+            for j in range(i, len(found)):
+                digits += found[j][2]
+                if len(digits) > MOST_DIGITS + 1:
+                    break
+                keys = [("digits", d) for d in (digits, digits[1:] if digits[:1] == "0" else "") if len(d) >= LEAST_DIGITS and ("digits", d) in known]
+                own = octets_of(text[found[i][0] : found[j][1]]) if j == i else None
+                if own and ("octets", own) in known:
+                    keys.append(("octets", own))
+                if keys:
+                    best = (j, keys)
+            if best:
+                start, end = found[i][0], found[best[0]][1]
+                if start and text[start - 1] == "(" and ")" in text[start:end]:
+                    start -= 1
+                yield start, end, best[1]
+                i = best[0] + 1
+            else:
+                i += 1
+        del found[:i]
+
+    for m in _NUMBER.finditer(text):
+        core = m[0].strip("()./_-")
+        if not core:
+            continue
+        start = m.start() + m[0].index(core)
+        end = start + len(core)
+        whole = not (start and (text[start - 1].isalnum() or text[start - 1] in "@_")) and not (end < len(text) and (text[end].isalnum() or text[end] in "@_"))
+        if found and not (whole and start - found[-1][1] <= 3 and _GAP.fullmatch(text, found[-1][1], start)):
+            yield from matched(True)
+        if whole:
+            found.append((start, end, digits_of(core)))
+            if len(found) > 8 * MOST_DIGITS:
+                yield from matched(False)
+    yield from matched(True)
+
+
+def _addresses(text: str, known: dict) -> Iterator[tuple[int, int, list]]:
+    """Start, end and known keys of addresses in any spelling of ``@``."""
+    free = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        domain = _DOMAIN.match(text, m.end())
+        if start == m.start() or not domain:
+            continue
+        local, end = text[start : m.start()].lower(), domain.end()
+        keys = [("address", f"{local}@{domain[0].lower()}")]
+        if any(c.isalpha() for c in domain[0]):
+            keys.append(("local", local))
+        keys = [k for k in keys if k in known]
+        if keys:
+            yield start, end, keys
+            free = end
+
+
+Node = tuple[int, int, int, list]
+
+
+def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[Node]:
+    """Start, end, label and keys of a text's base spans, those within others aside, and of the other places that stand for their values, in order."""
+    held: list[Node] = []
+    known: dict = {}
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if held and start < held[-1][1]:
+            continue
+        keys = []
+        for edge, sort, key in keys_of(kind, text[start:end]):
+            known.setdefault((sort, key), edge)
+            keys.append((sort, key))
+        held.append((start, end, LABELS.index(kind), keys))
+    if not held:
+        return []
+    free, sorts = [], {sort for sort, _ in known}
+    if sorts & {"digits", "octets"}:
+        free += list(_numbers(text, known))
+    if sorts & {"address", "local"}:
+        free += list(_addresses(text, known))
+    out, at = [], 0
+    taken = sorted((s, e) for _, s, e in spans)
+    for start, end, keys in sorted(free, key=lambda x: x[:2]):
+        while at < len(taken) and taken[at][1] <= start:
             at += 1
-        own = next((k for s, e, k in order[at : at + len(KINDS)] if s < end and start < e), None)
-        labels.append(LABELS.index(own) if own else 0)
-    cores = [text[s:e] for s, e in found]
+        if (at == len(taken) or taken[at][0] >= end) and (not out or start >= out[-1][1]):
+            out.append((start, end, 0, keys))
+    return sorted(held + out, key=lambda x: x[:2])
+
+
+def edges(text: str, found: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Chain edges between neighbours, and skip edges (with their kinds) from each node to its value's first base span and last occurrence."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if 0 < found[i + 1][0] - found[i][1] <= 3 and " " in text[found[i][1] : found[i + 1][0]]]
     chained, skip, first, last = set(chain), {}, {}, {}
-    for i, core in enumerate(cores):
-        for kind, key in sorted(alike(core)):
-            if key in last:
-                for edge in ((first[key], i), (last[key], i)):
-                    if edge not in chained:
-                        skip.setdefault(edge, kind)
-            first.setdefault(key, i)
-            last[key] = i
-    rows = []
-    for (s, e), core in zip(found, cores, strict=True):
-        before, after = text[max(0, s - 24) : s].split()[-1:], text[e : e + 24].split()[:1]
-        rows.append(node_features(core, "".join(before), "".join(after)))
-    return found, rows, labels, chain, [(*edge, kind) for edge, kind in sorted(skip.items())]
-
-
-def lessons(text: str, spans: list[tuple[str, int, int]]) -> tuple:
-    """What is learnt from a text: its graph without the tokens that a pattern finds only where they stand alone,
-    with an echo of each token that has a label, and as many strangers."""
-    found, x, y, chain, skip = graph(text, spans)
-    kept = [i for i, (s, e) in enumerate(found) if y[i] or not base_spans(text[s:e])]
-    at = {i: j for j, i in enumerate(kept)}
-    x, y = [x[i] for i in kept], [y[i] for i in kept]
-    chain = [(at[a], at[b]) for a, b in chain if a in at and b in at]
-    skip = [(at[a], at[b], kind) for a, b, kind in skip if a in at and b in at]
+    for i, (_, _, label, keys) in enumerate(found):
+        if label:
+            for turn, key in enumerate(keys):
+                first.setdefault(key, []).append((i, EQUAL if turn == 0 else SIMILAR, label))
+    # of each label the first base span of a value
+    first = {key: list({label: (i, kind) for i, kind, label in reversed(own)}.values()) for key, own in first.items()}
+    for i, (_, _, _, keys) in enumerate(found):
+        for turn, key in enumerate(keys):
+            other = [(j, max(kind, EQUAL if turn == 0 else SIMILAR)) for j, kind in first.get(key, ())] + ([last[key]] if key in last else [])
+            for j, kind in other:
+                edge = (min(i, j), max(i, j))
+                if i != j and edge not in chained:
+                    skip.setdefault(edge, kind)
+        for turn, key in enumerate(keys):
+            last[key] = (i, EQUAL if turn == 0 else SIMILAR)
+    return chain, [(*edge, kind) for edge, kind in sorted(skip.items())]
+
+
+def features_at(text: str, start: int, end: int, hidden: bool = False) -> list[int]:
+    """Features of a place; of a mention that no pattern sees its form is hidden, as that of the echoes is, and its neighbours count."""
+    before, after = text[max(0, start - 24) : start].split()[-1:], text[end : end + 24].split()[:1]
+    return node_features(text[start:end], "".join(before), "".join(after), hidden)
+
+
+def lessons(text: str, spans: list[tuple[str, int, int]]) -> tuple[list, list, list, list]:
+    """Features, labels, chain and skip edges that are learnt from a text: base spans and tokens that stand for none of
+    their values, and for each base span an echo, a stranger and a part of its value."""
+    own = nodes(text, spans)
+    taken, at, every = sorted([(s, e) for _, s, e in spans] + [(s, e) for s, e, *_ in own]), 0, []
+    for s, e in tokens(text):
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if (at == len(taken) or taken[at][0] >= e) and not base_spans(text[s:e]):
+            every.append((s, e, 0, []))
+    kept = sorted([n for n in own if n[2]] + every, key=lambda n: n[:2])
+    chain, skip = edges(text, kept)
+    x, y = [features_at(text, s, e) for s, e, *_ in kept], [n[2] for n in kept]
     n, said = len(y), [i for i in range(len(y)) if y[i]]
     hidden = [node_features("", "", "", True)] * len(said)
+    parts = [node_features(re.findall("[0-9]+|[A-Za-z]+", text[kept[i][0] : kept[i][1]])[-1], "", "") for i in said]
     skip += [(i, n + j, (EQUAL, SIMILAR)[j % 2]) for j, i in enumerate(said)]
-    return [(0, 0)] * (n + 2 * len(said)), x + hidden + hidden, y + [y[i] for i in said] + [0] * len(said), chain, skip
+    return x + hidden + hidden + parts, y + [y[i] for i in said] + [0] * (2 * len(said)), chain, skip
 
 
 def learn(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 150) -> dict:
@@ -226,16 +346,19 @@ def marginals(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict, held:
         at = np.flatnonzero(held)
         unary[at] = -1e3
         unary[at, held[at]] = 0.0
-    edges = np.concatenate([chain[:, :2], skip[:, :2]]).astype(int).reshape(-1, 2)
-    if len(edges):
-        pot = np.concatenate([np.repeat(w["chain"][None], len(chain), 0), np.asarray(w["skip"])[skip[:, 2]][:, None, None] * np.eye(k)[None]])
-        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        pot, back = np.concatenate([pot, pot.transpose(0, 2, 1)]), np.roll(np.arange(len(src)), -len(edges))
+    both = np.concatenate([chain[:, :2], skip[:, :2]]).astype(int).reshape(-1, 2)
+    if len(both):
+        # one table for each kind of edge and direction: chain, chain backwards, skip edges
+        tables = np.stack([w["chain"], w["chain"].T, *(weight * np.eye(k) for weight in np.asarray(w["skip"]))])
+        kinds = 2 + skip[:, 2].astype(int)
+        kind = np.concatenate([np.zeros(len(chain), int), kinds, np.ones(len(chain), int), kinds])
+        src, dst = np.concatenate([both[:, 0], both[:, 1]]), np.concatenate([both[:, 1], both[:, 0]])
+        back = np.roll(np.arange(len(src)), -len(both))
         message = np.zeros((len(src), k))
         for _ in range(sweeps):
             belief = unary.copy()
             np.add.at(belief, dst, message)
-            out = (belief[src] - message[back])[:, :, None] + pot
+            out = (belief[src] - message[back])[:, :, None] + tables[kind]
             top = out.max(1)
             fresh = np.log(np.exp(out - top[:, None]).sum(1)) + top
             fresh = 0.5 * message + 0.5 * (fresh - fresh.max(1, keepdims=True))
@@ -247,80 +370,108 @@ def marginals(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, w: dict, held:
     return p / p.sum(1, keepdims=True)
 
 
-def _joined(graphs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The graphs of many texts as one: features, labels, chain and skip edges."""
-    starts = np.cumsum([0] + [len(g[0]) for g in graphs])
-    x = [f for g in graphs for f in g[1]]
-    chain = [(a + s, b + s) for g, s in zip(graphs, starts, strict=False) for a, b in g[3]]
-    skip = [(a + s, b + s, kind) for g, s in zip(graphs, starts, strict=False) for a, b, kind in g[4]]
-    return np.array(x, int).reshape(-1, FEATURES), np.array([y for g in graphs for y in g[2]], int), np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 3)
-
-
-def find(texts: list[str | None], w: dict) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text, by kind, then start; base spans as they are, and the field's further ones.
-
-    Neighbouring tokens become one span only as parts of a telephone number.
-    """
-    texts = [t or "" for t in texts]
-    base = [base_spans(t) for t in texts]
-    if not w["learnt"]:
-        return base
-    graphs = [graph(t, s) for t, s in zip(texts, base, strict=True)]
-    x, held, chain, skip = _joined(graphs)
-    if not len(x):
-        return base
-    p, at, out = marginals(x, chain, skip, w, held), 0, []
-    for text, spans, g in zip(texts, base, graphs, strict=True):
-        own = p[at : at + len(g[0])]
-        at += len(g[0])
-        added: list[tuple[str, int, int]] = []
-        linked = {b for _, b in g[3]}
-        for i, ((start, end), gold, row) in enumerate(zip(g[0], g[2], own, strict=True)):
+def _joined(graphs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels, chain and skip edges of many graphs as one."""
+    starts = np.cumsum([0] + [len(g[1]) for g in graphs])
+    flat = lambda at, width, shift: np.concatenate([np.zeros((0, width), np.int32), *(np.asarray(g[at], np.int32).reshape(-1, width) + shift(s) for g, s in zip(graphs, starts, strict=False))])
+    none = lambda s: 0
+    return flat(0, FEATURES, none), flat(1, 1, none)[:, 0], flat(2, 2, lambda s: s), flat(3, 3, lambda s: np.array([s, s, 0]))
+
+
+def _pieces(text: str, found: list[Node], most: int) -> Iterator[tuple[int, int, list, list]]:
+    """A text's nodes in pieces: first node, one past the last, and the edges that end in the piece."""
+    chain, skip = edges(text, found)
+    chain.sort(key=lambda e: e[1])
+    skip.sort(key=lambda e: e[1])
+    c = k = 0
+    for at in range(0, len(found), most):
+        end = min(at + most, len(found))
+        c0, k0 = c, k
+        while c < len(chain) and chain[c][1] < end:
+            c += 1
+        while k < len(skip) and skip[k][1] < end:
+            k += 1
+        yield at, end, chain[c0:c], skip[k0:k]
+
+
+def _decided(text: str, found: list[Node], w: dict, most: int = NODES) -> list[int]:
+    """The label of each node: its own, or what the field is certain of, else O. An edge from an earlier piece, or to a base
+    span behind the piece, comes from a copy of its node that holds what is decided; one to a node that is O is left out."""
+    label = [n[2] for n in found]
+    for at, end, chain, skip in _pieces(text, found, most):
+        later = [e for e in edges_to_later(found, at, end)] if len(found) > most else []
+        copies: dict[int, int] = {}
+
+        def place(i: int) -> int | None:
+            if at <= i < end:  # noqa: B023
+                return i - at  # noqa: B023
+            return copies.setdefault(i, end - at + len(copies)) if label[i] else None  # noqa: B023
+
+        own_chain = [(a, b) for a, b in ((place(a), place(b)) for a, b in chain) if a is not None and b is not None]
+        own_skip = [(a, b, kind) for a, b, kind in ((place(a), place(b), kind) for a, b, kind in [*skip, *later]) if a is not None and b is not None]
+        rows = [features_at(text, s, e, not y) for s, e, y, _ in found[at:end]] + [[0] * FEATURES] * len(copies)
+        held = np.array(label[at:end] + [label[i] for i in copies])
+        p = marginals(np.array(rows), np.array(own_chain, int).reshape(-1, 2), np.array(own_skip, int).reshape(-1, 3), w, held)
+        for i, row in zip(range(at, end), p, strict=False):
             y = int(row[1:].argmax()) + 1
-            if gold == 0 and row[y] >= CERTAIN:
-                part = i in linked and added and added[-1][0] == LABELS[y] == "phone" and added[-1][2] == g[0][i - 1][1]
-                if part and len(digits_of(text[added[-1][1] : end])) <= 15:
-                    added[-1] = (added[-1][0], added[-1][1], end)
-                else:
-                    added.append((LABELS[y], start, end))
+            if not label[i] and row[y] >= CERTAIN:
+                label[i] = y
+    return label
+
+
+def edges_to_later(found: list[Node], at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """Skip edges from nodes of a piece without a base span before its end to their value's first one behind it."""
+    first: dict = {}
+    for i, (_, _, label, keys) in enumerate(found):
+        if label:
+            for turn, key in enumerate(keys):
+                first.setdefault(key, (i, EQUAL if turn == 0 else SIMILAR))
+    for i in range(at, end):
+        for key in found[i][3]:
+            if not found[i][2] and key in first and first[key][0] >= end:
+                yield i, first[key][0], first[key][1]
+
+
+def find(texts: list[str | None], w: dict, most: int = NODES) -> list[list[tuple[str, int, int]]]:
+    """All spans of each text, by kind, then start; base spans as they are, and the field's further ones."""
+    out = []
+    for text in (t or "" for t in texts):
+        spans = base_spans(text)
+        found = nodes(text, spans) if spans and w["learnt"] else []
+        added = []
+        if any(not n[2] for n in found):
+            added = [(LABELS[y], n[0], n[1]) for n, y in zip(found, _decided(text, found, w, most), strict=True) if y and not n[2]]
         out.append(sorted(spans + added, key=lambda s: (KINDS.index(s[0]), s[1])) if added else spans)
     return out
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Broadcast:
-    """The field's weights, broadcast, learnt from the base labels of at most about ``max_train`` documents."""
+    """The field's weights, broadcast, learnt from at most about ``max_train`` documents and ``MAX_TOKENS`` tokens, in whole documents."""
     spark = docs.sparkSession
     short_batches(spark)
+    parts = ["x", "y", "chain", "skip"]
     n = docs.count()
     rows = docs.select(F.xxhash64(F.lit("pii"), F.col("doc_id").cast("long"), "text").alias("row"), "text")
     sample = rows.where(spread(F.col("row"), "pii") < int(1_000_000 * min(1.0, max_train / max(n, 1))))
 
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            graphs = [(r, lessons(t or "", base_spans(t or ""))) for r, t in zip(b["row"], b["text"], strict=True)]
-            graphs = [(r, *(part[:MAX_IN_TEXT] for part in g[1:3]), *([e for e in part if e[1] < MAX_IN_TEXT] for part in g[3:])) for r, g in graphs if g[0]]
-            flat = [[[v for e in part for v in e] for part in (g[1], g[3], g[4])] for g in graphs]
-            yield pd.DataFrame({"row": [g[0] for g in graphs], "x": [f[0] for f in flat], "y": [g[2] for g in graphs], "chain": [f[1] for f in flat], "skip": [f[2] for f in flat]}, dtype=object)
+            own = [lessons(t or "", base_spans(t or "")) for t in b["text"]]
+            flat = [[np.asarray(part, np.int32).reshape(-1) for part in g] for g in own]
+            yield pd.DataFrame({"row": b["row"], "tokens": [len(g[1]) for g in own], **{name: [f[i] for f in flat] for i, name in enumerate(parts)}})
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graphs, total = [], 0
-        for b in batches:
-            for r in b.itertuples(index=False):
-                y = [int(v) for v in r.y]
-                if total + len(y) <= MAX_TOKENS:
-                    edges = lambda flat, width: np.array(flat, int).reshape(-1, width).tolist()
-                    graphs.append(([(0, 0)] * len(y), np.array(r.x, int).reshape(-1, FEATURES).tolist(), y, edges(r.chain, 2), edges(r.skip, 3)))
-                    total += len(y)
-        x, y, chain, skip = _joined(graphs)
-        w = learn(x, y, chain, skip)
+        w = learn(*_joined([tuple(r) for b in batches for r in b[parts].itertuples(index=False)]))
         used = np.flatnonzero(np.abs(w["unary"]).sum(1))
         rows = [("unary", int(i), w["unary"][i].astype(float).tolist()) for i in used]
         rows += [("chain", i, w["chain"][i].tolist()) for i in range(len(LABELS))] + [("skip", w["learnt"], w["skip"].tolist())]
         yield pd.DataFrame(rows, columns=["part", "at", "w"])
 
-    made = sample.mapInPandas(nodes, "row long, x array<int>, y array<int>, chain array<int>, skip array<int>")
-    once = made.groupBy("row").agg(*(F.first(c).alias(c) for c in ("x", "y", "chain", "skip")))
-    found = once.repartition(1).sortWithinPartitions("row").mapInPandas(fit, "part string, at long, w array<double>").toPandas()
+    made = sample.mapInPandas(graphs, "row long, tokens long, " + ", ".join(f"{name} array<int>" for name in parts)).where("tokens > 0")
+    once = cut(made.groupBy("row").agg(*(F.first(c).alias(c) for c in ("tokens", *parts))))
+    total = once.agg(F.sum("tokens")).first()[0] or 0
+    whole = once.where(spread(F.col("row"), "tokens") < int(1_000_000 * min(1.0, MAX_TOKENS / max(total, 1))))
+    found = whole.repartition(1).sortWithinPartitions("row").mapInPandas(fit, "part string, at long, w array<double>").toPandas()
     w = {"unary": np.zeros((BUCKETS, len(LABELS)), np.float32), "chain": np.zeros((len(LABELS), len(LABELS))), "skip": np.zeros(2), "learnt": 0}
     for part, at, values in found.itertuples(index=False):
         if part == "skip":
