@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.functions import text, vectors
+from pointloom.functions import routes, text, vectors
 from pointloom.operators import config, density, files, octree, points, progress, projects
+from pointloom.operators.stored import ProjectStore
 from pointloom.shared import shared_dir
 from pointloom.sinks import copies, gltf, tiletree
 from pointloom.sinks.files import write_objects
@@ -766,3 +767,41 @@ def progress_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = lambda: states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     found = recovery.keep_running(spark, start, wait=0.1)
     return _last_states(spark, place).select(F.lit(len(found.errors)).cast("long").alias("errors"), F.lit(not found.failed).alias("ended_well"), "*")
+
+
+@query(f"""select p.user_id, p."projectId", case when k = 0 then 'twice ' || p."projectId" else "projectName" end as "projectName",
+  case when k = 1 then 'error' when k = 2 then 'processing' else "projectStatus" end as "projectStatus", case when k = 2 then 0.0 else "projectProgress" end as "projectProgress"
+  , case when k = 4 then '{{"fx":' || "projectId" || '}}' else '{{}}' end as "projectConfig"
+  from (select *, case when "projectId" % 4 = 0 then ("projectId" // 4) % 6 end as k from {_PROJECTS}) p where k is distinct from 3""")
+def project_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions on a stored table: a batch that is folded into its buckets, and one that is still in the log."""
+    own = _projects(spark, sf_dir).drop("projectDate").withColumn("projectConfig", F.lit("{}"))
+    store = ProjectStore(spark, f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}", 16)
+    store.create(own)
+    action = F.get(F.array(*map(F.lit, ("rename", "status", "restart", "delete", "config", "nothing"))), F.floor(F.col("projectId") / 4).cast("int") % 6)
+    key = F.col("projectId").cast("string")
+    value = F.when(action == "rename", F.concat(F.lit("once "), key)).when(action == "status", "error").when(action == "config", F.concat(F.lit('{"fx":'), key, F.lit("}")))
+    updates = own.where("projectId % 4 = 0").select("user_id", "projectId", action.alias("action"), value.alias("value"), F.lit(1).alias("seq"))
+    store.append(updates.where("action <> 'restart'"))
+    store.compact()
+    store.append(updates.where("action = 'restart'"))
+    again = F.when(F.col("action") == "rename", F.concat(F.lit("twice "), key)).otherwise("late")
+    store.append(updates.where("action in ('rename', 'delete')").select("user_id", "projectId", F.lit("rename").alias("action"), again.alias("value"), F.lit(2).alias("seq")))
+    return store.read()
+
+
+#: Pages as addresses of the application: the path of a page's URL behind one of five beginnings.
+_ADDRESS = r"""(select page_id, case page_id % 7 when 0 then '/project' || path when 1 then '/Project/' || page_id when 2 then '/projects' when 3 then path when 4 then '/' when 5 then '/login/' else '/samples//' || page_id end as path
+  from (select page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages where url is not null))"""
+
+
+@query(rf"""with r(pattern, fit, rank) as (values {', '.join(f"('{p}', '(?i)^/*' || '{q}' || '/*$', {i})" for i, (p, q) in enumerate([('/', ''), ('/login', 'login'), ('/register', 'register'), ('/samples', 'samples'), ('/profile', 'profile'), ('/projects', 'projects'), ('/project/:projectId', 'project/+([^/]+)'), ('/project/:projectId/:tab', 'project/+([^/]+)/+([^/]+)'), ('*', '.*')]))}),
+  m as (select page_id, path, pattern, fit from {_ADDRESS} a join r on regexp_matches(a.path, r.fit) qualify row_number() over (partition by page_id order by rank) = 1)
+  select page_id, pattern, case when pattern like '/project/%' then regexp_extract(path, fit, 1) end as project_id, case when pattern = '/project/:projectId/:tab' then regexp_extract(path, fit, 2) end as tab,
+  case when pattern = '*' then array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), '/') end as rest from m""")
+def best_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the nine routes for each page's address, with its parameters."""
+    path, how, key = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), F.col("page_id") % 7, F.col("page_id").cast("string")
+    address = F.when(how == 0, F.concat(F.lit("/project"), path)).when(how == 1, F.concat(F.lit("/Project/"), key)).when(how == 2, "/projects").when(how == 3, path).when(how == 4, "/").when(how == 5, "/login/").otherwise(F.concat(F.lit("/samples//"), key))
+    own = _table(spark, sf_dir, "pages").where("url is not null").select("page_id", routes.best_route(address).alias("r"))
+    return own.select("page_id", "r.pattern", F.col("r.params")["projectId"].alias("project_id"), F.col("r.params")["tab"].alias("tab"), F.col("r.params")["*"].alias("rest"))
