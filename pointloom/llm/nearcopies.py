@@ -41,8 +41,8 @@ from .simhash import SEED, BKTree, components, keep_first
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, REACH, KEPT, DOUBT, MAX_SHARD = 16, 4, 18, 1024, 0.05, 512
-#: Counters of the prefix filter's order, however many hashes there are.
-COUNTERS = 1 << 18
+#: Counters in each of the two rows that tell the prefix filter which hashes are rare: at least, and at most.
+COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 23
 #: Bits of a parity, in longs.
 PARITY = 512
 _LONGS = [f"p{i}" for i in range(PARITY // 64)]
@@ -51,12 +51,13 @@ _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.u
 PAIRS = "a binary, b binary, sure boolean"
 
 
-def outline(text: str | None, width: int = WIDTH) -> tuple[bytes, int, list[int], bytes, bytes | None]:
-    """Class, fingerprint (signed), shard keys (signed), the smallest distinct shingle hashes (32-bit) of a text and the further ones."""
+def outline(text: str | None, width: int = WIDTH) -> tuple[bytes, int, list[int], bytes, bytes | None, bytes]:
+    """Class, fingerprint (signed), shard keys (signed), and the distinct shingle hashes of 48 bits, ascending: the first 32 bits
+    of the ``KEPT`` smallest and of the further ones, and the last 16 bits of all."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     own = xxhash.xxh3_128_digest(b" ".join(words))
     if not words:
-        return own, 0, [], b"", None
+        return own, 0, [], b"", None, b""
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else iter([b" ".join(words)])
     digest = xxhash.xxh64_intdigest
     h = np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
@@ -66,8 +67,19 @@ def outline(text: str | None, width: int = WIDTH) -> tuple[bytes, int, list[int]
     fp = np.packbits((ones * 2 > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0]
     least = np.array([(h * odd).min() for odd in _ODD]).reshape(BANDS, ROWS)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(least)]
-    hashes = np.unique((h >> np.uint64(32)).astype("<u4"))
-    return own, int(fp), keys, hashes[:KEPT].tobytes(), hashes[KEPT:].tobytes() if len(hashes) > KEPT else None
+    hashes = np.unique(h >> np.uint64(16))
+    first, last = (hashes >> np.uint64(16)).astype("<u4"), (hashes & np.uint64(0xFFFF)).astype("<u2")
+    return own, int(fp), keys, first[:KEPT].tobytes(), first[KEPT:].tobytes() if len(hashes) > KEPT else None, last.tobytes()
+
+
+def short_set(kept: bytes) -> np.ndarray:
+    """The different first halves of the kept hashes."""
+    return np.unique(np.frombuffer(kept, "<u4"))
+
+
+def whole_set(first: bytes, last: bytes) -> np.ndarray:
+    """All hashes of a text."""
+    return np.frombuffer(first, "<u4").astype(np.int64) << 16 | np.frombuffer(last, "<u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -137,18 +149,18 @@ def forest(members: list[tuple[bytes, int, np.ndarray, int]], similarity: float,
 
 
 def outlines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, class, fp, keys, n, kept, further of every row."""
+    """doc_id, text_hash, class, fp, keys, n, kept, further, last of every row."""
     short_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, fp, keys, kept, further = zip(*(outline(t.as_py(), width) for t in b.column(2)), strict=True) if b.num_rows else ((),) * 5
-            n = [(len(k) + len(f or b"")) // 4 for k, f in zip(kept, further, strict=True)]
-            columns = [b.column(0), b.column(1), pa.array(own, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(kept, pa.binary()), pa.array(further, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "fp", "keys", "n", "kept", "further"])
+            own, fp, keys, kept, further, last = zip(*(outline(t.as_py(), width) for t in b.column(2)), strict=True) if b.num_rows else ((),) * 6
+            n = [len(x) // 2 for x in last]
+            columns = [b.column(0), b.column(1), pa.array(own, pa.binary()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(kept, pa.binary()), pa.array(further, pa.binary()), pa.array(last, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "class", "fp", "keys", "n", "kept", "further", "last"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return narrow.mapInArrow(of, "doc_id long, text_hash long, class binary, fp long, keys array<long>, n int, kept binary, further binary")
+    return narrow.mapInArrow(of, "doc_id long, text_hash long, class binary, fp long, keys array<long>, n int, kept binary, further binary, last binary")
 
 
 def shards(rows: DataFrame) -> DataFrame:
@@ -160,9 +172,9 @@ def shards(rows: DataFrame) -> DataFrame:
 
 
 def whole_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, whole (all hashes) of some classes."""
-    own = rows.join(classes, "class", "left_semi").select("class", F.concat("kept", F.coalesce("further", F.lit(b""))).alias("whole"))
-    return own.groupBy("class").agg(F.first("whole").alias("whole"))
+    """class, first and last (all hashes, in two parts) of some classes."""
+    own = rows.join(classes, "class", "left_semi").select("class", F.concat("kept", F.coalesce("further", F.lit(b""))).alias("first"), "last")
+    return own.groupBy("class").agg(F.first(F.struct("first", "last")).alias("whole")).select("class", "whole.first", "whole.last")
 
 
 def by_whole_sets(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -170,12 +182,13 @@ def by_whole_sets(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataF
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            alike = [likeness(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            alike = [likeness(whole_set(*(v.as_py() for v in own[:2])), whole_set(*(v.as_py() for v in own[2:]))) >= similarity for own in zip(*b.columns[2:], strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     sets = whole_sets(rows, pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    beside = pairs.join(sets.select(F.col("class").alias("a"), F.col("whole").alias("of_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("whole").alias("of_b")), "b")
-    return beside.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a binary, b binary")
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}"))
+    beside = pairs.join(side("a"), "a").join(side("b"), "b")
+    return beside.select("a", "b", "first_a", "last_a", "first_b", "last_b").mapInArrow(compare, "a binary, b binary")
 
 
 def links(rows: DataFrame, shared: DataFrame, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -186,12 +199,12 @@ def links(rows: DataFrame, shared: DataFrame, similarity: float = SIMILARITY, ma
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [e for own in b["own"] for e in forest([(bytes(m["class"]), m["fp"], np.frombuffer(m["kept"], "<u4"), m["n"]) for m in sorted(own, key=lambda m: bytes(m["class"]))], similarity)]
+            found = [e for own in b["own"] for e in forest([(bytes(m["class"]), m["fp"], short_set(m["kept"]), m["n"]) for m in sorted(own, key=lambda m: bytes(m["class"]))], similarity)]
             yield pd.DataFrame(found, columns=["a", "b", "sure"], dtype=object)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sides = [[(np.frombuffer(k.as_py(), "<u4"), n.as_py()) for k, n in zip(b.column(i), b.column(i + 1), strict=True)] for i in (2, 4)]
+            sides = [[(short_set(k.as_py()), n.as_py()) for k, n in zip(b.column(i), b.column(i + 1), strict=True)] for i in (2, 4)]
             alike = [judged(x, y, similarity) for x, y in zip(*sides, strict=True)]
             own = b.select(["a", "b"]).append_column("sure", pa.array(alike, pa.bool_()).fill_null(False))
             yield own.filter(pa.array([x is not False for x in alike], pa.bool_()))
@@ -208,8 +221,8 @@ def links(rows: DataFrame, shared: DataFrame, similarity: float = SIMILARITY, ma
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY bits, as longs: whether an odd number of the (32-bit) hashes falls on each."""
-    at = (hashes.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - PARITY.bit_length() + 1)
+    """PARITY bits, as longs: whether an odd number of the hashes falls on each."""
+    at = (hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
     return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -243,6 +256,12 @@ def meeting_pairs(keyed: DataFrame, similarity: float) -> DataFrame:
     return both.union(first).union(second).union(many).distinct()
 
 
+def _counted(hashes: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each hash in the first and in the second row."""
+    h = hashes.astype(np.uint64)
+    return tuple(((h * odd >> np.uint64(40)) % np.uint64(counters)).astype(np.int64) + row * counters for row, odd in enumerate(_ODD[:2]))
+
+
 def links_across(rows: DataFrame, shared: DataFrame, found: DataFrame, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame | None:
     """The links (a, b) between classes of large shards that ``found`` (node, root) leaves in several components; None without such shards."""
     hot = shared.where(F.col("members") > max_shard).select("shard", "class")
@@ -253,37 +272,41 @@ def links_across(rows: DataFrame, shared: DataFrame, found: DataFrame, similarit
     classes = rooted.join(apart, "shard", "left_semi").select("class", "root").distinct()
     sets = written(whole_sets(rows, classes.select("class")).join(classes, "class"), "sets")
     spark = rows.sparkSession
+    total = sets.agg(F.sum(F.octet_length("last") / 2)).first()[0] or 0
+    counters = min(MOST_COUNTERS, max(COUNTERS, 1 << (int(total).bit_length())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        held = np.zeros(2 * counters, np.int32)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u4") % COUNTERS, minlength=COUNTERS)
-        used = np.flatnonzero(total)
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                for at in _counted(whole_set(x.as_py(), y.as_py()), counters):
+                    np.add.at(held, at, 1)
+        used = np.flatnonzero(held)
         for at in range(0, len(used), _BLOCK):
             part = used[at : at + _BLOCK]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["counter", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part].astype(np.int64))], ["counter", "n"])
 
-    counted = sets.select("whole").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(COUNTERS, np.int64)
-    often[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    counted = sets.select("first", "last").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(2 * counters, np.int32)
+    often[counted["counter"].to_numpy(np.int64)] = np.minimum(counted["n"].to_numpy(np.int64), 2**31 - 1)
     held = spark.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of a pair, the text with more hashes has one of its ``first`` among the ``short`` of the other
         names = ["hash", "short", "class", "root", "n", *_LONGS]
         for b in batches:
-            for own, root, whole in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                h = np.frombuffer(whole.as_py(), "<u4")
+            for own, root, high, low in zip(*b.columns, strict=True):
+                h = whole_set(high.as_py(), low.as_py())
                 bits = parity(h)
-                h = h[np.lexsort((h, held.value[h % COUNTERS]))]
+                one, two = _counted(h, counters)
+                h = h[np.lexsort((h, np.minimum(held.value[one], held.value[two])))]
                 n = len(h)
                 first = n - math.ceil(similarity * n - 1e-6) + 1
                 short = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-6) + 1
                 h = h[:first]
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.arange(len(h)) < short), pa.array([own.as_py()] * len(h), pa.binary()), pa.array([root.as_py()] * len(h), pa.binary()), pa.array([n] * len(h), pa.int32()), *(pa.array(np.full(len(h), x)) for x in bits)], names)
 
-    made = sets.select("class", "root", "whole").mapInArrow(prefixes, "hash long, short boolean, class binary, root binary, n int, " + ", ".join(f"{p} long" for p in _LONGS))
+    made = sets.select("class", "root", "first", "last").mapInArrow(prefixes, "hash long, short boolean, class binary, root binary, n int, " + ", ".join(f"{p} long" for p in _LONGS))
     keyed = written(made.select("hash", "root", F.struct("class", "n", "short", *_LONGS).alias("own")), "prefixes")
     # components that meet at a hash, and only then their classes: a component's own classes are never paired
     pairs = cut(meeting_pairs(keyed, similarity))

@@ -110,8 +110,8 @@ def test_parities_never_part_alike_sets():
     own = np.random.default_rng(3)
     for n in (1, 20, 150, 3000):
         for moved in (0, 1, n // 10, n):
-            a = np.unique(own.integers(0, 1 << 32, n, dtype=np.uint64)).astype("<u4")
-            b = np.unique(np.concatenate([a[moved:], own.integers(0, 1 << 32, moved, dtype=np.uint64).astype("<u4")]))
+            a = np.unique(own.integers(0, 1 << 48, n, dtype=np.int64))
+            b = np.unique(np.concatenate([a[moved:], own.integers(0, 1 << 48, moved, dtype=np.int64)]))
             differ = sum(int(x).bit_count() for x in (nearcopies.parity(a) ^ nearcopies.parity(b)).view(np.uint64))
             assert differ <= len(np.setxor1d(a, b)) and (moved or not differ)
 
