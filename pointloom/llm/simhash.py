@@ -152,9 +152,9 @@ def links(fps: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node with an edge: large-star and small-star rounds until nothing changes.
 
-    Each star groups by node with partial aggregation and joins the minima back, so a hub
-    with very many edges is spread over tasks; every round is checkpointed, in as many files as its
-    edges need.
+    Each star groups by node with partial aggregation, which spreads a hub with very many edges, and joins the
+    minima back by node, where only adaptive execution splits a hub; every round is checkpointed, in as many
+    files as its edges need.
     """
     parts = 1
 

@@ -55,6 +55,14 @@ def test_url_rules_and_every_row(spark):
     assert urls.judge(empty.select("page_id", "url"), urls.seed_labels(empty), urls.RULES, "page_id").count() == 0
 
 
+def test_urls_of_a_megabyte(spark):
+    """Long hosts, paths and queries, of letters, dots and digits, are judged whole."""
+    long = ["http://" + "a" * 1_000_000 + ".com/en/1", "http://x.com/en/" + "7/" * 500_000, "http://x.net/de/?" + "&".join(f"i{i}=1" for i in range(120_000)), "http://" + "b." * 2000 + "org/es/" + "0" * 900_000]
+    own = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    for r in urls.judge(own, urls.seed_labels(own), urls.RULES, "page_id").collect():
+        assert (r.host, r.path, r.rule) == brute_rule(long[r.page_id])[:3] and r.verdict in ("allow", "block")
+
+
 def test_url_trees_learn_the_labels(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = urls.seed_labels(pages)
