@@ -5,8 +5,9 @@ fallback are rebuilt as a ``tokenizers.Tokenizer``: a unigram model from the sco
 byte-pair models such as the public one, a BPE model whose merges are ordered by the score
 of the piece they make. Where no piece has a space marker inside and no character map is
 set, a text's pre-tokens are encoded apart: the distinct new ones of a batch go through
-``encode_batch`` on several threads, and are kept for later batches. Other models encode whole
-texts. Ids are decoded by whole texts, through ``decode_batch``.
+``encode_batch`` on several threads, and are kept for later batches. Those of byte-pair models
+go there as texts of many words, whose ids are told apart by the pieces that begin with the marker. Other models
+encode whole texts. Ids are decoded by whole texts, through ``decode_batch``.
 
 All ids and decoded texts are those of the rebuilt tokenizer. The sentencepiece library only
 verifies: a pre-token (or text) to which it gives other ids marks its documents, ``parity`` false.
@@ -32,10 +33,13 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 from .common import short_batches
 from .piecemodel import MARK, NORMAL, UNIGRAM, UNKNOWN, USER, PieceModel, pretokens
 
-MAX_KEPT, MAX_KEPT_LEN = 300_000, 48
+#: Words that are kept, and their length; beyond it those stay that a batch used again.
+MAX_KEPT, MAX_KEPT_LEN = 200_000, 48
 THREADS = 2
 #: Texts whose ids are decoded at once, and new words (or texts) that are encoded at once: what both libraries say of them is held until it is packed.
 DECODED, LEARNT = 50, 2000
+#: New words that are encoded as one text.
+PACKED = 100
 
 
 def rebuild(model: PieceModel) -> Tokenizer:
@@ -70,6 +74,9 @@ class Codec:
         self.model, self.whole = model, rebuild(model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
         self.apart = model.splits_at_marks() and not model.charsmap and model.dummy_prefix
+        self.begins = np.array([p.startswith(MARK) for p, *_ in model.pieces])
+        # merges never cross a marker, so words of one text have the ids that they have alone; sums of scores may be rounded otherwise
+        self.packs = self.apart and model.kind != UNIGRAM and any(p == MARK for p, *_ in model.pieces)
         # ids of a pre-token as the bytes of 32-bit numbers, so that a text's ids are one join
         self.kept: dict[str, bytes] = {}
         self.differ: set[str] = set()
@@ -83,35 +90,54 @@ class Codec:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, words: list[str], lengths: list[int], raw: bytes) -> None:
+        at = 0
+        for w, n in zip(words, lengths, strict=True):
+            self.kept[w] = raw[at : at + 4 * n]
+            at += 4 * n
+
     def _learn(self, words: list[str], texts: list[str]) -> None:
         """Keep the ids of new words, each given to the tokenizer as its text, and those to which the other library gives other ids."""
         got = self._ids(texts)
         said = self.reference.encode(texts, num_threads=THREADS) if texts else []
         if got != said:
             self.differ.update(w for w, a, b in zip(words, got, said, strict=True) if a != b)
-        raw, at = _packed(got), 0
-        for w, ids in zip(words, got, strict=True):
-            end = at + 4 * len(ids)
-            self.kept[w], at = raw[at:end], end
+        self._keep(words, [len(ids) for ids in got], _packed(got))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """The same for new words, of which those without markers go together as texts of many words."""
+        alone = [w for w in words if MARK in w or not self.packs]
+        others = [w for w in words if MARK not in w] if self.packs else []
+        packs = [others[at : at + PACKED] for at in range(0, len(others), PACKED)]
+        texts = [" ".join(own) for own in packs]
+        said = self.reference.encode(texts, num_threads=THREADS) if texts else []
+        for own, ids, ids_said in zip(packs, self._ids(texts), said, strict=True):
+            flat = np.array(ids, np.int32)
+            starts = np.flatnonzero(self.begins[flat])
+            if ids == ids_said and len(starts) == len(own):
+                self._keep(own, np.diff(starts, append=len(flat)).tolist(), flat.tobytes())
+            else:
+                alone += own
+        self._learn(alone, [w.replace(MARK, " ") for w in alone])
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
         """Of each text its ids (the bytes of 32-bit numbers), and whether the two libraries agree on it."""
         kept, differ = self.kept, self.differ
-        if len(kept) > MAX_KEPT:
-            lone = {"": kept[""]} if self.apart else {}
-            kept.clear()
-            kept.update(lone)
-            differ &= lone.keys()
         words = [pretokens(t, self.model) for t in texts] if self.apart else [[t] if t else [] for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(kept))
+        used = set(chain.from_iterable(words))
+        new = list(used.difference(kept))
         for at in range(0, len(new), LEARNT):
             part = new[at : at + LEARNT]
-            self._learn(part, [w.replace(MARK, " ") for w in part] if self.apart else part)
+            self._learn_words(part) if self.apart else self._learn(part, part)
         out = [(b"".join(map(kept.__getitem__, own)), not differ or differ.isdisjoint(own)) for own in words]
         for w in new:
             if len(w) > MAX_KEPT_LEN:
                 del kept[w]
                 differ.discard(w)
+        if len(kept) > MAX_KEPT:
+            again = used.difference(new) | ({""} if self.apart else set())
+            self.kept = {w: kept[w] for w in again}
+            self.differ = differ & again
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:

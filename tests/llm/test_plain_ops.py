@@ -157,6 +157,29 @@ def test_ids_and_texts_are_the_tokenizers(spark):
     assert codec.decode([[0, 0]]) == ["u u"]
 
 
+def test_words_of_one_text_have_the_ids_they_have_alone(monkeypatch):
+    """Packs of seven words, few words kept, markers and unknown characters among them; and one that the other library reads otherwise."""
+    monkeypatch.setattr(sentencepieces, "PACKED", 7)
+    monkeypatch.setattr(sentencepieces, "MAX_KEPT", 50)
+    own = random.Random(3)
+    words = ["".join(own.choice("abcdeéß漢🎉\n.,") for _ in range(own.randint(1, 9))) for _ in range(400)] + ["a" + MARK + "b", MARK, "", "x" * 60]
+    texts = [" ".join(own.choices(words, k=60)) for _ in range(40)] + [" ".join(words)]
+    codec = sentencepieces.Codec(PieceModel.from_file(PIECE_MODEL))
+    assert codec.packs
+    for at in range(0, len(texts), 5):
+        part = texts[at : at + 5]
+        assert [list(memoryview(ids).cast("i")) for ids, _ in codec.encode(part)] == [codec._ids([t])[0] for t in part]
+        assert all(parity for _, parity in codec.encode(part))
+        assert "" in codec.kept and "x" * 60 not in codec.kept
+
+    class Other:
+        def encode(self, texts: list[str], num_threads: int) -> list[list[int]]:
+            return [[0] if "odd" in t else e for t, e in zip(texts, codec._ids(texts), strict=True)]
+
+    codec.reference = Other()
+    assert [parity for _, parity in codec.encode(["here an odd thing", "here a thing", "odder", "more"])] == [False, True, False, True]
+
+
 def message(*fields: tuple[int, int | float | bytes]) -> bytes:
     """A protobuf message from numbers and values."""
 
@@ -175,7 +198,7 @@ def message(*fields: tuple[int, int | float | bytes]) -> bytes:
 
 
 #: model kind, name of the normaliser's rules, marker before a text, extra spaces removed, byte fallback
-MODELS = {"nmt": (1, "nmt_nfkc", 1, 1, 0), "plain": (1, "", 1, 0, 0), "bytes": (1, "nfkc_cf", 1, 1, 1), "no prefix": (1, "", 0, 1, 0), "pairs": (2, "nfkc", 1, 1, 0)}
+MODELS = {"nmt": (1, "nmt_nfkc", 1, 1, 0), "plain": (1, "", 1, 0, 0), "bytes": (1, "nfkc_cf", 1, 1, 1), "no prefix": (1, "", 0, 1, 0), "pairs": (2, "nfkc", 1, 1, 0), "plain pairs": (2, "", 1, 0, 0), "pairs and bytes": (2, "", 1, 1, 1)}
 
 
 @pytest.fixture(scope="module", params=MODELS.values(), ids=MODELS)
