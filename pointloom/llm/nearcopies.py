@@ -163,12 +163,19 @@ def outlines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return narrow.mapInArrow(of, "doc_id long, text_hash long, class binary, fp long, keys array<long>, n int, kept binary, further binary, last binary")
 
 
-def shards(rows: DataFrame) -> DataFrame:
-    """shard, class, members, leader of the shards of over one class; ``rows`` as of outlines, those of a class are equal."""
+def shards(rows: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
+    """shard, class, members, leader of the shards of over one class; ``rows`` as of outlines, those of a class are equal.
+
+    Close copies share most of their keys, so of shards that are not large and have the same members, by two
+    hashes of 64 bits, one stays: in it all of their pairs meet. Large ones stay, each for its own leader.
+    """
     keyed = rows.groupBy("class").agg(F.first("keys").alias("keys")).select("class", F.explode("keys").alias("shard"))
     lead = F.min(F.struct(F.xxhash64("class", "shard").alias("rank"), F.col("class"))).getField("class").alias("leader")
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("members"), lead).where("members > 1")
-    return cut(keyed.join(sizes, "shard"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "class")).alias(f"same{i}") for i in range(2)]
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("members"), lead, *same).where("members > 1")
+    large = F.when(F.col("members") > max_shard, F.col("shard")).alias("large")
+    once = sizes.groupBy("members", "same0", "same1", large).agg(F.min(F.struct("shard", "leader")).alias("one"))
+    return cut(keyed.join(once.select("one.shard", "members", "one.leader"), "shard"))
 
 
 def whole_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -316,7 +323,7 @@ def links_across(rows: DataFrame, shared: DataFrame, found: DataFrame, similarit
 def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, max_shard: int = MAX_SHARD) -> DataFrame:
     """doc_id, text_hash, class, root (one for all classes that links connect) of every row of ``docs``."""
     rows = written(outlines(docs, width), "outlines")
-    shared = shards(rows)
+    shared = shards(rows, max_shard)
     found = components(links(rows, shared, similarity, max_shard))
     across = links_across(rows, shared, found, similarity, max_shard)
     if across is not None:
