@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from .common import short_batches
+from .common import pieces, short_batches
 from .piecemodel import MARK, NORMAL, UNIGRAM, UNKNOWN, USER, PieceModel, pretokens
 
-#: Words that are kept, and their length; beyond it those stay that a batch used again.
-MAX_KEPT, MAX_KEPT_LEN = 200_000, 48
+#: Words in each of the two generations that are kept, and their length; a full one becomes the old one, whose words come back when used.
+MAX_KEPT, MAX_KEPT_LEN = 100_000, 48
 THREADS = 2
 #: Texts whose ids are decoded at once, and new words (or texts) that are encoded at once: what both libraries say of them is held until it is packed.
 DECODED, LEARNT = 50, 2000
@@ -79,6 +79,7 @@ class Codec:
         self.packs = self.apart and model.kind != UNIGRAM and any(p == MARK for p, *_ in model.pieces)
         # ids of a pre-token as the bytes of 32-bit numbers, so that a text's ids are one join
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.differ: set[str] = set()
         if self.apart:
             # the space marker alone, as behind a text's last space, is what "a " has more than "a"
@@ -125,7 +126,10 @@ class Codec:
         kept, differ = self.kept, self.differ
         words = [pretokens(t, self.model) for t in texts] if self.apart else [[t] if t else [] for t in texts]
         used = set(chain.from_iterable(words))
-        new = list(used.difference(kept))
+        missing = used.difference(kept)
+        again = missing & self.old.keys()
+        kept.update((w, self.old[w]) for w in again)
+        new = list(missing - again)
         for at in range(0, len(new), LEARNT):
             part = new[at : at + LEARNT]
             self._learn_words(part) if self.apart else self._learn(part, part)
@@ -135,9 +139,8 @@ class Codec:
                 del kept[w]
                 differ.discard(w)
         if len(kept) > MAX_KEPT:
-            again = used.difference(new) | ({""} if self.apart else set())
-            self.kept = {w: kept[w] for w in again}
-            self.differ = differ & again
+            self.old, self.kept = kept, {w: kept[w] for w in [""] if self.apart}
+            self.differ = differ & kept.keys()
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -161,7 +164,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for b in batches:
+        for b in pieces(batches, 1):
             texts = b.column(1).to_pylist()
             found = codec.encode(texts)
             ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in found], dtype=np.int32)
