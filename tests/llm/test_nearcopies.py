@@ -165,3 +165,14 @@ def test_whole_sets_decide_about_long_texts(spark, max_shard):
     want = groups(texts)
     assert {len(g) for g in want} == {1, 2}
     assert grouped(spark, texts, max_shard=max_shard) == want
+
+
+def test_small_shards_with_equal_members_are_one(spark):
+    keys = {b"a": [1, 2, 3, 4], b"b": [1, 2, 3, 5], b"c": [3, 6, 7, 8], b"d": [6, 7], b"e": [6, 7]}
+    rows = spark.createDataFrame([(c, k) for c, k in keys.items()] * 2, "class binary, keys array<long>")
+    for max_shard, want in ((2, [{"a", "b"}, {"a", "b", "c"}, {"c", "d", "e"}, {"c", "d", "e"}]), (3, [{"a", "b"}, {"a", "b", "c"}, {"c", "d", "e"}])):
+        held: dict = {}
+        for r in nearcopies.shards(rows, max_shard).collect():
+            held.setdefault(r.shard, set()).add(bytes(r["class"]).decode())
+            assert r.leader is not None
+        assert sorted(map(sorted, held.values())) == [sorted(s) for s in want]

@@ -8,9 +8,11 @@ import random
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pointloom.llm import quality, queries, secretscan, sentencepieces, tokencount
+from pointloom.llm.common import pieces
 from pointloom.llm.piecemodel import BYTE, MARK, PieceModel
 from pointloom.llm.queries import PIECE_MODEL
 from pyspark.sql import functions as F
@@ -271,3 +273,12 @@ def test_token_counts_equal_plain_dynamic_programming(docs, no_docs):
 def test_shared_prefixes_change_nothing(words):
     forward = tokencount.Forward(PieceModel.from_file(PIECE_MODEL))
     assert forward.counts(words) == {w: forward.counts([w])[w] for w in words}
+
+
+def test_pieces_hold_whole_rows_and_at_most_so_many_bytes():
+    texts = [None, "", "x" * 30, "ab", None, "é" * 5, "cd", "y" * 9, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    found = list(pieces([batch, batch.slice(0, 0)], 1, most=12))
+    assert [r for b in found for r in b.to_pylist()] == batch.to_pylist()
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 12 for b in found)
+    assert [b.num_rows for b in found] == [2, 1, 3, 3]
