@@ -21,7 +21,7 @@ from pointloom.operators import config, density, files, octree, points, progress
 from pointloom.operators.stored import ProjectStore
 from pointloom.shared import shared_dir
 from pointloom.sinks import copies, gltf, tiletree
-from pointloom.sinks.files import write_objects
+from pointloom.sinks.files import spread, write_objects
 from pointloom.sources import eventstream, listing, objects, samples
 from pointloom.sources.npy import read_points
 from pointloom.streaming import progress as stream
@@ -529,9 +529,9 @@ _IMAGES = "(select p_name || '.v' || p_partkey || '.PNG' as name, p_size % 7 as
 
 
 def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as small image files: file and content."""
+    """Parts as small image files: file and content, dealt over the tasks that are to write them."""
     name = F.concat(F.lit("images/"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_name", F.lit(".v"), F.col("p_partkey").cast("string"), F.lit(".PNG"))
-    return _table(spark, sf_dir, "part").select(name.alias("file"), F.col("p_type").cast("binary").alias("content"))
+    return spread(_table(spark, sf_dir, "part").select(name.alias("file"), F.col("p_type").cast("binary").alias("content")))
 
 
 def _images(spark: SparkSession, sf_dir: str) -> str:
@@ -545,10 +545,9 @@ def _images(spark: SparkSession, sf_dir: str) -> str:
 def image_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing by folder, and the contents of the files it names."""
     place = _images(spark, sf_dir)
-    listed = objects.objects(spark, place).withColumn("key", F.regexp_extract("key", "(images/.*)", 1))
-    listed = files.listing(listed, "images/3").select("key", "length")
-    found = objects.images(spark, place, "*.PNG").withColumn("key", F.regexp_extract("key", "(images/.*)", 1))
-    return listed.join(found, "key").select("name", F.regexp_extract("key", "images/([0-9]+)/", 1).alias("project"), F.col("content").cast("string").alias("content"), "mime", "length")
+    listed = objects.objects(spark, place, "*.PNG").withColumn("short", F.regexp_extract("key", "(images/[^/]*/[^/]*)$", 1))
+    found = files.named(objects.with_content(spark, files.listing(listed, "images/3", key="short").select("key", "short", "length"), place))
+    return found.select("name", F.regexp_extract("short", "images/([0-9]+)/", 1).alias("project"), F.col("content").cast("string").alias("content"), "mime", "length")
 
 
 @query("select 0::bigint as n_objects, 0::bigint as n_images, 'error' as state")

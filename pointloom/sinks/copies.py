@@ -28,11 +28,15 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        made: set[str] = set()
         for b in batches:
             names, sizes, sums = [], [], []
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw, path = content.as_buffer(), f"{base}/{name}"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
+                above = path.rpartition("/")[0]
+                if above not in made:
+                    store.create_dir(above, recursive=True)
+                    made.add(above)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
                     out.write(raw)

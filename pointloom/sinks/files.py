@@ -27,6 +27,15 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 
+#: Files that one task writes.
+PER_TASK = 10_000
+
+
+def spread(rows: DataFrame, per_task: int | None = None) -> DataFrame:
+    """``rows`` dealt over tasks by their number, as small rows of millions of files may be one task's. Counts the rows."""
+    return rows.repartition(max(1, -(-rows.count() // (per_task or PER_TASK))))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str

@@ -1,20 +1,23 @@
 """The keys of a store as a data source: folders are listed in tasks, and filters on the key reach the listing.
 
-The planner follows a pushed prefix to the folder it names and sees the names of that folder's folders only; each becomes a
-task's, and the folder's own files another's. A task walks down, one folder at a time, and passes over those whose keys the filters
-rule out. Keys are paths below ``path``.
+The planner follows a pushed prefix to the folder it names, and on while there is a single folder in it, and keeps the names of that folder's
+folders only; each becomes a task's, and the folder's own files another's, or, by a hash of their names, several tasks' where there are over
+``SHARE``. A task walks down, one folder at a time, and passes over those whose keys the filters
+rule out. Names on a local or mounted disk are taken one by one, so a folder of millions is held nowhere. Keys are paths below ``path``.
 
     spark.dataSource.register(ObjectKeys)
     spark.read.format("object_keys").load(root).where("key like 'user-3/%'")     # key, modified, length
 
 Filters reach the source where ``spark.sql.python.filterPushdown.enabled`` is set, as ``object_keys`` does; else Spark applies them.
 
-Defined cases: a missing path has no keys; hidden files and folders (``_``, ``.``) are listed only with the option ``hidden``; comparisons of keys are
-by code point.
+Defined cases: a missing path has no keys; hidden files and folders (``.``, and ``_`` in names without ``=``, as in Spark's own listings) are listed only with the option
+``hidden``; files that go meanwhile are left out; comparisons of keys are by code point.
 """
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,13 +26,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 BATCH = 10_000
+#: Files of one folder that one task looks at.
+SHARE = 50_000
 _LAST = chr(0x10FFFF)
 
 
-def _stored(uri: str) -> tuple[fs.FileSystem, str]:
+def stored(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store that a path is in, and its place there."""
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
+def _entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, os.DirEntry | fs.FileInfo]]:
+    """Name, whether it is a folder, and what tells time and length, of what is directly in a folder; nothing of a missing one."""
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as found:
+                yield from ((x.name, x.is_dir(), x) for x in found)
+        except FileNotFoundError:
+            return
+    else:
+        yield from ((x.base_name, x.type == fs.FileType.Directory, x) for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+
+
+def _said(x: os.DirEntry | fs.FileInfo) -> tuple[int | None, int | None] | None:
+    """Time (microseconds) and length; None if the file is gone."""
+    if isinstance(x, fs.FileInfo):
+        return x.mtime_ns and x.mtime_ns // 1000, x.size
+    try:
+        own = x.stat()
+    except FileNotFoundError:
+        return None
+    return own.st_mtime_ns // 1000, own.st_size
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
 class Keys:
     """What filters allow: a prefix, and keys from ``low`` up to ``high``, ends as given."""
 
@@ -70,8 +103,13 @@ class Keys:
 
 
 class Folder(InputPartition):
-    def __init__(self, name: str, deep: bool) -> None:
-        self.name, self.deep = name, deep
+    """A folder, deep or its own files only; of those the ones whose names hash to ``share`` of ``shares``."""
+
+    def __init__(self, name: str, deep: bool, share: int = 0, shares: int = 1) -> None:
+        self.name, self.deep, self.share, self.shares = name, deep, share, shares
+
+    def has(self, key: str) -> bool:
+        return self.shares == 1 or zlib.crc32(key.encode("utf-8", "surrogateescape")) % self.shares == self.share
 
 
 class KeysReader(DataSourceReader):
@@ -81,27 +119,37 @@ class KeysReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
         return [f for f in filters if not self.keys.take(f)]
 
-    def _listed(self, name: str) -> list[tuple[str, fs.FileInfo]]:
-        """Keys (folders with a slash behind) directly in a folder."""
-        store, base = _stored(self.path)
-        found = store.get_file_info(fs.FileSelector(f"{base}/{name}".rstrip("/"), allow_not_found=True))
-        own = [(f"{name}/{x.base_name}".lstrip("/") + "/" * (x.type == fs.FileType.Directory), x) for x in found if self.hidden or not x.base_name.startswith(("_", "."))]
-        return sorted(own, key=lambda x: x[0])
+    def _listed(self, name: str) -> Iterator[tuple[str, bool, os.DirEntry | fs.FileInfo]]:
+        """Keys (folders with a slash behind) directly in a folder, as they come."""
+        store, base = stored(self.path)
+        for own, folder, x in _entries(store, f"{base}/{name}".rstrip("/")):
+            if self.hidden or not _hidden(own):
+                yield f"{name}/{own}".lstrip("/") + "/" * folder, folder, x
 
     def partitions(self) -> list[Folder]:
-        top = self.keys.folder()
-        below = [key.rstrip("/") for key, x in self._listed(top) if x.type == fs.FileType.Directory and self.keys.may_hold(key)]
-        return [Folder(top, False), *(Folder(name, True) for name in below)]
+        parts, top = [], self.keys.folder()
+        while True:
+            below, files = [], 0
+            for key, folder, _ in self._listed(top):
+                if not folder:
+                    files += 1
+                elif self.keys.may_hold(key):
+                    below.append(key.rstrip("/"))
+            shares = max(1, -(-files // SHARE))
+            parts += [Folder(top, False, i, shares) for i in range(shares)]
+            if len(below) != 1:
+                return [*parts, *(Folder(name, True) for name in sorted(below))]
+            top = below[0]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         todo, held = [partition.name], []
         while todo:
-            for key, x in self._listed(todo.pop()):
-                if x.type == fs.FileType.Directory:
+            for key, folder, x in self._listed(todo.pop()):
+                if folder:
                     if partition.deep and self.keys.may_hold(key):
                         todo.append(key.rstrip("/"))
-                elif self.keys.allow(key):
-                    held.append((key, x.mtime, x.size))
+                elif partition.has(key) and self.keys.allow(key) and (said := _said(x)):
+                    held.append((key, *said))
                     if len(held) == BATCH:
                         yield self._batch(held)
                         held = []

@@ -1,0 +1,74 @@
+"""Stores of many files: who lists them, who reads them, and who writes them."""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+import pytest
+from pointloom.sources import listing, objects
+from pyspark.sql import functions as F
+
+
+@pytest.fixture
+def store(tmp_path) -> str:
+    """A store of one batch of three tasks' folders, with odd names and hidden ones."""
+    for task in ("0-1", "1-2", "2-3"):
+        for n in range(4):
+            own = tmp_path / "batch-x" / task / "images" / str(n)
+            own.mkdir(parents=True)
+            for k in range(5):
+                (own / f"a {k}%.PNG").write_bytes(f"{task} {n} {k}".encode())
+    (tmp_path / "batch-x" / "_no").mkdir()
+    (tmp_path / "batch-x" / "_no" / "x.PNG").write_bytes(b"hidden")
+    (tmp_path / "batch-x" / "day=1").mkdir()
+    (tmp_path / "batch-x" / "_day=1").mkdir()
+    (tmp_path / "batch-x" / "_day=1" / "y.txt").write_bytes(b"y")
+    return f"file://{tmp_path}"
+
+
+def test_objects_are_those_of_sparks_listing_without_it(spark, store):
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    theirs = {(r.path, r.length, bytes(r.content)) for r in read.load(store).collect()}
+    assert len(theirs) == 61
+    found, images = objects.objects(spark, store), objects.images(spark, store)
+    assert not found.inputFiles() and not images.inputFiles()  # the driver holds no list of files
+    assert {(r.key, r.length) for r in found.collect()} == {t[:2] for t in theirs}
+    assert {(r.key, bytes(r.content)) for r in images.collect()} == {(t[0], t[2]) for t in theirs}
+    assert objects.images(spark, store, "*.PNG").count() == 60
+    one = objects.objects(spark, next(p for p, _, _ in theirs if p.endswith("PNG")))
+    assert one.count() == 1 and objects.objects(spark, f"{store}/batch-x/*-1").count() == 20
+
+
+@pytest.mark.parametrize("glob, fits, fits_not", [("*.PNG", ["a.PNG", ".PNG"], ["a.png", "aPNG"]), ("a?[b-d].{p,q}", ["axc.p", "axb.q"], ["axa.p", "axc.r"]), ("[!a]\\*+", ["b*+"], ["a*+", "bb+"]), ("a,b", ["a,b"], ["a"])])
+def test_patterns_of_names(spark, glob, fits, fits_not):
+    rule = objects.name_pattern(glob)
+    assert [bool(re.search(rule, n)) for n in fits + fits_not] == [True] * len(fits) + [False] * len(fits_not)
+    names = spark.createDataFrame([(n,) for n in fits + fits_not], "n string")
+    assert {r.n for r in names.where(F.col("n").rlike(rule)).collect()} == set(fits)
+
+
+def test_a_file_that_cannot_be_read_fails_the_query(spark, store):
+    found = objects.objects(spark, store).withColumn("key", F.concat("key", F.lit("-gone")))
+    with pytest.raises(Exception, match="gone"):
+        objects.with_content(spark, found, store).count()
+
+
+def test_each_folder_behind_a_single_one_and_each_share_of_a_large_one_is_a_task(tmp_path, store, monkeypatch):
+    parts = listing.KeysReader(store, False).partitions()
+    assert sorted(p.name for p in parts if p.deep) == ["batch-x/0-1", "batch-x/1-2", "batch-x/2-3", "batch-x/_day=1", "batch-x/day=1"]
+    monkeypatch.setattr(listing, "SHARE", 7)
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(50):
+        (flat / f"{i}.PNG").write_bytes(b"x")
+    reader = listing.KeysReader(f"file://{flat}", False)
+    held = [[k for b in reader.read(p) for k in b.column(0).to_pylist()] for p in reader.partitions()]
+    assert len(held) == 8 and max(map(len, held)) < 20 and sorted(sum(held, [])) == sorted(p.name for p in Path(flat).iterdir())
+
+
+def test_contents_of_a_flat_folder_are_dealt_over_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i:03}.PNG").write_bytes(b"x")
+    own = objects.images(spark, f"file://{tmp_path}").withColumn("task", F.spark_partition_id())
+    assert own.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) and own.count() == 200
