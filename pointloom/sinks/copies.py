@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.functions.text import result_file
+from pointloom.sources.objects import images
 
 
 def result_copies(spark: SparkSession, path: str, project_name: str) -> DataFrame:
     """file (the name offered), content and sha256 of every NPY file under ``path``; contents are not decoded."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path)
+    found = images(spark, path, "*.npy").select(F.col("key").alias("path"), "content")
     return found.select("path", result_file(F.lit(project_name), "npy").alias("file"), "content", F.sha2("content", 256).alias("sha256"))
 
 
@@ -47,6 +48,6 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return files.select("file", "content").mapInArrow(put, "file string, length long, sha256 string")
 
 
-def write_images(images: DataFrame, path: str) -> None:
+def write_images(uploads: DataFrame, path: str) -> None:
     """Uploaded images (project_id, name, content, mime) as a Parquet table by project."""
-    images.select("project_id", "name", "content", "mime").write.mode("append").partitionBy("project_id").parquet(path)
+    uploads.select("project_id", "name", "content", "mime").write.mode("append").partitionBy("project_id").parquet(path)

@@ -6,6 +6,9 @@ import re
 from pathlib import Path
 
 import pytest
+from pointloom.plans import catalogue
+from pointloom.sinks import copies
+from pointloom.sinks.files import spread
 from pointloom.sources import listing, objects
 from pyspark.sql import functions as F
 
@@ -72,3 +75,10 @@ def test_contents_of_a_flat_folder_are_dealt_over_tasks(spark, tmp_path):
         (tmp_path / f"{i:03}.PNG").write_bytes(b"x")
     own = objects.images(spark, f"file://{tmp_path}").withColumn("task", F.spark_partition_id())
     assert own.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) and own.count() == 200
+
+
+def test_copies_are_read_without_sparks_listing(spark, tmp_path):
+    (tmp_path / "a.npy").write_bytes(b"abc")
+    (tmp_path / "a.png").write_bytes(b"abc")
+    found = copies.result_copies(spark, f"file://{tmp_path}", "p")
+    assert not found.inputFiles() and [(r.path, bytes(r.content)) for r in found.collect()] == [(f"file:{tmp_path}/a.npy", b"abc")]
