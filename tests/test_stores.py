@@ -82,3 +82,11 @@ def test_copies_are_read_without_sparks_listing(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"abc")
     found = copies.result_copies(spark, f"file://{tmp_path}", "p")
     assert not found.inputFiles() and [(r.path, bytes(r.content)) for r in found.collect()] == [(f"file:{tmp_path}/a.npy", b"abc")]
+
+
+def test_files_are_written_by_tasks_by_their_number(spark, sf_dir, monkeypatch):
+    """Small rows are one task's where they are read; their files must not be."""
+    assert spread(spark.range(95).coalesce(1), 10).rdd.getNumPartitions() == 10 and spread(spark.range(0)).rdd.getNumPartitions() == 1
+    monkeypatch.setattr("pointloom.sinks.files.PER_TASK", 100)
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert catalogue._image_rows(spark, sf_dir).rdd.getNumPartitions() == -(-n // 100)
