@@ -80,3 +80,21 @@ def test_components_of_long_chains_and_stars(spark):
     edges = spark.createDataFrame(chain + star + [(7, 7), (9000, 9001)], "a long, b long")
     roots = {r.node: r.root for r in components(nodes, edges).collect()}
     assert roots == {**{i: 0 for i in range(501)}, **{i: 1000 for i in range(1000, 1300)}, 5000: 5000}
+
+
+def test_a_dense_cloud_compares_few_parts(spark):
+    """Cells that neighbours join are not compared by parts: without that each pair of cells costs up to 4,096 pairs of parts."""
+    points = spark.range(20_000).select(F.lit(0).cast("long").alias("cloud_id"), F.col("id").alias("idx"), *(F.rand(k).alias(c) for k, c in enumerate("xyz", 1)), F.lit(True).alias("core"))
+    core = density.positions(points, 0.35).cache()
+    cells = core.select("cell").distinct().count()
+    assert density.beside_links(core, 0.35).count() > cells  # most cells are linked side by side
+    plain = {(r.a, r.b) for r in density.cell_links(core, 0.35).collect()}
+    assert {(r.a, r.b) for r in density.beside_links(core, 0.35).collect()} <= plain
+    seen = []
+    links = density.cell_links
+    try:
+        density.cell_links = lambda core, eps, block, pairs: seen.append(pairs.count()) or links(core, eps, block, pairs)
+        roots = {r.root for r in density.cell_components(core, 0.35).collect()}
+    finally:
+        density.cell_links = links
+    assert len(roots) == 1 and seen[0] < cells < len(plain) / 10
