@@ -746,15 +746,22 @@ def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}/read").select("id", "event", "data")
 
 
+#: Events of all parts for each file of a part.
+_PER_FILE = 500_000
+
+
 @query(_FOLD.replace("select pid, arg_max", "select 1::bigint as errors, true as ended_well, pid, arg_max"))
 def progress_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold as a stream that breaks in its second micro-batch and goes on from its checkpoint."""
-    own, place = _table(spark, sf_dir, "events"), f"{shared_dir(spark)}/broken-{uuid.uuid4().hex}"
+    own, place, held = _table(spark, sf_dir, "events"), f"{shared_dir(spark)}/broken-{uuid.uuid4().hex}", 0
     at = own.agg(*(F.expr(f"percentile_approx(unix_micros(cast(ts as timestamp)), {q})") for q in (0.3, 0.6))).first()
     seq = F.unix_micros(F.col("ts").cast("timestamp"))
+    n = max(1, -(-own.count() // _PER_FILE))
     for part in (seq <= at[0], (seq > at[0]) & (seq <= at[1]), seq > at[1]):
-        own.where(part).coalesce(1).write.mode("append").parquet(f"{place}/events")
-    source = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/events")
+        # a process is in one file of each part, and older files are read first, so its messages keep their order
+        own.where(part).repartition(n, "user_id").write.mode("append").parquet(f"{place}/events")
+        held = held or len(spark.read.parquet(f"{place}/events").inputFiles())
+    source = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", held).parquet(f"{place}/events")
     states, broken = stream.follow(_messages(source)), []
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -12,6 +12,8 @@ from pointloom.sinks.files import spread
 from pointloom.sources import listing, objects
 from pyspark.sql import functions as F
 
+from tests.compare import assert_same
+
 
 @pytest.fixture
 def store(tmp_path) -> str:
@@ -90,3 +92,9 @@ def test_files_are_written_by_tasks_by_their_number(spark, sf_dir, monkeypatch):
     monkeypatch.setattr("pointloom.sinks.files.PER_TASK", 100)
     n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     assert catalogue._image_rows(spark, sf_dir).rdd.getNumPartitions() == -(-n // 100)
+
+
+def test_a_broken_stream_of_many_files_keeps_the_order_of_messages(spark, sf_dir, monkeypatch):
+    """Each part of the events is several files, none of which one task alone writes and reads."""
+    monkeypatch.setattr(catalogue, "_PER_FILE", 2_500)
+    assert_same(catalogue.QUERIES["progress_broken"](spark, sf_dir), sf_dir, catalogue.ORACLE_SQL["progress_broken"])
