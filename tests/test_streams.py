@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import partial
 
 import pytest
 from pointloom.streaming import recovery, timed
@@ -61,6 +62,31 @@ def test_a_silent_process_is_forgotten_and_begins_anew(spark, tmp_path, rocks):
     assert sorted(r.pid for r in timed.open_processes(spark, f"{tmp_path}/check").collect()) == [1, 2, 3]
 
 
+def test_processes_meet_in_groups(spark, tmp_path, rocks):
+    """What each call of Python takes, and each key of the state holds, are many processes."""
+    last = run(spark, str(tmp_path), timedelta(hours=1), None, [[said(i, i % 50, str(i)) for i in range(3000)]])
+    assert last == {i: (str(i), False, False, False) for i in range(3000)}
+    held = spark.read.format("statestore").option("stateVarName", "progress").load(f"{tmp_path}/check")
+    assert held.count() == 3000 and held.select("key").distinct().count() <= 1024
+
+
+def test_processes_of_one_group_end_at_their_own_times(spark, tmp_path, rocks, monkeypatch):
+    large = 2**60 + 1
+    monkeypatch.setattr(timed, "follow", partial(timed.follow, groups=1))
+    batches = [
+        [said(1, 50, "CLOSE"), said(2, 20, "CLOSE"), said(large, 10, "5"), said(large - 1, 10, "6"), said(None, 30, "7"), said(0, 30, "8")],
+        [said(3, 85, "CLOSE"), said(large, 90, "CLOSE"), said(None, 91, "9")],
+        [said(4, 112, "READY")],
+        [said(2, 113, "2"), said(5, 114, "READY")],
+    ]
+    last = run(spark, str(tmp_path), timedelta(hours=1), None, batches)
+    assert last[large] == ("5", False, True, True) and last[large - 1] == ("6", False, False, False)
+    assert last[None] == ("9", False, False, False) and last[0] == ("8", False, False, False)
+    assert last[2] == ("2", False, False, False)  # its state was gone
+    held = {r.pid: r.closed for r in timed.open_processes(spark, f"{tmp_path}/check").collect()}
+    assert held == {3: True, large: True, large - 1: False, None: False, 0: False, 4: False, 2: False, 5: False}  # 1 closed over an hour before minute 114
+
+
 def stream(spark, place: str, failures: int):
     """A start function of a stream of four micro-batches whose second breaks ``failures`` times."""
     for i in range(4):
