@@ -2,7 +2,7 @@
 
 The planner follows a pushed prefix to the folder it names, and on while there is a single folder in it, and keeps the names of that folder's
 folders only; each becomes a task's, and the folder's own files another's, or, by a hash of their names, several tasks' where there are over
-``SHARE``. A task walks down, one folder at a time, and passes over those whose keys the filters
+``SHARE``, of which each looks at all names of the folder, so they are ``SHARES`` at most. A task walks down, one folder at a time, and passes over those whose keys the filters
 rule out. Names on a local or mounted disk are taken one by one, so a folder of millions is held nowhere. Keys are paths below ``path``.
 
     spark.dataSource.register(ObjectKeys)
@@ -28,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 BATCH = 10_000
 #: Files of one folder that one task looks at.
 SHARE = 50_000
+#: Tasks that the files of one folder are dealt to, at most.
+SHARES = 16
 _LAST = chr(0x10FFFF)
 
 
@@ -135,7 +137,7 @@ class KeysReader(DataSourceReader):
                     files += 1
                 elif self.keys.may_hold(key):
                     below.append(key.rstrip("/"))
-            shares = max(1, -(-files // SHARE))
+            shares = min(SHARES, max(1, -(-files // SHARE)))
             parts += [Folder(top, False, i, shares) for i in range(shares)]
             if len(below) != 1:
                 return [*parts, *(Folder(name, True) for name in sorted(below))]

@@ -72,6 +72,15 @@ def test_each_folder_behind_a_single_one_and_each_share_of_a_large_one_is_a_task
     assert len(held) == 8 and max(map(len, held)) < 20 and sorted(sum(held, [])) == sorted(p.name for p in Path(flat).iterdir())
 
 
+def test_a_larger_folder_is_not_looked_through_by_ever_more_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "SHARE", 1)
+    for i in range(200):
+        (tmp_path / f"{i}.PNG").write_bytes(b"x")
+    reader = listing.KeysReader(f"file://{tmp_path}", False)
+    held = [[k for b in reader.read(p) for k in b.column(0).to_pylist()] for p in reader.partitions()]
+    assert len(held) == 16 and max(map(len, held)) < 40 and sorted(sum(held, [])) == sorted(f"{i}.PNG" for i in range(200))
+
+
 def test_contents_of_a_flat_folder_are_dealt_over_tasks(spark, tmp_path):
     for i in range(200):
         (tmp_path / f"{i:03}.PNG").write_bytes(b"x")
